@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, near_dedup, substring_dedup, token_counts
+from . import ann_forest, exact_topk, licenses, mixing, near_dedup, substring_dedup, token_counts
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,9 +37,13 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op4_minhash_near_dedup, op8_token_counts, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_hash_prefix_forest, op4_minhash_near_dedup, op8_token_counts, op9_source_mixing, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op9_source_mixing": mixing.oracle()}
+    return {"op1_license_scan": licenses.oracle(), "op9_source_mixing": mixing.oracle(), "op10_exact_top_k": exact_topk.oracle()}
