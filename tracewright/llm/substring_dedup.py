@@ -146,8 +146,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("more"))
     rows = rows.withColumn("tag", F.hash("text"))
-    known = rows.where("doc_id is not null and text is not null").select(*_DOC, "text")
-    path = known.mapInArrow(_path_rows(window, kmer), "kmer long, path long, doc_id long, tag int, start int, length int")
+    known = rows.where("doc_id is not null and text is not null").select(*_DOC, "text", "more")
+    path = known.select(*_DOC, "text").mapInArrow(_path_rows(window, kmer), "kmer long, path long, doc_id long, tag int, start int, length int")
     shared = path.groupBy("kmer").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("kmer")
     path = cut(_apart(path, "kmer").join(_apart(shared, "kmer"), "kmer_").withColumnRenamed("kmer_", "kmer"))
     compact = path.groupBy("kmer", "path").agg(F.min("doc_id").alias("source"))
@@ -156,12 +156,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     path = cut(_apart(path, "kmer", "path").join(_apart(compact, "kmer", "path"), ["kmer_", "path_"]).where("doc_id > source or branches").select(*_DOC, "start", "length", "source"))
     # Where the graph branches, the sources' own paths become single edges.
     ranges = path.where("doc_id = source").groupBy(*_DOC).agg(F.collect_list(F.struct("start", "length")).alias("ranges"))
-    edges = known.join(ranges, _DOC).select(*_DOC, "text", "ranges").mapInArrow(_edge_rows(window), "edge long, check long, doc_id long, tag int, start int")
-    edges = cut(edges)
+    # This join and the last one read one shuffle of the texts: both take the same columns of ``known``.
+    edges = known.join(ranges, _DOC).select(*_DOC, "text", "ranges", "more").mapInArrow(_edge_rows(window), "edge long, check long, doc_id long, tag int, start int")
     sources = edges.groupBy("edge", "check").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
     single = _apart(edges, "edge", "check").join(_apart(sources, "edge", "check"), ["edge_", "check_"]).where("doc_id > source")
     spans = path.where("doc_id > source").select(*_DOC, "start", "length").union(single.select(*_DOC, "start", F.lit(window).alias("length")))
     spans = spans.groupBy(*_DOC).agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    out = rows.join(spans, _DOC, "left").select("doc_id", "text", "spans", "more")
+    out = known.join(spans, _DOC, "left").select("doc_id", "text", "spans", "more")
+    apart = rows.where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), "more")
+    out = out.union(apart)
     more = docs.sparkSession.createDataFrame([], rows.select("more").schema).schema["more"].dataType.simpleString()
     return out.mapInArrow(_remove, f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, more {more}")
