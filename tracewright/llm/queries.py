@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_forest, exact_topk, licenses, mixing, near_dedup, substring_dedup, token_counts
+from . import ann_forest, exact_topk, licenses, mixing, near_dedup, quality, substring_dedup, token_counts, toxicity
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,16 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -42,7 +52,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_hash_prefix_forest, op4_minhash_near_dedup, op8_token_counts, op9_source_mixing, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_hash_prefix_forest, op4_minhash_near_dedup, op6_toxicity, op7_quality, op8_token_counts, op9_source_mixing, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
