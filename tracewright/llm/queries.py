@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann_forest, exact_topk, licenses, mixing, near_dedup, quality, substring_dedup, token_counts, toxicity
+from . import ann_forest, exact_topk, licenses, mixing, near_dedup, piece_codec, quality, substring_dedup, token_counts, toxicity
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,13 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_BPE)
+    rows = piece_codec.decode(coded, PIECE_BPE)
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(piece_codec.MARK), F.lit(" "))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -52,7 +61,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_hash_prefix_forest, op4_minhash_near_dedup, op6_toxicity, op7_quality, op8_token_counts, op9_source_mixing, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_hash_prefix_forest, op4_minhash_near_dedup, op5_sentencepiece, op6_toxicity, op7_quality, op8_token_counts, op9_source_mixing, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
