@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import demand, evidence, spatial
+from . import demand, evidence, network, spatial
 
-_PLANS = demand.PLANS | evidence.PLANS | spatial.PLANS
+_PLANS = demand.PLANS | evidence.PLANS | spatial.PLANS | network.PLANS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
