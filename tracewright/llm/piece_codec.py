@@ -29,7 +29,7 @@ MARK = "▁"
 GIANT, CHUNK = 1 << 16, 1 << 15
 #: Units above this many characters are merged one by one with a heap.
 LONG_UNIT = 128
-BATCH_BYTES = 4 << 20
+BATCH_BYTES, BATCH_IDS = 1 << 20, 1 << 19
 
 
 def bounds(lengths) -> np.ndarray:
@@ -282,10 +282,13 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for batch in batches:
-            column = batch.column("ids")
-            flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            texts = [model.decode(flat[i:j]).decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+        for whole in batches:
+            total = np.cumsum(np.diff(whole.column("ids").offsets.to_numpy())) // BATCH_IDS
+            edges = bounds(np.unique(total, return_counts=True)[1])
+            for batch in (whole.slice(i, j - i) for i, j in zip(edges[:-1], edges[1:])):
+                column = batch.column("ids")
+                flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+                texts = [model.decode(flat[i:j]).decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
