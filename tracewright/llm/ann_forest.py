@@ -48,7 +48,7 @@ def _compare(k: int, trees: int, bits: int, entries: int, seed: int):
             order = np.argsort(codes, axis=0, kind="stable")
             spans = [ranges(codes[order[:, t], t], query_codes[:, t], bits) for t in range(trees)]
             lo, hi = np.stack([s[0] for s in spans]), np.stack([s[1] for s in spans])
-            enough = (hi - lo).sum(axis=0) >= min(entries, len(x))
+            enough = (hi - lo).sum(axis=0) >= min(entries, trees * len(x))
             level = bits - np.argmax(enough[::-1], axis=0)
             for i in range(len(q)):
                 mark = np.zeros(len(x), dtype=bool)
