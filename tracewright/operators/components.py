@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+EDGES_PER_TASK, LEAST_TASKS = 100_000, 4
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the session's checkpoint folder; a temporary one if none is set."""
     context = df.sparkSession.sparkContext
@@ -31,14 +34,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
     """
     a, b = F.col(src), F.col(dst)
     stars = cut(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    # Rounds only merge edges, so tasks for the edges of the beginning suffice; a small graph takes few.
+    parts = stars.count() // EDGES_PER_TASK + LEAST_TASKS
+    stars = stars.coalesce(parts)
     seen = None
     for _ in range(max_rounds):
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        stars = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        stars = cut(small.union(low.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts))
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             roots = stars.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
