@@ -48,8 +48,8 @@ def detour_displacement(rows: DataFrame, by: str, ratio: float) -> DataFrame:
     """
     best = F.min_by(F.struct("option_id", "length"), F.struct("class_rank", "length", "option_id"))
     short = F.min_by(F.struct("option_id", "length"), F.struct("length", "class_rank", "option_id"))
-    out = rows.groupBy(by).agg(best.alias("b"), short.alias("s")).withColumn("displaced", F.col("b.length") > F.col("s.length") * ratio)
-    return out.select(by, F.when(F.col("displaced"), F.col("s.option_id")).otherwise(F.col("b.option_id")).alias("winner"), F.col("b.option_id").alias("preferred"), "displaced")
+    out = rows.groupBy(by).agg(best.alias("best_"), short.alias("short_")).withColumn("displaced", F.col("best_.length") > F.col("short_.length") * ratio)
+    return out.select(by, F.when(F.col("displaced"), F.col("short_.option_id")).otherwise(F.col("best_.option_id")).alias("winner"), F.col("best_.option_id").alias("preferred"), "displaced")
 
 
 def choose_alignment(options: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cell, distance
+from .components import checkpointed
 
 
 def within(left: DataFrame, right: DataFrame, radius: float, prefix: str = "near_") -> DataFrame:
@@ -36,9 +37,9 @@ def nearest(left: DataFrame, right: DataFrame, key: str, other: str, first_radiu
     open_rows, radius, found = left, first_radius, None
     while not open_rows.isEmpty():
         pairs = within(open_rows, right, radius, prefix)
-        best = pairs.withColumn("n_", F.row_number().over(Window.partitionBy(key).orderBy("distance", prefix + other))).where("n_ = 1").drop("n_")
+        best = checkpointed(pairs.withColumn("n_", F.row_number().over(Window.partitionBy(key).orderBy("distance", prefix + other))).where("n_ = 1").drop("n_"))
         found = best if found is None else found.union(best)
-        open_rows = open_rows.join(best.select(key), key, "left_anti")
+        open_rows = checkpointed(open_rows.join(best.select(key), key, "left_anti"))
         radius *= 2
     return found if found is not None else within(left, right, first_radius, prefix)
 
