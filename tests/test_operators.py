@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import bands, geometry, identity, projection, tags
-from tracewright.operators import demand, graph, line_evidence, linear, monitoring, priority, selection, spatial, store
+from tracewright.operators import demand, graph, line_evidence, linear, monitoring, priority, rules, selection, spatial, store
 from tracewright.operators.components import connected_components
 
 
@@ -218,3 +218,49 @@ def test_projection_of_a_published_point(spark):
     assert value(spark, east) == pytest.approx(651409.903, abs=0.01) and value(spark, north) == pytest.approx(313177.270, abs=0.01)
     east, north = projection.wgs84_to_grid(F.lit(52.657979), F.lit(1.716052))
     assert value(spark, east) == pytest.approx(651409.8, abs=8) and value(spark, north) == pytest.approx(313177.4, abs=8)
+
+
+def test_interval_transitions_and_pruning(spark):
+    i = spark.createDataFrame([("l", 1, 0, 10), ("l", 2, 5, 20), ("l", 3, 30, 40)], "line string, evidence_id long, start_m long, end_m long")
+    assert rows(rules.transitions(i, "line")) == [("l", 0, 5, 1, 1), ("l", 5, 10, 2, 1), ("l", 10, 20, 1, 2), ("l", 30, 40, 1, 3)]
+    e = spark.createDataFrame([(1, "a", "b"), (2, "b", "c"), (3, "c", "d"), (4, "c", "a")], "edge_id long, a string, b string")
+    none = spark.createDataFrame([], "node string")
+    assert [r.edge_id for r in rules.prune_leaves(e, none).orderBy("edge_id").collect()] == [1, 2, 4]
+    assert rules.prune_leaves(e, e.select(F.col("b").alias("node"))).count() == 4
+
+
+def test_spanning_forest_costs_no_more_than_any_other(spark):
+    import random
+
+    rng = random.Random(2)
+    edges = [(i, rng.randrange(25), rng.randrange(25), rng.randrange(9)) for i in range(90)]
+    parent = list(range(25))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    want = set()
+    for i, a, b, c in sorted(edges, key=lambda e: (e[3], e[0])):
+        if root(a) != root(b):
+            parent[root(a)] = root(b)
+            want.add(i)
+    df = spark.createDataFrame(edges, "edge_id long, src long, dst long, cost long")
+    assert {r.edge_id for r in rules.spanning_forest(df).collect()} == want
+    assert rules.spanning_forest(df.limit(0)).count() == 0
+
+
+def test_raster_states_and_samples(spark):
+    pixels = spark.createDataFrame([(0, 0, 1, 0, 5.0), (0, 0, 0, 0, -4e38)], "tile_x long, tile_y long, row long, col long, value double")
+    places = spark.createDataFrame([(1, 10, 10), (2, 10, 60), (3, 500, 10)], "sample_id long, x long, y long")
+    assert rows(rules.sample_raster(places, pixels, 100, 50)) == [(1, 5.0, "available"), (2, None, "no-data"), (3, None, "explicit-unknown")]
+    r = spark.createDataFrame([(1, 0.0, 0.0, 30.0, 40.0), (2, 1.0, 1.0, 1.0, 1.0)], "route_id long, x0 double, y0 double, x1 double, y1 double")
+    assert rows(rules.samples(r, 20).select("route_id", "at_m", "x", "y")) == [(1, 0.0, 0.0, 0.0), (1, 20.0, 12.0, 16.0), (1, 40.0, 24.0, 32.0), (1, 50.0, 30.0, 40.0), (2, 0.0, 1.0, 1.0)]
+
+
+def test_hybrids_are_new_simple_sequences(spark):
+    r = spark.createDataFrame([("r", "e", list("abcz")), ("s", "e", list("axcyz")), ("t", "e", list("abcyz"))], "route_id string, ends string, nodes array<string>")
+    c = spark.createDataFrame([("c",)], "node string")
+    assert rows(rules.hybrids(r, c)) == [("e", "s", "r", "c", 4)]
+    assert rows(rules.parallel_sections(r.where("route_id = 'r'"), c)) == [("r", 0, "a", "c", 2), ("r", 1, "c", "z", 1)]

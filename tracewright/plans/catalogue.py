@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import demand, evidence, network, spatial, stream
+from . import demand, evidence, network, rules, spatial, stream
 
-_PLANS = demand.PLANS | evidence.PLANS | spatial.PLANS | network.PLANS | stream.PLANS
+_PLANS = demand.PLANS | evidence.PLANS | spatial.PLANS | network.PLANS | stream.PLANS | rules.PLANS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
