@@ -68,14 +68,30 @@ def paths(w: W.Words, window: int = WINDOW, kmer: int = KMER) -> dict[str, np.nd
     return {"text": text[at], "kmer": grams[anchor].view(np.int64), "path": content.view(np.int64), "start": lo - w.first[text[at]], "length": hi - lo}
 
 
+def _once(text: np.ndarray, one: np.ndarray, two: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Rows to keep of those with equal (text, one, two), and the starts of the others for each kept row; null if there are none.
+
+    Text that repeats a few words has the same path again and again; it is one row of the document then.
+    """
+    order = np.lexsort((start, two, one, text))
+    new = np.ones(len(order), dtype=bool)
+    a = order[:-1], order[1:]
+    new[1:] = (text[a[0]] != text[a[1]]) | (one[a[0]] != one[a[1]]) | (two[a[0]] != two[a[1]])
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.append(first, len(order)))
+    offsets = np.concatenate([[0], np.cumsum(sizes - 1)]).astype(np.int32)
+    return order[first], pa.ListArray.from_arrays(pa.array(offsets), pa.array(start[order[~new]].astype(np.int32)), mask=pa.array(sizes == 1))
+
+
 def _path_rows(window: int, kmer: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             found = paths(W.split(texts(batch.column("text"))), window, kmer)
-            at = pa.array(found["text"])
+            keep, also = _once(found["text"], found["kmer"], found["path"], found["start"])
+            at = pa.array(found["text"][keep])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found["kmer"]), pa.array(found["path"]), batch.column("doc_id").take(at), batch.column("tag").take(at), pa.array(found["start"].astype(np.int32)), pa.array(found["length"].astype(np.int32))],
-                names=["kmer", "path", *_DOC, "start", "length"],
+                [pa.array(found["kmer"][keep]), pa.array(found["path"][keep]), batch.column("doc_id").take(at), batch.column("tag").take(at), pa.array(found["start"][keep].astype(np.int32)), pa.array(found["length"][keep].astype(np.int32)), also],
+                names=["kmer", "path", *_DOC, "start", "length", "also"],
             )
 
     return rows
@@ -91,15 +107,16 @@ def _edge_rows(window: int):
             one, two = W.window_hashes(hashes, window, 0), W.window_hashes(hashes, window, 1)
             owner, starts = [], []
             for i, ranges in enumerate(batch.column("ranges").to_pylist()):
-                at = np.unique(np.concatenate([np.arange(r["start"], r["start"] + r["length"] - window + 1) for r in ranges]))
+                at = np.unique(np.concatenate([np.arange(x, x + r["length"] - window + 1) for r in ranges for x in (r["start"], *(r["also"] or ()))]))
                 owner.append(np.full(len(at), i))
                 starts.append(at)
             owner, starts = np.concatenate(owner), np.concatenate(starts)
             at = starts + w.first[owner]
-            take = pa.array(owner)
+            keep, also = _once(owner, one[at], two[at], starts)
+            at, take = at[keep], pa.array(owner[keep])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), batch.column("doc_id").take(take), batch.column("tag").take(take), pa.array(starts.astype(np.int32))],
-                names=["edge", "check", *_DOC, "start"],
+                [pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), batch.column("doc_id").take(take), batch.column("tag").take(take), pa.array(starts[keep].astype(np.int32)), also],
+                names=["edge", "check", *_DOC, "start", "also"],
             )
 
     return rows
@@ -114,8 +131,9 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if spans:
                 change = np.zeros(len(parts) + 1, dtype=np.int64)
                 for s in spans:
-                    change[s["start"]] += 1
-                    change[s["start"] + s["length"]] -= 1
+                    for start in (s["start"], *(s["also"] or ())):
+                        change[start] += 1
+                        change[start + s["length"]] -= 1
                 stay = np.cumsum(change[:-1]) == 0
                 parts = [parts[i] for i in np.flatnonzero(stay)]
             removed.append(total[-1] - len(parts))
@@ -147,21 +165,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("more"))
     rows = rows.withColumn("tag", F.hash("text"))
     known = rows.where("doc_id is not null and text is not null").select(*_DOC, "text", "more")
-    path = known.select(*_DOC, "text").mapInArrow(_path_rows(window, kmer), "kmer long, path long, doc_id long, tag int, start int, length int")
+    path = known.select(*_DOC, "text").mapInArrow(_path_rows(window, kmer), "kmer long, path long, doc_id long, tag int, start int, length int, also array<int>")
     shared = path.groupBy("kmer").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("kmer")
     path = cut(_apart(path, "kmer").join(_apart(shared, "kmer"), "kmer_").withColumnRenamed("kmer_", "kmer"))
     compact = path.groupBy("kmer", "path").agg(F.min("doc_id").alias("source"))
     branching = compact.groupBy("kmer").agg((F.count("*") > 1).alias("branches"))
     compact = compact.join(branching, "kmer")
-    path = cut(_apart(path, "kmer", "path").join(_apart(compact, "kmer", "path"), ["kmer_", "path_"]).where("doc_id > source or branches").select(*_DOC, "start", "length", "source"))
+    path = cut(_apart(path, "kmer", "path").join(_apart(compact, "kmer", "path"), ["kmer_", "path_"]).where("doc_id > source or branches").select(*_DOC, "start", "length", "also", "source"))
     # Where the graph branches, the sources' own paths become single edges.
-    ranges = path.where("doc_id = source").groupBy(*_DOC).agg(F.collect_list(F.struct("start", "length")).alias("ranges"))
+    ranges = path.where("doc_id = source").groupBy(*_DOC).agg(F.collect_list(F.struct("start", "length", "also")).alias("ranges"))
     # This join and the last one read one shuffle of the texts: both take the same columns of ``known``.
-    edges = known.join(ranges, _DOC).select(*_DOC, "text", "ranges", "more").mapInArrow(_edge_rows(window), "edge long, check long, doc_id long, tag int, start int")
+    edges = known.join(ranges, _DOC).select(*_DOC, "text", "ranges", "more").mapInArrow(_edge_rows(window), "edge long, check long, doc_id long, tag int, start int, also array<int>")
     sources = edges.groupBy("edge", "check").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
     single = _apart(edges, "edge", "check").join(_apart(sources, "edge", "check"), ["edge_", "check_"]).where("doc_id > source")
-    spans = path.where("doc_id > source").select(*_DOC, "start", "length").union(single.select(*_DOC, "start", F.lit(window).alias("length")))
-    spans = spans.groupBy(*_DOC).agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    spans = path.where("doc_id > source").select(*_DOC, "start", "length", "also").union(single.select(*_DOC, "start", F.lit(window).alias("length"), "also"))
+    spans = spans.groupBy(*_DOC).agg(F.collect_list(F.struct("start", "length", "also")).alias("spans"))
     out = known.join(spans, _DOC, "left").select("doc_id", "text", "spans", "more")
     apart = rows.where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), "more")
     out = out.union(apart)
