@@ -264,3 +264,53 @@ def test_hybrids_are_new_simple_sequences(spark):
     c = spark.createDataFrame([("c",)], "node string")
     assert rows(rules.hybrids(r, c)) == [("e", "s", "r", "c", 4)]
     assert rows(rules.parallel_sections(r.where("route_id = 'r'"), c)) == [("r", 0, "a", "c", 2), ("r", 1, "c", "z", 1)]
+
+
+def test_bridges_with_parallel_edges_and_cycles(spark):
+    e = spark.createDataFrame([(1, "a", "b"), (2, "b", "c"), (3, "c", "a"), (4, "c", "d"), (5, "d", "e"), (6, "e", "d"), (7, "e", "f"), (8, "x", "x"), (9, "y", "z")], "edge_id long, src string, dst string")
+    assert rows(graph.bridges(e)) == [(4,), (7,), (9,)]
+    assert graph.bridges(e.limit(0)).count() == 0
+
+
+def test_simple_paths_in_order(spark):
+    e = spark.createDataFrame([("a", "b", 1), ("b", "d", 1), ("a", "c", 1), ("c", "d", 1), ("a", "d", 5), ("b", "a", 1), ("c", "b", 1)], "src string, dst string, weight long")
+    o = spark.createDataFrame([("o", "a", "d"), ("none", "d", "a")], "obligation_id string, origin string, destination string")
+    got = [(r.cost, "".join(r.nodes)) for r in graph.simple_paths(o, e, 3, 3).orderBy("place").collect()]
+    assert got == [(2, "abd"), (2, "acd"), (3, "acbd")]
+
+
+def test_backbone_grows_like_taking_the_nearest_again_and_again(spark):
+    import heapq
+    import random
+
+    rng = random.Random(8)
+    nodes = [f"n{i:02d}" for i in range(30)]
+    edges = [(a, b, rng.randrange(1, 12)) for a in nodes for b in nodes if a < b and rng.random() < 0.07]
+    both = edges + [(b, a, w) for a, b, w in edges]
+    places, spine, most = nodes[3:30:3], nodes[:3], 14
+
+    def costs(starts):
+        best, heap = {s: 0 for s in starts}, [(0, s) for s in starts]
+        while heap:
+            c, x = heapq.heappop(heap)
+            for a, b, w in both:
+                if a == x and c <= best[x] and c + w < best.get(b, 10**9):
+                    best[b] = c + w
+                    heapq.heappush(heap, (c + w, b))
+        return best
+
+    served, total, left = list(spine), 0, set(places)
+    while left:
+        # Passing through a served place starts there, so the cost is from the nearest served one.
+        best = costs(served)
+        c, x = min((best.get(p, 10**9), p) for p in left)
+        if c > most:
+            break
+        served.append(x)
+        left.discard(x)
+        total += c
+    df = spark.createDataFrame(both, "src string, dst string, weight long")
+    one = lambda names: spark.createDataFrame([(n,) for n in names], "node string")
+    tree, state = graph.grow_backbone(one(places), one(spine), df, most)
+    assert {r.node for r in state.collect() if r.state == "gap"} == left
+    assert sum(r.cost for r in tree.collect()) == total and tree.count() == len(served) - len(spine)

@@ -54,8 +54,8 @@ def reach(seeds: DataFrame, edges: DataFrame, max_hops: int | None = None, limit
     return seen
 
 
-def shortest_paths(roots: DataFrame, edges: DataFrame, limit: int = 500) -> DataFrame:
-    """Least cost from each root to each node: relaxation of the nodes that changed, for all roots at once.
+def shortest_paths(roots: DataFrame, edges: DataFrame, limit: int = 500, max_cost: int | None = None) -> DataFrame:
+    """Least cost, up to ``max_cost``, from each root to each node: relaxation of the nodes that changed, for all roots at once.
 
     ``edges``: src, dst, weight (not negative).  Ties do not change a cost; the predecessor is the smallest of equals.
     """
@@ -63,6 +63,8 @@ def shortest_paths(roots: DataFrame, edges: DataFrame, limit: int = 500) -> Data
     changed = best
     for _ in range(limit):
         offers = changed.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("src").cast("string").alias("via"))
+        if max_cost is not None:
+            offers = offers.where(F.col("cost") <= max_cost)
         offers = offers.groupBy("root", "node").agg(F.min(F.struct("cost", "via")).alias("o")).select("root", "node", F.col("o.cost").alias("new"), F.col("o.via").alias("new_via"))
         rows = checkpointed(best.join(offers, ["root", "node"], "full").withColumn("better", F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost")) | ((F.col("new") == F.col("cost")) & (F.col("new_via") < F.col("via"))))))
         pick = lambda new, old: F.when(F.col("better"), F.col(new)).otherwise(F.col(old)).alias(old)
@@ -131,3 +133,84 @@ def dependency_levels(items: DataFrame, depends: DataFrame, limit: int = 100) ->
             return items.join(placed, "item", "left")
         placed = checkpointed(placed.union(ready))
     raise RuntimeError(f"levels did not settle in {limit} rounds")
+
+
+def bridges(edges: DataFrame) -> DataFrame:
+    """Edges whose loss would part a component, without regard to direction.  ``edges``: edge_id, src, dst.
+
+    A breadth-first tree is laid from each component's smallest node.  Every other edge gives a 64-bit hash of its id to both its
+    ends; the hashes cancel wherever a subtree holds both.  Summed up the tree level by level, they leave 0 below a bridge, and below
+    another edge with a chance of 2**-64.
+    """
+    plain = checkpointed(edges.where("src <> dst").select("edge_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")))
+    both = plain.select("edge_id", F.col("a").alias("src"), F.col("b").alias("dst")).union(plain.select("edge_id", F.col("b"), F.col("a")))
+    roots = connected_components(plain, "a", "b").where("node = component").select("node")
+    levels = checkpointed(reach(roots, both, limit=100_000))
+    up = both.join(levels.select(F.col("node").alias("dst"), F.col("hops").alias("above")), "dst").join(levels.select(F.col("node").alias("src"), "hops"), "src").where("above = hops - 1")
+    tree = checkpointed(up.groupBy("src", "hops").agg(F.min(F.struct("edge_id", "dst")).alias("p")).select(F.col("src").alias("node"), "hops", F.col("p.edge_id").alias("edge_id"), F.col("p.dst").alias("parent")))
+    spare = plain.join(tree.select("edge_id"), "edge_id", "left_anti").withColumn("mark", F.xxhash64("edge_id"))
+    marks = spare.select(F.explode(F.array("a", "b")).alias("node"), "mark").groupBy("node").agg(F.bit_xor("mark").alias("mark"))
+    rows = tree.join(marks, "node", "left").withColumn("mark", F.coalesce("mark", F.lit(0).cast("long")))
+    rows, depth, done = checkpointed(rows), tree.agg(F.max("hops")).first()[0] or 0, None
+    below = None
+    for level in range(depth, 0, -1):
+        now = rows.where(F.col("hops") == level)
+        if below is not None:
+            now = now.join(below, "node", "left").withColumn("mark", F.col("mark").bitwiseXOR(F.coalesce("more", F.lit(0).cast("long")))).drop("more")
+        now = checkpointed(now)
+        below = now.groupBy(F.col("parent").alias("node")).agg(F.bit_xor("mark").alias("more"))
+        found = now.where("mark = 0").select("edge_id")
+        done = found if done is None else done.union(found)
+    return done if done is not None else plain.select("edge_id").limit(0)
+
+
+def simple_paths(obligations: DataFrame, edges: DataFrame, max_edges: int, k: int, beam: int | None = None) -> DataFrame:
+    """The ``k`` cheapest simple paths of at most ``max_edges`` edges for each obligation; ties go to the smaller sequence of nodes.
+
+    ``obligations``: obligation_id, origin, destination.  ``edges``: src, dst, weight.  Paths of one more edge are made in every round; with ``beam`` only
+    so many of an obligation go on from each node, the cheapest, which bounds the work but may miss a path.
+    """
+    step = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    front = obligations.select("obligation_id", "destination", F.col("origin").alias("node"), F.lit(0).cast("long").alias("cost"), F.array("origin").alias("nodes"))
+    found = None
+    for _ in range(max_edges):
+        front = front.join(step, F.col("node") == F.col("src")).where("not array_contains(nodes, dst)")
+        front = front.select("obligation_id", "destination", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.concat("nodes", F.array("dst")).alias("nodes"))
+        if beam is not None:
+            w = Window.partitionBy("obligation_id", "node").orderBy("cost", "nodes")
+            front = front.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= beam).drop("n_")
+        front = checkpointed(front)
+        hit = front.where("node = destination").select("obligation_id", "cost", "nodes")
+        found = hit if found is None else found.union(hit)
+        front = front.where("node <> destination")
+    place = F.row_number().over(Window.partitionBy("obligation_id").orderBy("cost", "nodes"))
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+def grow_backbone(communities: DataFrame, spine: DataFrame, edges: DataFrame, max_cost: int) -> tuple[DataFrame, DataFrame]:
+    """Communities attached outward from the spine, nearest first, each accepted one a start for the next; and what each is in the end.
+
+    Taking the nearest open community again and again is Prim's order from the spine, so its connections are the shortest spanning tree over
+    spine and communities under path costs; they are found for all at once.  ``communities``, ``spine``: node (string).  ``edges``: src, dst,
+    weight, both directions listed.  Returns connections (a, b, cost; the spine as one node named ``*``) and states (node, connected or gap).
+    """
+    from .rules import spanning_forest
+
+    on = spine.select("node", F.lit("*").alias("name")).distinct()
+    rows = edges
+    for end in ("src", "dst"):
+        rows = rows.join(on.withColumnsRenamed({"node": end, "name": f"{end}_name"}), end, "left").withColumn(end, F.coalesce(f"{end}_name", end)).drop(f"{end}_name")
+    rows = checkpointed(rows.where("src <> dst").groupBy("src", "dst").agg(F.min("weight").alias("weight")))
+    places = communities.select("node").join(spine, "node", "left_anti").distinct()
+    named = checkpointed(places.union(spine.limit(1).select(F.lit("*"))))
+    costs = shortest_paths(named, rows, max_cost=max_cost).where("root < node").join(named, "node", "left_semi")
+    pairs = costs.select(F.concat_ws("|", "root", "node").alias("edge_id"), F.col("root").alias("src"), F.col("node").alias("dst"), "cost")
+    pairs = checkpointed(pairs)
+    tree = spanning_forest(pairs).join(pairs.drop("cost"), "edge_id").select(F.col("src").alias("a"), F.col("dst").alias("b"), "cost")
+    tree = checkpointed(tree)
+    part = connected_components(tree, "a", "b")
+    home = part.where("node = '*'").select("component", F.lit(True).alias("home"))
+    state = communities.select("node").distinct().join(spine.select("node", F.lit(True).alias("itself")).distinct(), "node", "left").join(part, "node", "left").join(home, "component", "left")
+    state = state.select("node", F.when(F.col("itself") | F.col("home"), "connected").otherwise("gap").alias("state"))
+    kept = tree.join(part.select(F.col("node").alias("a"), "component"), "a").join(home, "component", "left_semi").select("a", "b", "cost")
+    return kept, state

@@ -69,6 +69,58 @@ CHAIN = f"""with recursive {NEAR_SQL}, walk(node, hops) using key (node) as (sel
     select vec_id as node, cast(hops as bigint) as steps, case when hops is null then 'unserved' when hops = 0 then 'direct' else 'chained' end as state from pts left join walk on node = vec_id"""
 
 
+def bridges(spark, sf_dir):
+    _, e = _near(spark, sf_dir)
+    return G.bridges(e.where("src < dst").select(F.concat_ws("-", "src", "dst").alias("edge_id"), "src", "dst"))
+
+
+BRIDGES = f"""with recursive {NEAR_SQL}, e as (select src || '-' || dst as edge_id, src, dst from links where src < dst),
+    walk(edge_id, node) as (select edge_id, src from e union select w.edge_id, l.dst from walk w join links l on l.src = w.node where least(l.src, l.dst) || '-' || greatest(l.src, l.dst) <> w.edge_id)
+    select edge_id from e where not exists (select 1 from walk w where w.edge_id = e.edge_id and w.node = e.dst)"""
+
+
+def _backbone(spark, sf_dir):
+    edges = transitions(spark, sf_dir).where("n > 4").select("src", "dst", "weight")
+    both = edges.union(edges.select("dst", "src", "weight"))
+    nodes = transitions(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return G.grow_backbone(nodes.where("node like '%-3' or node like '%-5' or node like '%-7'"), nodes.where("node like 'view-%'"), both, 90)
+
+
+def backbone_connections(spark, sf_dir):
+    return _backbone(spark, sf_dir)[0]
+
+
+def backbone_states(spark, sf_dir):
+    return _backbone(spark, sf_dir)[1]
+
+
+BACKBONE = f"""with recursive {TRANSITIONS_SQL}, kept as (select src, dst, weight from edges where n > 4), nodes as (select src as node from edges union select dst from edges),
+    named as (select case when src like 'view-%' then '*' else src end as src, case when dst like 'view-%' then '*' else dst end as dst, weight from (select * from kept union all select dst, src, weight from kept)),
+    e as (select src, dst, min(weight) as weight from named where src <> dst group by src, dst),
+    places as (select node from nodes where node not like 'view-%' and (node like '%-3' or node like '%-5' or node like '%-7') union select '*'),
+    walk(root, node, cost) using key (root, node) as (select node, node, 0::bigint from places
+        union select w.root, e.dst, min(w.cost + e.weight) from walk w join e on e.src = w.node left join recurring.walk r on r.root = w.root and r.node = e.dst
+        where w.cost + e.weight <= 90 and (r.cost is null or r.cost > w.cost + e.weight) group by w.root, e.dst),
+    near as (select root, node from walk where root <> node and node in (from places)),
+    joined(node) as (select '*' union select near.node from joined join near on root = joined.node)
+    select node, case when node like 'view-%' or node in (from joined) then 'connected' else 'gap' end as state from nodes where node like '%-3' or node like '%-5' or node like '%-7'"""
+
+
+def candidate_paths(spark, sf_dir):
+    """Three cheapest simple paths of at most three edges between the busiest neighbours of a few nodes."""
+    edges = transitions(spark, sf_dir).where("n > 2")
+    asked = edges.where("src like '%-0'").select(F.concat_ws(">", "src", "dst").alias("obligation_id"), F.col("src").alias("origin"), F.col("dst").alias("destination"))
+    rows = G.simple_paths(asked, edges, 3, 3)
+    return rows.select("obligation_id", "cost", F.array_join("nodes", ">").alias("path"), F.col("place").cast("long").alias("place"))
+
+
+PATHS = f"""with recursive {TRANSITIONS_SQL}, e as (select * from edges where n > 2), asked as (select src || '>' || dst as id, src as origin, dst as goal from e where src like '%-0'),
+    walk(id, goal, node, cost, nodes, k) as (select id, goal, origin, 0::bigint, [origin], 0 from asked
+        union all select w.id, w.goal, e.dst, w.cost + e.weight, list_append(w.nodes, e.dst), w.k + 1 from walk w join e on e.src = w.node where w.k < 3 and w.node <> w.goal and not list_contains(w.nodes, e.dst)),
+    r as (select id, cost, nodes, row_number() over (partition by id order by cost, nodes) as place from walk where node = goal)
+    select id as obligation_id, cost, array_to_string(nodes, '>') as path, place from r where place <= 3"""
+
+
 def shortest_paths(spark, sf_dir):
     edges = transitions(spark, sf_dir).where("n > 2")
     return G.shortest_paths(edges.select(F.col("src").alias("node")).where("node like '%-0'").distinct(), edges).select("root", "node", "cost")
@@ -339,6 +391,10 @@ PLANS = {
     "reciprocal_edges": (reciprocal_edges, RECIPROCAL),
     "reach_hops": (reach_hops, REACH),
     "community_chain": (community_chain, CHAIN),
+    "backbone_connections": (backbone_connections, None),
+    "backbone_states": (backbone_states, BACKBONE),
+    "bridges": (bridges, BRIDGES),
+    "candidate_paths": (candidate_paths, PATHS),
     "shortest_paths": (shortest_paths, SHORTEST),
     "strong_components": (strong_components, STRONG),
     "best_edges": (best_edges, BEST),
