@@ -42,23 +42,19 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 2
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = batch.column(column).get_total_buffer_size() if batch.num_rows == 1 else None
-        if size is None:
-            lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-            total, begin = 0, 0
-            for i, n in enumerate(lengths):
-                if total and total + n > limit:
-                    yield batch.slice(begin, i - begin)
-                    total, begin = 0, i
-                total += int(n)
-            yield batch.slice(begin)
-        else:
-            yield batch
-
-
-def nothing(df: DataFrame, schema: str) -> DataFrame:
-    """No rows of ``schema``, in the session of ``df``."""
-    return df.sparkSession.createDataFrame([], schema)
+        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        total, begin = 0, 0
+        for i, n in enumerate(lengths):
+            if total and total + n > limit:
+                yield batch.slice(begin, i - begin)
+                total, begin = 0, i
+            total += int(n)
+        yield batch.slice(begin)
+
+
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """The keys under other names and complemented: a join on them shuffles both sides anew, so that Spark can split a hot key's rows."""
+    return df.select(*[F.bitwise_not(F.col(k)).alias(f"{k}_") for k in keys], *[c for c in df.columns if c not in keys])
 
 
 def lower_ascii(column):

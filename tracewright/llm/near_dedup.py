@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from . import words as W
-from .common import by_bytes, cut, texts
+from .common import apart, by_bytes, cut, texts
 
 COORDINATES, MATCHES, PREFIX, COLLISIONS, LEADER_COLLISIONS = 32, 10, 12, 2, 6
 SIMILARITY = 75
@@ -116,14 +116,14 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     classes = cut(signed.where("n > 0 and doc_id is not null").groupBy(*whole).agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")))
     posted = classes.select("id", F.posexplode("signature").alias("coordinate", "value"))
     shared = posted.groupBy("coordinate", "value").agg(F.count("*").alias("length")).where("length > 1")
-    hits = posted.join(shared, ["coordinate", "value"])
+    hits = apart(posted, "value").join(apart(shared, "value"), ["coordinate", "value_"])
     able = hits.groupBy("id").agg(F.count("*").alias("matches"), F.sum("length").alias("weight")).where(F.col("matches") >= MATCHES)
     able = cut(able.select("id", "weight"))
     prefix = F.slice("signature", 1, PREFIX)
     lists = cut(classes.join(able, "id").select("id", "n", "weight", prefix.alias("prefix"), F.posexplode(prefix).alias("coordinate", "value")))
-    key = ["coordinate", "value"]
+    key, split = ["coordinate", "value"], ["coordinate", "value_"]
     leaders = lists.groupBy(*key).agg(F.max(F.struct("weight", (-F.col("id")).alias("back"))).alias("lead"), F.count("*").alias("size")).where("size > 1")
-    pairs = lists.join(leaders, key).select(F.col("id").alias("src"), (-F.col("lead.back")).alias("dst")).where("src <> dst")
+    pairs = apart(lists, "value").join(apart(leaders, "value"), split).select(F.col("id").alias("src"), (-F.col("lead.back")).alias("dst")).where("src <> dst")
     pairs = pairs.groupBy("src", "dst").count().where(F.col("count") >= LEADER_COLLISIONS).select("src", "dst")
     # Both directions of a pair may come up; confirming it twice costs less than another shuffle.
     sets = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(able.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "id long, members binary"))
@@ -145,16 +145,17 @@ def _across(lists: DataFrame, found: DataFrame, sets: DataFrame, similarity: int
     chain the rest to clusters, and a cluster is compared in blocks of about BLOCK members with BLOCK
     others, each inside one task; only links come out.
     """
-    key = ["coordinate", "value"]
+    key, split = ["coordinate", "value"], ["coordinate", "value_"]
     lists = lists.join(found, F.col("id") == F.col("node"), "left").select("id", "n", "prefix", *key, F.coalesce("component", "id").alias("component"))
     mixed = lists.groupBy(*key).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(*key)
-    lists = cut(lists.join(mixed, key, "left_semi"))
+    lists = apart(lists, "value").join(apart(mixed, "value"), split, "left_semi")
+    lists = cut(lists.withColumn("value", F.bitwise_not("value_")).drop("value_"))
     members = sets.join(lists.select("id").distinct(), "id", "left_semi").mapInArrow(_members, "id long, shingle long")
     own = members.groupBy("shingle").agg(F.count("*").alias("owners"), F.min("id").alias("id")).where("owners = 1").groupBy("id").agg(F.count("*").alias("own"))
     lists = lists.join(own, "id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).where(100 * F.col("common") >= similarity * F.col("n"))
     lists = cut(lists.select("id", "n", "component", "common", "prefix", *key))
     heads = lists.groupBy(*key).agg(F.min("id").alias("head"))
-    clusters = connected_components(lists.join(heads, key).select(F.col("id").alias("src"), F.col("head").alias("dst")), cut=cut)
+    clusters = connected_components(apart(lists, "value").join(apart(heads, "value"), split).select(F.col("id").alias("src"), F.col("head").alias("dst")), cut=cut)
     rows = lists.select("id", "n", "component", "common", "prefix").distinct().join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
     sizes = rows.groupBy("cluster").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     rows = rows.join(sizes.select("cluster", F.ceil(F.col("size") / BLOCK).alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
