@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import by_bytes, cut, texts
+from .common import apart, by_bytes, cut, texts
 
 WINDOW, KMER = 50, 10
 #: Bits of a selection key that hold the word's position in the batch; the rest hold the k-mer's hash.
@@ -144,11 +144,6 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns + [batch.column("more")], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "more"])
 
 
-def _apart(df: DataFrame, *keys: str) -> DataFrame:
-    """The keys under other names and complemented: a join on them shuffles both sides anew, so that Spark can split a hot key's rows."""
-    return df.select(*[F.bitwise_not(F.col(k)).alias(f"{k}_") for k in keys], *[c for c in df.columns if c not in keys])
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """Remove words covered by a window that also starts in a document with a smaller doc_id.
 
@@ -167,21 +162,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     known = rows.where("doc_id is not null and text is not null").select(*_DOC, "text", "more")
     path = known.select(*_DOC, "text").mapInArrow(_path_rows(window, kmer), "kmer long, path long, doc_id long, tag int, start int, length int, also array<int>")
     shared = path.groupBy("kmer").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("kmer")
-    path = cut(_apart(path, "kmer").join(_apart(shared, "kmer"), "kmer_").withColumnRenamed("kmer_", "kmer"))
+    path = cut(apart(path, "kmer").join(apart(shared, "kmer"), "kmer_").withColumnRenamed("kmer_", "kmer"))
     compact = path.groupBy("kmer", "path").agg(F.min("doc_id").alias("source"))
     branching = compact.groupBy("kmer").agg((F.count("*") > 1).alias("branches"))
-    compact = compact.join(branching, "kmer")
-    path = cut(_apart(path, "kmer", "path").join(_apart(compact, "kmer", "path"), ["kmer_", "path_"]).where("doc_id > source or branches").select(*_DOC, "start", "length", "also", "source"))
+    compact = apart(compact, "kmer").join(apart(branching, "kmer"), "kmer_").withColumn("kmer", F.bitwise_not("kmer_")).drop("kmer_")
+    path = cut(apart(path, "kmer", "path").join(apart(compact, "kmer", "path"), ["kmer_", "path_"]).where("doc_id > source or branches").select(*_DOC, "start", "length", "also", "source"))
     # Where the graph branches, the sources' own paths become single edges.
     ranges = path.where("doc_id = source").groupBy(*_DOC).agg(F.collect_list(F.struct("start", "length", "also")).alias("ranges"))
     # This join and the last one read one shuffle of the texts: both take the same columns of ``known``.
     edges = known.join(ranges, _DOC).select(*_DOC, "text", "ranges", "more").mapInArrow(_edge_rows(window), "edge long, check long, doc_id long, tag int, start int, also array<int>")
     sources = edges.groupBy("edge", "check").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
-    single = _apart(edges, "edge", "check").join(_apart(sources, "edge", "check"), ["edge_", "check_"]).where("doc_id > source")
+    single = apart(edges, "edge", "check").join(apart(sources, "edge", "check"), ["edge_", "check_"]).where("doc_id > source")
     spans = path.where("doc_id > source").select(*_DOC, "start", "length", "also").union(single.select(*_DOC, "start", F.lit(window).alias("length"), "also"))
     spans = spans.groupBy(*_DOC).agg(F.collect_list(F.struct("start", "length", "also")).alias("spans"))
     out = known.join(spans, _DOC, "left").select("doc_id", "text", "spans", "more")
-    apart = rows.where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), "more")
-    out = out.union(apart)
+    odd = rows.where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), "more")
+    out = out.union(odd)
     more = docs.sparkSession.createDataFrame([], rows.select("more").schema).schema["more"].dataType.simpleString()
     return out.mapInArrow(_remove, f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, more {more}")
