@@ -66,35 +66,71 @@ RULES = (
     (("ccby4",), "CC-BY-4.0"),
     (("reserved",), "LicenseRef-AllRightsReserved"),
 )
+# Sentences of the usual notices in full, beside SENTENCES, and the rules that take them, before RULES.
+NOTICES = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mitgrant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "asis",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mitliable",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsdasis",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bsdliable",
+    "you should have received a copy of the gnu general public license along with this program": "gnucopy",
+    "http www apache org licenses license 2 0": "apacheurl",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apachebasis",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apacherest",
+    "see the license for the specific language governing permissions and limitations under the license": "apachesee",
+}
+NOTICE_RULES = (
+    (("gpl3plus", "gnuwarranty", "gnudetails", "gnucopy"), "GPL-3.0-or-later"),
+    (("gpl2plus", "gnuwarranty", "gnudetails", "gnucopy"), "GPL-2.0-or-later"),
+    (("apache2head", "apache2comply", "apache2copy", "apacheurl", "apachebasis", "apachesee"), "Apache-2.0"),
+    (("apache2head", "apache2comply", "apacherest", "apachesee"), "Apache-2.0"),
+    (("mitgrant", "mitnotice", "asis", "mitliable"), "MIT"),
+    (("bsdgrant", "bsdsource", "bsdbinary", "bsdendorse", "bsdasis", "bsdliable"), "BSD-3-Clause"),
+    (("bsdgrant", "bsdsource", "bsdbinary", "bsdasis", "bsdliable"), "BSD-2-Clause"),
+)
 #: A sentence with one of these words that is not a known one is listed as <unknown>.
 HINT = r"(^| )(licen[cs]e|licen[cs]ed|copyright)( |$)"
 #: Sentences end at a line's end or at closing punctuation before a space.
 END, NOISE = r"[.!?;:]+[ \t\r\n]+", r"[^a-z0-9\n]+"
+#: Ends that a known sentence does not run across, unlike line ends, semicolons and colons.
+STOP = r"[;:]*[.!?][.!?;:]*[ \t\r\n]+"
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text; null for a null text."""
-    clean = F.regexp_replace(F.regexp_replace(lower_ascii(text), END, "\n"), NOISE, " ")
-    return F.filter(F.transform(F.split(clean, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    """Normalised sentences of a text, with an empty one after each full stop and for each blank line; null for a null text."""
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(lower_ascii(text), STOP, "\n\n"), END, "\n"), NOISE, " ")
+    return F.transform(F.split(clean, "\n"), lambda s: F.trim(s))
+
+
+def _named(parts: Column, known: dict[str, str]) -> Column:
+    """Sentences, with each run of them that makes a known sentence replaced by its identifier as ``<a>``; the longest known first.
+
+    A known sentence may be wrapped or cut at semicolons and colons, and after the word v, but starts and ends with a sentence.
+    """
+    flat = F.concat(F.lit("\n"), F.array_join(parts, "\n"), F.lit("\n"))
+    spaced = F.replace(F.replace(flat, F.lit("\n\n"), F.lit(" ")), F.lit("\n"), F.lit(" "))
+    table = F.array(*[F.struct(F.lit(s).alias("s"), F.lit("\n" + s.replace(" ", "[ \n]").replace("[ \n]v[ \n]", "[ \n]v(?: |\n\n?)") + "(?=\n)").alias("p"), F.lit(f"\n<{i}>").alias("i")) for s, i in sorted(known.items(), key=lambda x: (-len(x[0]), x[0]))])
+    found = F.filter(table, lambda k: F.contains(spaced, k["s"]))
+    return F.split(F.aggregate(found, flat, lambda text, k: F.regexp_replace(text, k["p"], k["i"])), "\n")
 
 
-def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
+def scan(docs: DataFrame, known: dict[str, str] = SENTENCES | NOTICES, rules=NOTICE_RULES + RULES) -> DataFrame:
     """Licences of each text.
 
+    n_sentences counts the parts of a text between ends (also line ends); a known sentence may run over several of them.
     Returns, for each row, doc_id, n_sentences, sentence_ids (as ``<a><b>``, in order), licenses
     (matched names, sorted, distinct, joined by comma; empty if none), n_unmatched (identifiers that no
     rule used) and status: none, identified, or partial if some identifier is unmatched.  Null and
     empty texts have no sentences; repeated rows are scanned each; an empty table gives no rows;
     columns other than doc_id and text are ignored.
     """
-    kept = F.filter("sentences", lambda s: s.isin(list(known)) | s.rlike(HINT))
-    name = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    ids = F.transform("kept", lambda s: F.concat(F.lit("<"), F.coalesce(F.element_at(name, s), F.lit("unknown")), F.lit(">")))
+    kept = F.filter(_named(F.col("sentences"), known), lambda s: s.startswith("<") | s.rlike(HINT))
+    ids = F.transform("kept", lambda s: F.when(s.startswith("<"), s).otherwise("<unknown>"))
     matched = F.col("sentence_ids")
     for parts, licence in rules:
         matched = F.replace(matched, F.lit("".join(f"<{p}>" for p in parts)), F.lit("{" + licence + "}"))
     rows = docs.select(F.col("doc_id"), F.coalesce(sentences(F.col("text").cast("string")), F.array().cast("array<string>")).alias("sentences"))
-    rows = rows.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), kept.alias("kept"))
+    rows = rows.select("doc_id", F.size(F.filter("sentences", lambda s: s != "")).cast("long").alias("n_sentences"), kept.alias("kept"))
     rows = rows.select("doc_id", "n_sentences", F.array_join(ids, "").alias("sentence_ids"))
     rows = rows.withColumn("matched", matched)
     rows = rows.select(
@@ -108,7 +144,7 @@ def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules=RULES) -> Dat
 
 
 def oracle(known: dict[str, str] = SENTENCES, rules=RULES) -> str:
-    """DuckDB SQL for ``scan`` over ``documents``."""
+    """DuckDB SQL for ``scan`` over ``documents`` where each known sentence is one part: it does not join wrapped or cut ones."""
     names = ", ".join(f"('{s}', '{i}')" for s, i in known.items())
     matched = "sentence_ids"
     for parts, licence in rules:
