@@ -80,3 +80,23 @@ def test_status_changes_stream(spark, tmp_path):
     stream = spark.readStream.schema("id string, state string, recorded_at timestamp").parquet(str(tmp_path / "in" / "u.parquet"))
     out = events.drain(events.status_changes(stream, "id"), "append").collect()
     assert len(out) == 3 and {(r.id, r.was, r.state) for r in out} == {("k", None, "a"), ("k", "a", "b"), ("j", None, "c")}
+
+
+def test_streams_over_directories_of_part_files(spark, tmp_path):
+    from tracewright.plans import stream
+
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, i % 3, at + dt.timedelta(hours=(i * 7) % 60), ("purchase", "error", "view")[i % 4 % 3], i / 2) for i in range(90)]
+    kind = "event_id long, user_id long, ts timestamp, event_type string, value double"
+    one, many = tmp_path / "one", tmp_path / "many"
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "tmp"))
+    one.mkdir()
+    next((tmp_path / "tmp").glob("part-*")).rename(one / "events.parquet")
+    spark.createDataFrame(rows, kind).repartition(5).write.parquet(str(many / "events.parquet"))
+    for name, (query, _) in stream.PLANS.items():
+        before = {t.name for t in spark.catalog.listTables()}
+        want, got = query(spark, str(one)).collect(), query(spark, str(many)).collect()
+        assert want and sorted(got, key=str) == sorted(want, key=str), name
+        assert {t.name for t in spark.catalog.listTables()} == before, name
+    states = events.effective_states(events.read_files(spark, str(many), "events.parquet", 1).select("user_id", F.lit(0).alias("dimension"), F.col("value").cast("long").alias("state"), events.verification(F.col("event_type")).alias("verification"), F.to_date("ts").alias("observed_on"), F.col("ts").alias("recorded_on"), F.col("event_id").alias("update_id")), ["user_id"])
+    assert sorted(map(tuple, events.drain(states, "update", ["user_id"]).collect())) == sorted(map(tuple, events.drain(states).collect()))

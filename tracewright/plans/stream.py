@@ -15,7 +15,7 @@ def _events(spark, sf_dir):
 def stream_asof_status(spark, sf_dir):
     e = _events(spark, sf_dir)
     updates = e.select("user_id", (F.col("event_id") % 5).alias("dimension"), F.round("value").cast("long").alias("state"), E.verification(F.col("event_type")).alias("verification"), F.to_date("ts").alias("observed_on"), F.col("ts").alias("recorded_on"), F.col("event_id").alias("update_id"))
-    return E.drain(E.effective_states(updates, ["user_id", "dimension"]))
+    return E.drain(E.effective_states(updates, ["user_id", "dimension"]), "update", ["user_id", "dimension"])
 
 
 def stream_day_windows(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -9,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..sources.publish import _fs
 
 
 def effective_states(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -65,17 +69,39 @@ def status_changes(updates: DataFrame, key: str, late: str = "2 days") -> DataFr
 
 
 def read_files(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 16) -> DataFrame:
-    """A stream over the parquet files called ``name`` in a folder."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    """A stream over a parquet table of a folder: one file, or a directory of part files."""
+    path = f"{folder}/{name}"
+    fs, at = _fs(spark, path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path) if fs.getFileStatus(at).isDirectory() else reader.option("pathGlobFilter", name).parquet(folder)
+
 
+def drain(stream: DataFrame, mode: str = "complete", keys: Sequence[str] = ()) -> DataFrame:
+    """All results of a stream over what is there now, in files of a new folder under ``spark.checkpoint.dir``.
 
-def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """All results of a stream over what is there now, as a table in memory: for tests and small views."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    In complete mode each trigger replaces the files; else each adds its rows, and in update mode the last row of ``keys`` counts.
+    """
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of a row")
+    spark = stream.sparkSession
+    folder = f"{spark.conf.get('spark.checkpoint.dir', '') or tempfile.mkdtemp(prefix='checkpoint')}/drained_{uuid.uuid4().hex}"
+    batches = set()
+
+    def save(rows: DataFrame, batch: int) -> None:
+        batches.add(batch)
+        to = f"{folder}/rows" if mode == "complete" else f"{folder}/rows/batch_={batch}"
+        rows.write.mode("overwrite").parquet(to)
+
+    query = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch_", LongType())])).parquet(f"{folder}/rows")
+    if mode == "update":
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch_").alias("row_")).select("row_.*")
+    return rows.select(*stream.columns)
 
 
 def write(stream: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> None:
