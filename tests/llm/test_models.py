@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -151,3 +152,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert abs(words(kept["mixing"]) - 1.5 * words(kept["substring_dedup"])) < 10
     assert all(r.n_chars == len(r.text) for r in kept["mixing"] if r.doc_id == 1002)
     assert all(len(r.ids) == r.n_tokens > 0 for r in kept["sentencepiece"]) and len(kept["sentencepiece"]) == len(kept["mixing"])
+
+
+def test_similarities_are_kernels_of_all_pairs():
+    rng = random.Random(3)
+    marks = [b"loser", b"dumb", b"grubnik", b"moldwart", b"aaaa", b"xy"]
+    words = [b"lser", b"dmb", b"grbnk", b"mldwrt", b"", b"ab", b"dumber", b"aaaaaa", b"zzzz"] + ["".join(rng.choices("abdelmorsuw", k=rng.randrange(3, 33))).encode() for _ in range(300)]
+    got = toxicity.similarities(words, marks)
+    for i, w in enumerate(words):
+        for j, m in enumerate(marks):
+            pair, own, ref = (float(toxicity.kernel(toxicity.pad([x]), toxicity.pad([y]))[0]) for x, y in ((w, m), (w, w), (m, m)))
+            want = pair / max(own * ref, 1e-12) ** 0.5
+            assert got[i, j] == pytest.approx(want if want >= toxicity.FLOOR else 0, abs=1e-9), (w, m)
+    masked = [toxicity.clean(w) for w in (b"l*ser", b"d*mb", b"gr*bn*k")]
+    assert (np.diag(toxicity.similarities(masked, marks[:3])) > 0.4).all()

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -26,12 +27,11 @@ from .sampling import PER_CLASS, labelled, remainder
 LENGTH, GAP, LANDMARKS, SHORTEST = 3, 0.7, 32, 4
 #: Words above this many bytes are looked at in pieces that overlap by half.
 PIECE = 32
-#: A word may lack one of a landmark's distinct letters for every LETTERS of them; beyond, and for similarities
-#: below FLOOR, the kernel counts as 0.
-LETTERS, FLOOR = 6, 0.15
+#: Similarities below this count as 0.
+FLOOR = 0.15
 EPOCHS, REGULAR, SEED = 60, 1e-3, 3
-#: Pairs of words in one kernel pass.
-PASS = 1 << 13
+#: Subsequences looked up, and words compared with themselves, in one pass.
+TRIPLES, PASS = 1 << 17, 1 << 12
 #: Digits and signs that stand for letters, beside the letters themselves; all other bytes are left out.
 _LETTERS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ013457@$!", b"abcdefghijklmnopqrstuvwxyzoieastasi")
 _OTHER = bytes(b for b in range(256) if not bytes([b]).translate(_LETTERS).isalpha() or b > 127)
@@ -74,24 +74,69 @@ def pad(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(len(words), width)
 
 
+def subsequences(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all subsequences of LENGTH characters in a word, and their discounts."""
+    at = np.array(list(combinations(range(width), LENGTH)), dtype=np.int64).reshape(-1, LENGTH)
+    return at, GAP ** (at[:, -1] - at[:, 0] + 1.0)
+
+
 def similarities(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
-    """Normalised kernel of each word with each landmark."""
+    """Normalised kernel of each word with each landmark; 0 below FLOOR.
+
+    The kernels come from the landmarks' subsequences, which are looked up in each word.  A word's kernel with itself is
+    at least the sum of its squared discounts, and just that if no letter repeats; else it is computed, and only where that
+    bound leaves some similarity at FLOOR or above.
+    """
     out = np.zeros((len(words), len(landmarks)))
     if not words or not landmarks:
         return out
     rows, marks = pad(words), pad(landmarks)
-    bit = np.zeros(256, dtype=np.uint32)
-    bit[0x61:0x7B] = np.uint32(1) << np.arange(26, dtype=np.uint32)
-    have, need = np.bitwise_or.reduce(bit[rows], axis=1), np.bitwise_or.reduce(bit[marks], axis=1)
-    pairs = np.concatenate([np.stack([at, np.full(len(at), m)]) for m in range(len(landmarks)) for at in [np.flatnonzero(np.bitwise_count(need[m] & ~have) <= np.bitwise_count(need[m]) // LETTERS)]], axis=1)
+    letter = np.zeros(256, dtype=np.int64)
+    used = np.unique(marks[marks > 0])
+    letter[used] = np.arange(1, len(used) + 1)
+    scale = (len(used) + 1) ** np.arange(LENGTH)
+    code = lambda table, at: sum(letter[table[:, at[:, k]]] * scale[k] for k in range(LENGTH))
+    keys, weights = [], []
+    for mark in landmarks:
+        at, w = subsequences(len(mark))
+        key, place = np.unique(code(pad([mark]), at)[0], return_inverse=True)
+        keys.append(key)
+        weights.append(np.bincount(place, w, len(key)) if len(key) else w)
+    known = np.unique(np.concatenate(keys))
+    if not len(known):
+        return out
+    value = np.zeros((len(known), len(landmarks)))
+    for m, (key, w) in enumerate(zip(keys, weights)):
+        value[np.searchsorted(known, key), m] = w
+    row_of = np.full((len(used) + 1) ** LENGTH, -1, dtype=np.int32)
+    row_of[known] = np.arange(len(known), dtype=np.int32)
+    ref = np.maximum((value * value).sum(axis=0), 1e-12)
     lengths = (rows > 0).sum(axis=1)
-    pairs = pairs[:, np.argsort(lengths[pairs[0]], kind="stable")]
-    for i in range(0, pairs.shape[1], PASS):
-        x, m = pairs[:, i : i + PASS]
-        a = rows[x][:, : max(1, lengths[x].max())]
-        own = kernel(a, a)
-        ref = kernel(marks, marks)[m]
-        out[x, m] = kernel(a, marks[m]) / np.sqrt(np.maximum(own * ref, 1e-12))
+    bound = np.full(len(words), 1e-12)
+    for n in np.unique(lengths[lengths >= LENGTH]):
+        at, w = subsequences(int(n))
+        group = np.flatnonzero(lengths == n)
+        bound[group] = (w * w).sum()
+        step = max(1, TRIPLES // len(at))
+        for i in range(0, len(group), step):
+            some = group[i : i + step]
+            found = row_of[code(rows[some], at)]
+            word, triple = np.nonzero(found >= 0)
+            if len(word):
+                first = np.flatnonzero(np.diff(word, prepend=-1))
+                out[some[word[first]]] = np.add.reduceat(value[found[word, triple]] * w[triple, None], first, axis=0)
+    near = np.flatnonzero((out / np.sqrt(bound[:, None] * ref) >= FLOOR * (1 - 1e-9)).any(axis=1))
+    own = np.full(len(words), np.inf)
+    ordered = np.sort(rows[near], axis=1)
+    repeats = ((ordered[:, 1:] == ordered[:, :-1]) & (ordered[:, 1:] > 0)).any(axis=1)
+    own[near[~repeats]] = bound[near[~repeats]]
+    near = near[repeats]
+    near = near[np.argsort(lengths[near], kind="stable")]
+    for i in range(0, len(near), PASS):
+        some = near[i : i + PASS]
+        a = rows[some][:, : lengths[some].max()]
+        own[some] = kernel(a, a)
+    out /= np.sqrt(np.maximum(own[:, None] * ref, 1e-12))
     return np.where(out < FLOOR, 0, out)
 
 
