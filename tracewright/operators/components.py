@@ -1,31 +1,49 @@
 """Connected components by alternating star contraction.
 
-Every round replaces edges by edges to smaller neighbours, with map-side minima, so a hub with many
-neighbours is never gathered in one place.  The number of rounds grows with the logarithm of the
-longest path.
+Every round replaces edges by edges to smaller neighbours, with map-side minima.  The joins shuffle both sides
+anew on a key of their own, so that adaptive execution can split a hub's rows over tasks.  The number of rounds
+grows with the logarithm of the longest path.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+#: Deduplicated edges of a task, beside the least number of tasks, between rounds.
 EDGES_PER_TASK, LEAST_TASKS = 100_000, 4
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the session's checkpoint folder; a temporary one if none is set."""
+    """Cut the lineage of ``df``: its rows go to the folder that all executors share.
+
+    The folder is the session's ``spark.checkpoint.dir``.  Where none is set a temporary one is chosen, but only on a
+    local master: executors elsewhere would each write to a disk of their own.
+    """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
     return df.checkpoint()
 
 
+def _anew(df: DataFrame) -> DataFrame:
+    """``u`` wrapped as another key: a join on it shuffles both sides anew, so that Spark can split a hub's rows."""
+    return df.select(F.struct("u").alias("key"), *[c for c in df.columns if c != "u"])
+
+
+def _settled(stars: DataFrame) -> bool:
+    """Whether every node has one edge, to a node that has none to a smaller one."""
+    ends = stars.select(F.col("u").alias("node"), F.lit(1).alias("edges"), F.lit(0).alias("leaves")).union(stars.select("v", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("node").agg(F.sum("edges").alias("edges"), F.max("leaves").alias("leaves"))
+    return ends.where("edges > 1 or (edges > 0 and leaves > 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", cut: Callable[[DataFrame], DataFrame] = checkpointed, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of ``edges``; the component is its smallest node.
 
@@ -36,18 +54,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
     stars = cut(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     # Rounds only merge edges, so tasks for the edges of the beginning suffice; a small graph takes few.
     parts = stars.count() // EDGES_PER_TASK + LEAST_TASKS
-    stars = stars.coalesce(parts)
-    seen = None
     for _ in range(max_rounds):
+        if _settled(stars):
+            roots = stars.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+            return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
+        large = _anew(both.where("v > u")).join(_anew(least), "key").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        stars = cut(small.union(low.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts))
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            roots = stars.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
-        seen = now
+        small = _anew(large).join(_anew(low), "key").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        stars = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
