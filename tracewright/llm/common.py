@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +9,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import checkpointed as cut  # noqa: F401
+
 #: One word, as every operator here counts words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,18 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df``: its rows go to the folder that all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (local tests)
-    a temporary one is chosen.
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint()
-
-
 def texts(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of an Arrow string column."""
     if isinstance(column, pa.ChunkedArray):
