@@ -1,18 +1,20 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
 Documents with equal shingle sets are one class.  Each class has a signature of ``COORDINATES``
-minimum hashes, and is posted under every (coordinate, value) pair.  Pairs with one posting are skipped;
-a class that shares fewer than ``MATCHES`` of its pairs with anybody cannot have a partner and leaves.
+minimum hashes of 64 bits, and is posted under every (coordinate, value) pair.  Pairs with one posting are
+skipped; a class that shares fewer than ``MATCHES`` of its pairs with anybody cannot have a partner and leaves.
 The first ``PREFIX`` coordinates of the rest are merged:
 
 1. every list links its members to one leader, the member whose values are the commonest, so that a
-   large group of copies costs one pair a member;
-2. lists whose members are by then in one component are skipped; in the others pairs of different
-   components are counted, unless the shingles that either shares with anybody are too few for the
-   similarity asked (exact counts over full sets).  This runs in blocks, and only links come out.
-
-All links are confirmed on full sets.  A link of similarity 0.75 is missed with a probability of
-about 2e-6 (fewer than two collisions in 12, or fewer than 10 in 32 coordinates), more similar ones far less.
+   large group of copies costs one pair a member; pairs that collide often enough are confirmed;
+2. lists whose members are by then in one component are skipped.  In the others a class stays only if
+   enough of its shingles occur in another such class at all (exact counts over full sets).  Classes
+   that share two coordinates are chained to clusters, and inside a cluster pairs of different
+   components with enough collisions are compared, in blocks; only links come out.
+
+A value is the whole minimum, so lists hold classes that share a shingle, however many documents there are.
+All links are confirmed on full sets.  A link of similarity 0.75 is missed with a probability of about 3e-6
+(fewer than two collisions in 12, or fewer than 5 in 20 coordinates), more similar ones far less.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from ..operators.components import connected_components
 from . import words as W
 from .common import apart, by_bytes, cut, texts
 
-COORDINATES, MATCHES, PREFIX, COLLISIONS, LEADER_COLLISIONS = 32, 10, 12, 2, 6
+COORDINATES, MATCHES, PREFIX, COLLISIONS, LEADER_COLLISIONS = 20, 5, 12, 2, 6
 SIMILARITY = 75
 #: Members of a cluster that one task compares with as many others.
 BLOCK = 512
@@ -41,15 +43,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.diff(first)
         some = n > 0
         at = first[:-1][some]
-        signature = np.zeros((batch.num_rows, COORDINATES), dtype=np.uint32)
+        signature = np.zeros((batch.num_rows, COORDINATES), dtype=np.uint64)
         a = np.zeros(batch.num_rows, dtype=np.uint64)
         b = np.zeros(batch.num_rows, dtype=np.uint64)
         if some.any():
             for j in range(COORDINATES):
-                signature[some, j] = np.minimum.reduceat(values * _ODD[j] + _ODD[-1 - j], at) >> np.uint64(32)
+                signature[some, j] = np.minimum.reduceat(values * _ODD[j] + _ODD[-1 - j], at)
+            # The coordinate goes into the value, so that one number stands for the pair of both.
+            signature[some] = W.mix(signature[some] + np.arange(COORDINATES, dtype=np.uint64) * _ODD[0])
             a[some] = np.add.reduceat(values, at)
             b[some] = np.add.reduceat(W.mix(values ^ _ODD[0]), at)
-        flat = pa.array(signature.reshape(-1).view(np.int32))
+        flat = pa.array(signature.reshape(-1).view(np.int64))
         offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * COORDINATES)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.ListArray.from_arrays(offsets, flat)],
@@ -96,7 +100,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, number of shingles, two sums that identify the shingle set, and the signature."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _signatures, "doc_id long, n long, a long, b long, signature array<int>"
+        _signatures, "doc_id long, n long, a long, b long, signature array<long>"
     )
 
 
@@ -114,16 +118,15 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     signed = cut(signatures(docs))
     whole = ["n", "a", "b"]
     classes = cut(signed.where("n > 0 and doc_id is not null").groupBy(*whole).agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")))
-    posted = classes.select("id", F.posexplode("signature").alias("coordinate", "value"))
-    shared = posted.groupBy("coordinate", "value").agg(F.count("*").alias("length")).where("length > 1")
-    hits = apart(posted, "value").join(apart(shared, "value"), ["coordinate", "value_"])
+    posted = classes.select("id", F.explode("signature").alias("post"))
+    shared = posted.groupBy("post").agg(F.count("*").alias("length")).where("length > 1")
+    hits = apart(posted, "post").join(apart(shared, "post"), "post_")
     able = hits.groupBy("id").agg(F.count("*").alias("matches"), F.sum("length").alias("weight")).where(F.col("matches") >= MATCHES)
     able = cut(able.select("id", "weight"))
     prefix = F.slice("signature", 1, PREFIX)
-    lists = cut(classes.join(able, "id").select("id", "n", "weight", prefix.alias("prefix"), F.posexplode(prefix).alias("coordinate", "value")))
-    key, split = ["coordinate", "value"], ["coordinate", "value_"]
-    leaders = lists.groupBy(*key).agg(F.max(F.struct("weight", (-F.col("id")).alias("back"))).alias("lead"), F.count("*").alias("size")).where("size > 1")
-    pairs = apart(lists, "value").join(apart(leaders, "value"), split).select(F.col("id").alias("src"), (-F.col("lead.back")).alias("dst")).where("src <> dst")
+    lists = cut(classes.join(able, "id").select("id", "n", "weight", prefix.alias("prefix"))).withColumn("post", F.explode("prefix"))
+    leaders = lists.groupBy("post").agg(F.max(F.struct("weight", (-F.col("id")).alias("back"))).alias("lead"), F.count("*").alias("size")).where("size > 1")
+    pairs = apart(lists, "post").join(apart(leaders, "post"), "post_").select(F.col("id").alias("src"), (-F.col("lead.back")).alias("dst")).where("src <> dst")
     pairs = pairs.groupBy("src", "dst").count().where(F.col("count") >= LEADER_COLLISIONS).select("src", "dst")
     # Both directions of a pair may come up; confirming it twice costs less than another shuffle.
     sets = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(able.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "id long, members binary"))
@@ -141,22 +144,26 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 def _across(lists: DataFrame, found: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Links between different components.
 
-    Members of mixed lists keep only if enough of their shingles occur in another member at all.  Lists
-    chain the rest to clusters, and a cluster is compared in blocks of about BLOCK members with BLOCK
-    others, each inside one task; only links come out.
+    Members of mixed lists keep only if enough of their shingles occur in another member at all.  The rest are
+    chained to clusters by the pairs of coordinates that they share, and a cluster is compared in blocks of
+    about BLOCK members with BLOCK others, each inside one task; only links come out.
     """
-    key, split = ["coordinate", "value"], ["coordinate", "value_"]
-    lists = lists.join(found, F.col("id") == F.col("node"), "left").select("id", "n", "prefix", *key, F.coalesce("component", "id").alias("component"))
-    mixed = lists.groupBy(*key).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(*key)
-    lists = apart(lists, "value").join(apart(mixed, "value"), split, "left_semi")
-    lists = cut(lists.withColumn("value", F.bitwise_not("value_")).drop("value_"))
-    members = sets.join(lists.select("id").distinct(), "id", "left_semi").mapInArrow(_members, "id long, shingle long")
+    lists = lists.join(found, F.col("id") == F.col("node"), "left").select("id", "n", "prefix", "post", F.coalesce("component", "id").alias("component"))
+    mixed = lists.groupBy("post").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("post")
+    rows = apart(lists, "post").join(apart(mixed, "post"), "post_", "left_semi")
+    rows = rows.groupBy("id").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.first("prefix").alias("prefix"), F.sort_array(F.collect_list(F.bitwise_not("post_"))).alias("posts"))
+    rows = cut(rows.where(F.size("posts") >= COLLISIONS))
+    members = sets.join(rows.select("id"), "id", "left_semi").mapInArrow(_members, "id long, shingle long")
     own = members.groupBy("shingle").agg(F.count("*").alias("owners"), F.min("id").alias("id")).where("owners = 1").groupBy("id").agg(F.count("*").alias("own"))
-    lists = lists.join(own, "id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).where(100 * F.col("common") >= similarity * F.col("n"))
-    lists = cut(lists.select("id", "n", "component", "common", "prefix", *key))
-    heads = lists.groupBy(*key).agg(F.min("id").alias("head"))
-    clusters = connected_components(apart(lists, "value").join(apart(heads, "value"), split).select(F.col("id").alias("src"), F.col("head").alias("dst")), cut=cut)
-    rows = lists.select("id", "n", "component", "common", "prefix").distinct().join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
+    rows = rows.join(own, "id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).where(100 * F.col("common") >= similarity * F.col("n"))
+    rows = cut(rows.select("id", "n", "component", "common", "prefix", "posts"))
+    # One row for every two posts of a class, at most PREFIX * (PREFIX - 1) / 2.
+    twos = F.transform("posts", lambda x, i: F.transform(F.slice("posts", i + 2, PREFIX), lambda y: F.xxhash64(x, y)))
+    twos = rows.select("id", F.explode(F.flatten(twos)).alias("two"))
+    heads = twos.groupBy("two").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("two", "head")
+    chained = apart(twos, "two").join(apart(heads, "two"), "two_").where("id <> head")
+    clusters = connected_components(chained, "id", "head", cut=cut)
+    rows = rows.join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id").drop("posts")
     sizes = rows.groupBy("cluster").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     rows = rows.join(sizes.select("cluster", F.ceil(F.col("size") / BLOCK).alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     rows = rows.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -167,7 +174,7 @@ def _across(lists: DataFrame, found: DataFrame, sets: DataFrame, similarity: int
 def _compare(similarity: int):
     def compare(table: pa.Table) -> pa.Table:
         n, common, component, block = (table.column(c).to_numpy() for c in ("n", "common", "component", "block"))
-        prefix = np.array(table.column("prefix").to_pylist(), dtype=np.int32).reshape(-1, PREFIX)
+        prefix = np.array(table.column("prefix").to_pylist(), dtype=np.int64).reshape(-1, PREFIX)
         sets = [np.frombuffer(x, dtype="<u8") for x in table.column("members").to_pylist()]
         ids, parent, links = table.column("id").to_numpy(), {}, []
 
