@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Deduplicated edges of a task, beside the least number of tasks, between rounds.
+#: Edges for each task of a round, beside the least number of tasks.  Spark's partitions are only merged to that many, so parts
+#: of a hub that adaptive execution has split stay apart in large graphs, and small graphs take few tasks.
 EDGES_PER_TASK, LEAST_TASKS = 100_000, 4
 
 
@@ -60,7 +61,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
             return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _anew(both.where("v > u")).join(_anew(least), "key").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Written out in between, so that neither half is planned or computed twice.
+        large = cut(_anew(both.where("v > u")).join(_anew(least), "key").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _anew(large).join(_anew(low), "key").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         stars = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
