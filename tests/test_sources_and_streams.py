@@ -18,6 +18,43 @@ def test_geojson_lines(spark, tmp_path):
     assert sorted(r.reason for r in bad.collect()) == ["no-geometry", "not-finite"]
 
 
+def test_geojson_on_one_line_and_odd_lines(spark, tmp_path):
+    path = tmp_path / "g.geojson"
+    one = '{"type":"Feature","id":"%s","properties":{},"geometry":{"type":"Point","coordinates":[1,2]}}'
+    path.write_text('{"type":"FeatureCollection","name":"x","features":[' + one % "a" + "," + one % "b" + "]}\nnot json\n{\"type\":\"Featur\n" + one % "c" + "\n")
+    good, bad = readers.read_geojson_lines(spark, str(path))
+    assert sorted(r.feature_id for r in good.collect()) == ["a", "b", "c"]
+    assert sorted((r.line, r.reason) for r in bad.collect()) == [("not json", "malformed"), ('{"type":"Featur', "malformed")]
+
+
+def test_publish_when_the_new_folder_cannot_take_its_place(spark, tmp_path, monkeypatch):
+    target = str(tmp_path / "out")
+    publish.publish(spark, {"one": spark.range(3)}, target)
+    real = publish._fs
+
+    class Refusing:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def rename(self, a, b):
+            return False if ".staged-" in a.toString() else self.fs.rename(a, b)
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    monkeypatch.setattr(publish, "_fs", lambda s, p: (Refusing(real(s, p)[0]), real(s, p)[1]))
+    with pytest.raises(OSError):
+        publish.publish(spark, {"one": spark.range(9)}, target)
+    assert spark.read.parquet(f"{target}/one").count() == 3 and len(list(tmp_path.iterdir())) == 1
+
+
+def test_manifest_names_are_paths(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / "s" / folder).mkdir(parents=True)
+        (tmp_path / "s" / folder / "x.txt").write_text(folder)
+    assert sorted(r.name for r in publish.manifest(spark, str(tmp_path / "s")).collect()) == ["a/x.txt", "b/x.txt"]
+
+
 def test_traffic_counts(spark, tmp_path):
     path = tmp_path / "c.csv"
     path.write_text("count_point_id,observation_year,direction_of_travel,easting,northing,latitude,longitude,road_name,all_motor_vehicles\n 7 ,2020,N,365000,165000,,,A4,100\n8,x,S,,,51.4,-2.4,A4,\n,2020,N,1,1,,,A4,5\n9,2020,N,,,,,A4,5\n")

@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Official road classes and the names that publishers use for them.
-OFFICIAL_CLASSES = {"motorway": "motorway", "a road": "a-road", "b road": "b-road", "classified unnumbered": "classified-unnumbered", "unclassified": "unclassified", "not classified": "not-classified", "unknown": "unknown"}
+# Official road classes and the names that publishers use for them, with words parted by one space.
+OFFICIAL_CLASSES = {
+    "motorway": "motorway", "m": "motorway", "class m": "motorway",
+    "a road": "a-road", "a": "a-road", "class a": "a-road",
+    "b road": "b-road", "b": "b-road", "class b": "b-road",
+    "classified unnumbered": "classified-unnumbered", "c": "classified-unnumbered", "c road": "classified-unnumbered", "class c": "classified-unnumbered",
+    "cu": "classified-unnumbered", "classified unnumbered road": "classified-unnumbered",
+    "unclassified": "unclassified", "u": "unclassified", "unclassified road": "unclassified",
+    "not classified": "not-classified",
+    "unknown": "unknown",
+}
 
 
 def tag_values(column: Column) -> Column:
@@ -28,8 +37,10 @@ def is_a_road(ref: Column) -> Column:
 
 
 def official_class(column: Column) -> Column:
+    """The official class that a publisher's name stands for, whatever its case and whether spaces, hyphens or underscores part its words; unknown for any other."""
     known = F.create_map(*[F.lit(x) for pair in OFFICIAL_CLASSES.items() for x in pair])
-    return F.coalesce(F.element_at(known, F.lower(F.trim(column))), F.lit("unknown"))
+    name = F.trim(F.regexp_replace(F.lower(column), r"[\s_-]+", " "))
+    return F.coalesce(F.try_element_at(known, name), F.lit("unknown"))
 
 
 def usable_entrance(entrance: Column, barrier: Column, access: Column) -> Column:

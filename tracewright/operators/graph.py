@@ -55,43 +55,58 @@ def reach(seeds: DataFrame, edges: DataFrame, max_hops: int | None = None, limit
 
 
 def shortest_paths(roots: DataFrame, edges: DataFrame, limit: int = 500, max_cost: int | None = None) -> DataFrame:
-    """Least cost, up to ``max_cost``, from each root to each node: relaxation of the nodes that changed, for all roots at once.
+    """Least cost, up to ``max_cost``, from each root to each node.  ``roots``: node."""
+    seeds = roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("long").alias("cost")).distinct()
+    return least_costs(seeds, edges, limit, max_cost)
 
-    ``edges``: src, dst, weight (not negative).  Ties do not change a cost; the predecessor is the smallest of equals.
+
+def least_costs(seeds: DataFrame, edges: DataFrame, limit: int = 500, max_cost: int | None = None) -> DataFrame:
+    """Least cost from any seed of a root to each node: relaxation of the nodes that changed, for all roots at once.
+
+    ``seeds``: root, node, cost; a root may have several.  ``edges``: src, dst, weight (not negative).  Ties do not change a
+    cost; ``via``, the node before, is the smallest of equals (as text), null at a seed.
     """
-    best = checkpointed(roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("long").alias("cost"), F.lit(None).cast("string").alias("via")).distinct())
+    best = checkpointed(seeds.groupBy("root", "node").agg(F.min("cost").alias("cost")).withColumn("via", F.lit(None).cast("string")))
+    least = lambda rows: rows.groupBy("root", "node").agg(F.min(F.struct("cost", "via")).alias("o")).select("root", "node", "o.*")
     changed = best
-    for _ in range(limit):
+    for turn in range(1, limit + 1):
         offers = changed.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("src").cast("string").alias("via"))
         if max_cost is not None:
             offers = offers.where(F.col("cost") <= max_cost)
-        offers = offers.groupBy("root", "node").agg(F.min(F.struct("cost", "via")).alias("o")).select("root", "node", F.col("o.cost").alias("new"), F.col("o.via").alias("new_via"))
-        rows = checkpointed(best.join(offers, ["root", "node"], "full").withColumn("better", F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost")) | ((F.col("new") == F.col("cost")) & (F.col("new_via") < F.col("via"))))))
-        pick = lambda new, old: F.when(F.col("better"), F.col(new)).otherwise(F.col(old)).alias(old)
-        best = rows.select("root", "node", pick("new", "cost"), pick("new_via", "via"))
-        changed = rows.where("better and (cost is null or new < cost)").select("root", "node", F.col("new").alias("cost"), F.col("new_via").alias("via"))
+        offers = checkpointed(least(offers))
+        # Improvements are kept apart from what is known and merged now and then; a round writes only its own.
+        known = least(best.join(offers.select("root", "node"), ["root", "node"], "left_semi")).select("root", "node", F.col("cost").alias("old"), F.col("via").alias("old_via"))
+        better = F.col("old").isNull() | (F.col("cost") < F.col("old")) | ((F.col("cost") == F.col("old")) & (F.col("via") < F.col("old_via")))
+        new = checkpointed(offers.join(known, ["root", "node"], "left").where(better))
+        best = best.union(new.select("root", "node", "cost", "via"))
+        changed = new.where("old is null or cost < old").select("root", "node", "cost", "via")
         if changed.isEmpty():
-            return best
+            return least(best)
+        if turn % 8 == 0:
+            best = checkpointed(least(best))
     raise RuntimeError(f"paths did not settle in {limit} rounds")
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, limit: int = 100) -> DataFrame:
+def strong_components(nodes: DataFrame, edges: DataFrame, limit: int = 100, rounds: int = 2000) -> DataFrame:
     """Strong components, named by their largest node.
 
     Colours (the largest node that reaches a node) spread forwards; a component is what reaches its colour's own node backwards
-    inside the colour.  Components that are found leave, and the rest goes round again.
+    inside the colour.  Components that are found leave, and the rest goes round again.  Raises if ``rounds`` steps do
+    not spread the colours, or ``limit`` rounds leave nodes.
     """
     left, step = checkpointed(nodes.select("node").distinct()), checkpointed(edges.select("src", "dst").where("src <> dst").distinct())
     found = None
     for _ in range(limit):
         colour = left.withColumn("colour", F.col("node"))
-        while True:
+        for _ in range(rounds):
             spread = colour.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "colour")
             new = checkpointed(colour.union(spread).groupBy("node").agg(F.max("colour").alias("colour")))
             moved = not new.join(colour.withColumnRenamed("colour", "old"), "node").where("colour <> old").isEmpty()
             colour = new
             if not moved:
                 break
+        else:
+            raise RuntimeError(f"colours did not spread in {rounds} rounds")
         inside = step.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2")
         back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         own = reach(colour.where("node = colour").select("node"), back).select("node").join(colour, "node")
@@ -105,16 +120,24 @@ def strong_components(nodes: DataFrame, edges: DataFrame, limit: int = 100) -> D
 
 
 def parallel_relations(routes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of routes with the same ends of which either covers at least ``threshold`` of the other.
+    """Pairs of routes with the same ends whose common stretches are at least ``threshold`` (above 0) of the longer one's.
 
-    ``routes``: route_id, ends, item (a stretch of the route).  Pairs come from common stretches only.
+    ``routes``: route_id, ends, item (a stretch of the route).  A pair must have one of its rarest stretches in common: of
+    ``n`` stretches, in order of rarity, the first ``n - threshold * n + 1``.  Only such pairs, of lengths that allow the
+    threshold, are compared in full, so common stretches multiply nothing.
     """
     items = routes.select("route_id", "ends", "item").distinct()
-    size = items.groupBy("route_id").agg(F.count("*").alias("size"))
-    a, b = items.withColumnRenamed("route_id", "a_id"), items.withColumnRenamed("route_id", "b_id")
-    common = a.join(b, ["ends", "item"]).where("a_id < b_id").groupBy("ends", "a_id", "b_id").agg(F.count("*").alias("common"))
-    rows = common.join(size.select(F.col("route_id").alias("a_id"), F.col("size").alias("a_size")), "a_id").join(size.select(F.col("route_id").alias("b_id"), F.col("size").alias("b_size")), "b_id")
-    rows = rows.withColumn("coverage", F.col("common") / F.greatest("a_size", "b_size"))
+    often = items.groupBy("ends", "item").agg(F.count("*").alias("often"))
+    ranked = items.join(often, ["ends", "item"]).groupBy("route_id", "ends").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("s"))
+    ranked = checkpointed(ranked.select("route_id", "ends", F.col("s.item").alias("items"), F.size("s").alias("size")))
+    first = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
+    heads = ranked.select("route_id", "ends", "size", F.explode(F.slice("items", F.lit(1), first)).alias("item"))
+    a, b = (heads.select(F.col("route_id").alias(f"{x}_id"), "ends", "item", F.col("size").alias(f"{x}_size")) for x in "ab")
+    able = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * threshold - 1e-9
+    pairs = a.join(b, ["ends", "item"]).where((F.col("a_id") < F.col("b_id")) & able).select("ends", "a_id", "b_id", "a_size", "b_size").distinct()
+    rows = pairs.join(ranked.select(F.col("route_id").alias("a_id"), "ends", F.col("items").alias("a_items")), ["a_id", "ends"])
+    rows = rows.join(ranked.select(F.col("route_id").alias("b_id"), "ends", F.col("items").alias("b_items")), ["b_id", "ends"])
+    rows = rows.withColumn("common", F.size(F.array_intersect("a_items", "b_items")).cast("long")).withColumn("coverage", F.col("common") / F.greatest("a_size", "b_size"))
     return rows.where(F.col("coverage") >= threshold).select("ends", "a_id", "b_id", "common", "coverage")
 
 
@@ -164,6 +187,45 @@ def bridges(edges: DataFrame) -> DataFrame:
     return done if done is not None else plain.select("edge_id").limit(0)
 
 
+def severance(obligations: DataFrame, edges: DataFrame, limit: int = 10_000) -> DataFrame:
+    """Edges whose loss would part an obligation's ends, each with the obligation: (obligation_id, edge_id).
+
+    ``obligations``: obligation_id, a, b.  ``edges``: edge_id, src, dst, without regard to direction.  What bridges leave together
+    is one block; blocks and bridges are trees, and an obligation is parted by the bridges on the way between its
+    blocks.  Both ends climb towards the root, the deeper one first, and note the bridges they cross.  Obligations whose
+    ends are not connected anyhow have no row here.
+    """
+    cuts = checkpointed(edges.join(bridges(edges).select("edge_id"), "edge_id", "left_semi").select("edge_id", "src", "dst"))
+    rest = edges.join(cuts.select("edge_id"), "edge_id", "left_anti")
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    block = checkpointed(components(nodes, rest).select("node", F.col("component").alias("block")))
+    of = lambda end: block.select(F.col("node").alias(end), F.col("block").alias(f"{end}_block"))
+    tree = checkpointed(cuts.join(of("src"), "src").join(of("dst"), "dst").select("edge_id", F.col("src_block").alias("src"), F.col("dst_block").alias("dst")))
+    both = tree.select("edge_id", "src", "dst").union(tree.select("edge_id", F.col("dst"), F.col("src")))
+    whole = connected_components(tree)
+    levels = checkpointed(reach(whole.where("node = component").select("node"), both, limit=limit))
+    up = both.join(levels.select(F.col("node").alias("dst"), F.col("hops").alias("above")), "dst").join(levels.select(F.col("node").alias("src"), "hops"), "src").where("above = hops - 1")
+    up = checkpointed(up.select(F.col("src").alias("node"), "hops", "edge_id", F.col("dst").alias("parent")))
+    tree_of = whole.select("node", "component")
+    ends = obligations.join(of("a"), "a").join(of("b"), "b").select("obligation_id", F.col("a_block").alias("x"), F.col("b_block").alias("y")).where("x <> y")
+    ends = ends.join(tree_of.select(F.col("node").alias("x"), F.col("component").alias("tx")), "x").join(tree_of.select(F.col("node").alias("y"), F.col("component").alias("ty")), "y").where("tx = ty")
+    depth = lambda end: levels.select(F.col("node").alias(end), F.col("hops").alias(f"{end}_hops"))
+    now = checkpointed(ends.join(depth("x"), "x").join(depth("y"), "y").select("obligation_id", "x", "y", "x_hops", "y_hops"))
+    crossed = None
+    for _ in range(2 * limit):
+        if now.isEmpty():
+            break
+        # The deeper end is put first; it climbs by one.
+        deeper = F.col("x_hops") >= F.col("y_hops")
+        first = now.select("obligation_id", *[F.when(deeper, F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("node", "x", "y"), ("other", "y", "x"), ("other_hops", "y_hops", "x_hops"))])
+        step = checkpointed(first.join(up, "node").select("obligation_id", "edge_id", F.col("parent").alias("x"), (F.col("hops") - 1).alias("x_hops"), F.col("other").alias("y"), F.col("other_hops").alias("y_hops")))
+        crossed = step.select("obligation_id", "edge_id") if crossed is None else crossed.union(step.select("obligation_id", "edge_id"))
+        now = step.where("x <> y").drop("edge_id")
+    else:
+        raise RuntimeError(f"ends did not meet in {2 * limit} steps")
+    return crossed if crossed is not None else obligations.select("obligation_id", F.lit(None).cast(edges.schema["edge_id"].dataType).alias("edge_id")).limit(0)
+
+
 def simple_paths(obligations: DataFrame, edges: DataFrame, max_edges: int, k: int, beam: int | None = None) -> DataFrame:
     """The ``k`` cheapest simple paths of at most ``max_edges`` edges for each obligation; ties go to the smaller sequence of nodes.
 

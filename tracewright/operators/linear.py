@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import gradient_band
+from .components import checkpointed
 
 
 def gradients(samples: DataFrame) -> DataFrame:
@@ -162,26 +163,31 @@ def sustained(samples: DataFrame, spacing_m: float) -> DataFrame:
 def collapse(samples: DataFrame, minimum_spacing_m: float) -> DataFrame:
     """Near-duplicate samples as their median, and lone anomalies of such clusters flattened.
 
-    A cluster starts at its first sample and takes what lies within the tolerance of it, which is a fold along the line; each
-    line is one group.
+    A cluster starts at its first sample and takes what lies within the tolerance of it.  It cannot span a gap above the
+    tolerance, so each stretch between such gaps is folded by itself, and samples that stand alone are not folded at all.
     """
     tolerance = min(0.5, minimum_spacing_m / 20)
+    kind = dict(samples.dtypes)["line_id"]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at_m", "height_mm"])
-        number, start, ids = -1, None, []
-        for at in pdf["at_m"]:
-            if start is None or at - start > tolerance:
-                number, start = number + 1, at
+        at, ids, number, start = pdf["at_m"].to_numpy(), [], -1, None
+        for x in at:
+            if start is None or x - start > tolerance:
+                number, start = number + 1, x
             ids.append(number)
-        out = pdf.groupby(pd.Series(ids, index=pdf.index)).agg(line_id=("line_id", "first"), at_m=("at_m", "median"), height_mm=("height_mm", "median"), n=("at_m", "size"))
-        rise = out["height_mm"].diff()
-        turn = (out["n"] > 1) & (rise * rise.shift(-1) < 0)
-        span = out["at_m"].shift(-1) - out["at_m"].shift(1)
-        line = out["height_mm"].shift(1) + (out["height_mm"].shift(-1) - out["height_mm"].shift(1)) * (out["at_m"] - out["at_m"].shift(1)) / span
-        out.loc[turn & (span > 0), "height_mm"] = line
-        return out[["line_id", "at_m", "height_mm", "n"]]
+        return pdf.groupby(pd.Series(ids, index=pdf.index)).agg(line_id=("line_id", "first"), at_m=("at_m", "median"), height_mm=("height_mm", "median"), n=("at_m", "size"))
 
-    kind = dict(samples.dtypes)["line_id"]
     rows = samples.select("line_id", F.col("at_m").cast("double").alias("at_m"), F.col("height_mm").cast("double").alias("height_mm"))
-    return rows.groupBy("line_id").applyInPandas(fold, f"line_id {kind}, at_m double, height_mm double, n long")
+    along = Window.partitionBy("line_id").orderBy("at_m")
+    rows = rows.withColumn("new", F.coalesce(F.col("at_m") - F.lag("at_m").over(along) > tolerance, F.lit(True)).cast("int"))
+    rows = rows.withColumn("stretch", F.sum("new").over(along)).drop("new")
+    rows = checkpointed(rows.withColumn("size", F.count("*").over(Window.partitionBy("line_id", "stretch"))))
+    alone = rows.where("size = 1").select("line_id", "at_m", "height_mm", F.lit(1).cast("long").alias("n"))
+    folded = rows.where("size > 1").select("line_id", "stretch", "at_m", "height_mm").groupBy("line_id", "stretch").applyInPandas(fold, f"line_id {kind}, at_m double, height_mm double, n long")
+    before, after = (lambda c: F.lag(c).over(along)), (lambda c: F.lead(c).over(along))
+    turn = (F.col("n") > 1) & ((F.col("height_mm") - before("height_mm")) * (after("height_mm") - F.col("height_mm")) < 0)
+    span = after("at_m") - before("at_m")
+    flat = before("height_mm") + (after("height_mm") - before("height_mm")) * (F.col("at_m") - before("at_m")) / span
+    out = alone.union(folded)
+    return out.withColumn("flat", F.when(turn & (span > 0), flat)).select("line_id", "at_m", F.coalesce("flat", "height_mm").alias("height_mm"), "n")

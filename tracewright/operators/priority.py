@@ -54,15 +54,27 @@ def scores(items: DataFrame, measures: Sequence[Measure], weights: Mapping[str,
     )
 
 
+#: Ranges that distinct totals are dealt to for ranking.
+RANGES = 256
+
+
 def ranked(scored: DataFrame) -> DataFrame:
     """Competition ranks (1, 1, 3) by total, and the peers that share a total; items without a total have no rank.
 
-    The rank is the number of items with a higher total, counted over the distinct totals.
+    The rank is the number of items with a higher total, plus one: those in higher ranges of totals, and those above in the same
+    range, so that no task holds all totals.
     """
     totals = scored.where("total is not null").groupBy("total").agg(F.count("*").alias("peers"))
-    higher = Window.orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)
-    places = totals.withColumn("rank", (F.coalesce(F.sum("peers").over(higher), F.lit(0)) + 1).cast("long"))
-    return scored.join(places.withColumnRenamed("total", "of"), F.col("total") == F.col("of"), "left").drop("of").withColumn("tied", F.coalesce(F.col("peers") - 1, F.lit(0)).cast("long")).drop("peers")
+    cuts = totals.agg(F.percentile_approx("total", [i / RANGES for i in range(1, RANGES)], 10000)).first()[0] or []
+    above = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    totals = totals.withColumn("range", F.size(F.filter(above, lambda c: F.col("total") < c)))
+    # One row for each range; there are RANGES at most.
+    order = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    higher = totals.groupBy("range").agg(F.sum("peers").alias("inside")).select("range", F.coalesce(F.sum("inside").over(order), F.lit(0)).alias("higher"))
+    own = Window.partitionBy("range").orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)
+    places = totals.join(higher, "range").withColumn("rank", (F.col("higher") + F.coalesce(F.sum("peers").over(own), F.lit(0)) + 1).cast("long"))
+    places = places.select(F.col("total").alias("of"), "peers", "rank")
+    return scored.join(places, F.col("total") == F.col("of"), "left").drop("of").withColumn("tied", F.coalesce(F.col("peers") - 1, F.lit(0)).cast("long")).drop("peers")
 
 
 def rank_changes(base: DataFrame, other: DataFrame) -> DataFrame:
@@ -73,14 +85,21 @@ def rank_changes(base: DataFrame, other: DataFrame) -> DataFrame:
     return joined.withColumn("rank_delta", F.col("case_rank") - F.col("base_rank")).withColumn("score_delta", F.round(F.col("case_total") - F.col("base_total"), 8))
 
 
+#: Most items of one programme.
+MOST_ITEMS = 1_000_000
+
+
 def schedule(items: DataFrame, budgets: Sequence[float], programme: str = "programme_id") -> DataFrame:
     """First phase with room for each item, in rank order, within each programme.
 
     ``items``: programme, intervention_id, rank, upper_cost, depends_on (array), excludes (array).  An item goes at least one
     phase after those it depends on and not at all beside one that it excludes.  A dependency is visited before
-    what needs it.  The fold is sequential within a programme, so a programme is one group; programmes are
-    plans of at most some thousands of items and run in parallel.
+    what needs it.  The fold is sequential within a programme, so a programme is one group; programmes run in parallel,
+    and one of more than MOST_ITEMS items is refused.
     """
+    large = items.where("rank is not null").groupBy(programme).count().where(F.col("count") > MOST_ITEMS).first()
+    if large:
+        raise ValueError(f"programme {large[0]} has {large[1]} items, more than {MOST_ITEMS}")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = {r.intervention_id: r for r in pdf.sort_values(["rank", "intervention_id"]).itertuples(index=False)}

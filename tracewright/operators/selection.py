@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import band, freshness
+from .components import checkpointed
+from .spatial import within
 
 
 def admit_diverse(candidates: DataFrame, by: str, class_order: Sequence[str], maximum: int) -> DataFrame:
@@ -67,23 +69,34 @@ def choose_alignment(options: DataFrame) -> DataFrame:
 def match_traffic(observations: DataFrame, targets: DataFrame, buffer: float) -> DataFrame:
     """Targets of each observation by the strongest relation that any target has to it: count point, else link identity, else nearness.
 
-    ``observations``: observation_id, count_point, road, junction, at.  ``targets``: target_id, count_point, road, junction, at.  Link identity: every
-    field known on both sides agrees without regard to case, and one at least is known on both.  Nearness goes through cells of ``buffer``.
-    Several targets are ambiguous; none leaves the observation unmatched.
+    ``observations``: observation_id, count_point, road, junction, x, y.  ``targets``: target_id, count_point, road, junction, x, y.  Link identity:
+    every field known on both sides agrees without regard to case, and one at least is known on both.  Nearness is distance in the plane, up to
+    ``buffer``.  Only observations that a stronger relation left over meet the next one.  Several targets are ambiguous; none leaves the
+    observation unmatched.
     """
     fold = lambda df: df.withColumn("road", F.lower(F.trim("road"))).withColumn("junction", F.lower(F.trim("junction")))
-    o, t = fold(observations), fold(targets).select("target_id", *[F.col(c).alias(f"t_{c}") for c in ("count_point", "road", "junction", "at")])
+    left, t = fold(observations), fold(targets).select("target_id", *[F.col(c).alias(f"t_{c}") for c in ("count_point", "road", "junction")])
     agree = lambda c: F.col(c).isNull() | F.col(f"t_{c}").isNull() | (F.col(c) == F.col(f"t_{c}"))
-    keep = lambda rows, kind, rank: rows.select("observation_id", "target_id", F.lit(kind).alias("relation"), F.lit(rank).alias("rank"))
-    point = keep(o.join(t, F.col("count_point") == F.col("t_count_point")), "count-point", 1)
-    link = keep(o.join(t, F.col("road") == F.col("t_road")).where(agree("junction")), "link-identity", 2)
-    link2 = keep(o.join(t, F.col("junction") == F.col("t_junction")).where(F.col("road").isNull() | F.col("t_road").isNull()), "link-identity", 2)
-    near = o.withColumn("cell_", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("cell_", F.floor(F.col("at") / buffer) + F.col("cell_"))
-    near = near.join(t.withColumn("cell_", F.floor(F.col("t_at") / buffer)), "cell_").where(F.abs(F.col("at") - F.col("t_at")) <= buffer)
-    pairs = point.union(link).union(link2).union(keep(near, "buffer", 3)).distinct()
-    pairs = pairs.withColumn("best", F.min("rank").over(Window.partitionBy("observation_id"))).where("rank = best")
-    pairs = pairs.withColumn("n", F.count("*").over(Window.partitionBy("observation_id")))
-    out = observations.select("observation_id").join(pairs, "observation_id", "left")
+    spots = targets.select("target_id", "x", "y")
+
+    def count_point(o: DataFrame) -> DataFrame:
+        return o.join(t, F.col("count_point") == F.col("t_count_point"))
+
+    def link_identity(o: DataFrame) -> DataFrame:
+        road = o.join(t, F.col("road") == F.col("t_road")).where(agree("junction"))
+        return road.union(o.join(t, F.col("junction") == F.col("t_junction")).where(F.col("road").isNull() | F.col("t_road").isNull()))
+
+    def near(o: DataFrame) -> DataFrame:
+        return within(o.select("observation_id", "x", "y"), spots, buffer).withColumnRenamed("near_target_id", "target_id")
+
+    found = None
+    for kind, relate in (("count-point", count_point), ("link-identity", link_identity), ("buffer", near)):
+        pairs = checkpointed(relate(left).select("observation_id", "target_id").distinct())
+        left = left.join(pairs.select("observation_id").distinct(), "observation_id", "left_anti")
+        pairs = pairs.withColumn("relation", F.lit(kind))
+        found = pairs if found is None else found.union(pairs)
+    counts = found.groupBy("observation_id").agg(F.count("*").alias("n"))
+    out = observations.select("observation_id").join(found.join(counts, "observation_id"), "observation_id", "left")
     return out.select("observation_id", "target_id", F.coalesce("relation", F.lit("none")).alias("relation"), F.when(F.col("n").isNull(), "unmatched").when(F.col("n") > 1, "ambiguous").otherwise("matched").alias("state"))
 
 

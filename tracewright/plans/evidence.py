@@ -171,7 +171,7 @@ LANGS = ("en", "fr", "de", "es")
 
 
 def evidence_coverage(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0 or source <> 'src1'")
+    d = table(spark, sf_dir, "documents")
     items = d.select(
         F.col("source").alias("family"), (F.col("doc_id") % 11 != 0).alias("available"), (F.col("doc_id") % 2 == 0).alias("has_artifact"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 700).cast("int")).alias("observed_to"),
         (F.col("doc_id") % 4).alias("quality"), F.array("lang").alias("units"), F.array(F.when(F.col("doc_id") % 5 == 0, "routing").otherwise("display")).alias("uses"),
@@ -182,7 +182,7 @@ def evidence_coverage(spark, sf_dir):
 
 
 COVERAGE = """with i as (select source as family, doc_id % 11 <> 0 as available, doc_id % 2 = 0 as has_artifact, date '2020-01-01' + cast(doc_id % 700 as integer) as observed_to, doc_id % 4 as quality, lang, doc_id % 5 = 0 as routing
-        from documents where doc_id % 3 <> 0 or source <> 'src1'),
+        from documents),
     g as (select family, count(*) as n, count(*) filter (where available) as n_available, count(*) filter (where has_artifact) as art, max(observed_to) filter (where available) as freshest, max(quality) filter (where available) as best_quality,
         bool_or(routing) filter (where available) as routable from i group by family),
     need as (select distinct source as family from documents union all select 'src-none'),

@@ -45,14 +45,14 @@ ISLANDS = f"""with {GRADIENTS_SQL}, marked as (select *, case when lag(band) ove
 
 
 def rolling_gradient(spark, sf_dir):
-    dense = series(spark, sf_dir).where("at_m % 40 <> 30")
+    dense = series(spark, sf_dir).withColumn("at_m", F.col("at_m") * 1.5)
     rows = LR.rolling_gradients(dense, max_spacing_m=20.0)
     return rows.select("line_id", F.col("window_m").cast("long").alias("window_m"), "start_m", "end_m", F.round("gradient_pct", 6).alias("gradient_pct"), "band")
 
 
 _INTERPOLATED = """case when r.at_m is null then l.height_mm when l.at_m is null then r.height_mm when l.at_m >= r.at_m then l.height_mm
     else l.height_mm + (r.height_mm - l.height_mm) * ((t.target_m - l.at_m) / (r.at_m - l.at_m)) end"""
-ROLLING = f"""with {SERIES_SQL}, dense as (select line_id, cast(at_m as double) as at_m, cast(height_mm as double) as height_mm from series where at_m % 40 <> 30),
+ROLLING = f"""with {SERIES_SQL}, dense as (select line_id, cast(at_m as double) * 1.5 as at_m, cast(height_mm as double) as height_mm from series),
     ends as (select line_id, cast(max(at_m) as bigint) as e from dense group by line_id), windows(w) as (values (20), (50)),
     starts as (select line_id, cast(w as bigint) as window_m, unnest(generate_series(0, e - w, 10)) as start_m from ends, windows where e >= w),
     places as (select distinct line_id, cast(target_m as double) as target_m from (select line_id, start_m as target_m from starts union all select line_id, start_m + window_m from starts)),
@@ -131,6 +131,10 @@ def _records(spark, sf_dir):
     return S.reach_records(_options(spark, sf_dir), areas, RADII, 50.0, F.col("x") > 0)
 
 
+def _reach(spark, sf_dir):
+    return _options(spark, sf_dir), points(spark, sf_dir).select(F.col("vec_id").alias("oa_id"), "residents", "x", "y"), RADII, F.col("x") > 0
+
+
 def population_reach(spark, sf_dir):
     return _records(spark, sf_dir).withColumn("distance", F.round("distance", 4))
 
@@ -139,7 +143,7 @@ REACH = f"with {RECORDS_SQL} select option_id, radius, oa_id, residents, inside,
 
 
 def population_summary(spark, sf_dir):
-    return S.reach_summary(_records(spark, sf_dir))
+    return S.reach_summary(*_reach(spark, sf_dir))
 
 
 SUMMARY_SQL = f"""{RECORDS_SQL}, own as (select radius, oa_id, count(distinct option_id) as owners from recs where captured group by radius, oa_id),
@@ -150,7 +154,7 @@ SUMMARY_SQL = f"""{RECORDS_SQL}, own as (select radius, oa_id, count(distinct op
 
 
 def population_sensitivity(spark, sf_dir):
-    return S.reach_sensitivity(S.reach_summary(_records(spark, sf_dir)), 40.0, 5.0)
+    return S.reach_sensitivity(S.reach_summary(*_reach(spark, sf_dir)), 40.0, 5.0)
 
 
 POPULATION_SENSITIVITY = f"""with {SUMMARY_SQL}, r as (select *, row_number() over w as place, lead(total_residents) over w as nxt from summary window w as (partition by radius order by total_residents desc, option_id)),
@@ -216,11 +220,11 @@ CATCHMENTS = f"""with {OPTIONS_SQL}, c as (select option_id, sqrt(pow(p.x - o.x,
 
 def match_disposition(spark, sf_dir):
     p = points(spark, sf_dir)
-    side = lambda k: p.where(F.col("vec_id") % 5 == k).select(F.col("vec_id").alias("id"), "x", "y")
+    side = lambda k: p.where(F.col("vec_id") % 2 == k).select(F.col("vec_id").alias("id"), "x", "y")
     return S.match_disposition(side(0), side(1), 120.0).withColumn("distance", F.round("distance", 4))
 
 
-DISPOSITION = f"""with {POINTS_SQL}, d as (select s.vec_id as id, t.vec_id as target_id, sqrt(pow(s.x - t.x, 2) + pow(s.y - t.y, 2)) as distance from pts s join pts t on s.vec_id % 5 = 0 and t.vec_id % 5 = 1),
+DISPOSITION = f"""with {POINTS_SQL}, d as (select s.vec_id as id, t.vec_id as target_id, sqrt(pow(s.x - t.x, 2) + pow(s.y - t.y, 2)) as distance from pts s join pts t on s.vec_id % 2 = 0 and t.vec_id % 2 = 1),
     r as (select *, count(*) filter (where distance <= 120) over (partition by id) as n, row_number() over (partition by id order by distance, target_id) as k from d)
     select id, target_id, round(distance, 4) as distance, case when n = 1 then 'accepted' when n > 1 then 'ambiguous' else 'unmatched' end as state from r where (n > 0 and distance <= 120) or (n = 0 and k = 1)"""
 
@@ -308,10 +312,10 @@ MISSING = "select p_partkey from part where p_partkey not in (select l_partkey f
 
 def anti_duplicate_append(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return ST.append_new(c.where("c_custkey % 3 = 0"), c.where("c_custkey % 2 = 0").withColumn("c_name", F.upper("c_name")), ["c_custkey"])
+    return ST.append_new(c.where("c_custkey % 3 = 0"), c.where("c_custkey % 3 <> 0 or c_custkey % 2 = 0").withColumn("c_name", F.upper("c_name")), ["c_custkey"])
 
 
-APPEND = "select c_custkey, c_name from customer where c_custkey % 3 = 0 union all select c_custkey, upper(c_name) from customer where c_custkey % 2 = 0 and c_custkey % 3 <> 0"
+APPEND = "select c_custkey, c_name from customer where c_custkey % 3 = 0 union all select c_custkey, upper(c_name) from customer where c_custkey % 3 <> 0"
 
 
 def equivalence_proof(spark, sf_dir):

@@ -16,10 +16,18 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """Name, size and SHA-256 of every file below a folder."""
+def manifest(spark: SparkSession, folder: str, most_bytes: int = 1 << 30) -> DataFrame:
+    """Name (the path below ``folder``), size and SHA-256 of every file below a folder.
+
+    A file is read whole by one task, so one above ``most_bytes`` is refused.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    fs, root = _fs(spark, folder)
+    root = fs.makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    path = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+    name = F.when(F.startswith(path, F.lit(root)), F.substring(path, F.lit(len(root) + 1), F.length(path))).otherwise(F.element_at(F.split("path", "/"), -1))
+    whole = F.when(F.col("length") > most_bytes, F.raise_error(F.concat(F.lit("file too large for one task: "), F.col("path"))).cast("binary")).otherwise(F.col("content"))
+    return rows.select(name.alias("name"), "length", F.sha2(whole, 256).alias("sha256"))
 
 
 def verify(spark: SparkSession, folder: str, expected: DataFrame) -> DataFrame:
@@ -30,7 +38,11 @@ def verify(spark: SparkSession, folder: str, expected: DataFrame) -> DataFrame:
 
 
 def publish(spark: SparkSession, layers: Mapping[str, DataFrame], target: str, partition_by: Mapping[str, Sequence[str]] | None = None, validate: Callable[[str], None] | None = None) -> None:
-    """Write all layers to a folder beside the target, validate it, and swap it in by renames; a failure leaves the target as it was."""
+    """Write all layers to a folder beside the target, validate it, and swap it in by renames.
+
+    A failure leaves the target as it was: if the new folder cannot take its place the old one is renamed back.  Between
+    the two renames there is no target; readers that must never see that use a pointer of their own to the folder.
+    """
     staged, old = f"{target}.staged-{uuid.uuid4().hex}", f"{target}.old-{uuid.uuid4().hex}"
     fs, to = _fs(spark, target)
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -46,9 +58,20 @@ def publish(spark: SparkSession, layers: Mapping[str, DataFrame], target: str, p
     except BaseException:
         fs.delete(path(staged), True)
         raise
-    if fs.exists(to):
-        fs.rename(to, path(old))
-    fs.rename(path(staged), to)
+    had = fs.exists(to)
+    if had and not fs.rename(to, path(old)):
+        fs.delete(path(staged), True)
+        raise OSError(f"{target} cannot be renamed")
+    moved = False
+    try:
+        moved = fs.rename(path(staged), to)
+    finally:
+        # Hadoop's rename may say no rather than raise.
+        if not moved and had and not fs.exists(to):
+            fs.rename(path(old), to)
+    if not moved:
+        fs.delete(path(staged), True)
+        raise OSError(f"{staged} cannot be renamed to {target}")
     fs.delete(path(old), True)
 
 
@@ -84,7 +107,7 @@ def unreachable(artifacts: DataFrame, pins: DataFrame, limit: int = 200) -> Data
 
 def sharded(df: DataFrame, layer: str, by: Sequence[str]) -> DataFrame:
     """Rows with the content name of their shard: the hash of layer and key values."""
-    return df.withColumn("shard", F.sha2(F.concat_ws("|", F.lit(layer), *by), 256))
+    return df.withColumn("shard", F.sha2(F.to_json(F.struct(F.lit(layer).alias("layer"), *by), {"ignoreNullFields": "false"}), 256))
 
 
 def network_collection(frames: Mapping[str, DataFrame]) -> DataFrame:

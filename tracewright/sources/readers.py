@@ -14,10 +14,19 @@ FEATURE = "type string, id string, geometry struct<type: string, coordinates: st
 def read_geojson_lines(spark: SparkSession, path: str, max_feature_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
     """Features of files with one feature a line, and the lines that are not valid features with the reason.
 
-    The envelope's own lines are skipped.  Coordinates stay JSON text until a geometry kernel needs them.
+    A line that holds a whole FeatureCollection gives its features, each like a line of its own.  The lines of an
+    envelope around features (its opening, its closing brackets, its own members such as a name) are no features and no
+    faults; any other line is kept with a reason.  Coordinates stay JSON text until a geometry kernel needs them.
     """
     line = F.regexp_replace(F.trim("value"), r",$", "")
-    rows = spark.read.text(path).select(line.alias("line")).where("line like '{%' and line like '%\"Feature\"%' and line not like '%\"FeatureCollection\"%'")
+    rows = spark.read.text(path).select(line.alias("line")).where("line <> ''")
+    whole = F.get_json_object("line", "$.features")
+    inside = F.from_json(whole, "array<string>")
+    rows = rows.withColumn("inside", F.when(F.get_json_object("line", "$.type") == "FeatureCollection", inside))
+    # Members of a collection beside its features.
+    member = r'("type"\s*:\s*"FeatureCollection"|"(name|crs|bbox|features)"\s*:)'
+    envelope = F.col("line").rlike(r"^[\[\]{}]+$") | F.col("line").rlike(r"^(\{\s*)?" + member + r'(?!.*"Feature")')
+    rows = rows.where(F.col("inside").isNotNull() | ~envelope).select(F.explode(F.coalesce("inside", F.array("line"))).alias("line"))
     rows = rows.withColumn("f", F.from_json("line", FEATURE, {"mode": "PERMISSIVE"}))
     reason = (
         F.when(F.octet_length("line") > max_feature_bytes, "too-large").when(F.col("line").rlike(r":\s*-?(NaN|Infinity)"), "not-finite")
