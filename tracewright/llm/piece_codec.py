@@ -1,13 +1,21 @@
-"""SentencePiece encoding and decoding of whole texts, with giant documents as a parallel scan of chunks.
+"""SentencePiece encoding and decoding of whole texts, with giant documents as a max-plus parallel scan of chunks.
 
 A model whose pieces carry the space mark at their start only never merges across the start of a word,
 so a text falls into units: spaces and the word behind them.  Equal units are encoded once a batch, all at
 the same time, by numpy passes that apply each unit's best merge.
 
-A giant text is cut into chunks at fixed places, in the middle of words too.  What a chunk does to its
-boundaries is one element of a monoid: whether a unit starts inside, and the text after the last such start.  The
-running combination of these elements (a count over the chunks of a document) tells to which run of whole
-units each fragment belongs; the runs are put together and then encoded independently of each other.
+A giant text is cut into chunks at fixed places, in the middle of words too.  Its ids are one path through the lattice
+of pieces.  For a byte-pair model that path is not the one of the largest sum of piece scores but the only one in which
+every two neighbours agree: encoding their two texts as one gives just the two.  (If merging were ever to
+cross from one piece into the next, the first such merge would come in the encoding of these two alone,
+too.)  So a step scores 0 if the two agree and minus infinity if not, and the scan is max-plus over these scores:
+
+1. the state at a chunk's edge is the piece that holds the character before it; each chunk yields the matrix of
+   scores from the states at its left edge to those at its right, as the pairs that score 0;
+2. matrices are combined associatively, up a tree of WAY children a node, and the states at
+   all edges are handed down the tree again;
+3. each chunk is encoded by itself between the pieces at its edges: a run of neighbours that agree is the
+   encoding of its own text.
 """
 
 from __future__ import annotations
@@ -18,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +37,10 @@ MARK = "▁"
 GIANT, CHUNK = 1 << 16, 1 << 15
 #: Units above this many characters are merged one by one with a heap.
 LONG_UNIT = 128
+#: Children of a node of the tree over chunks, and levels of it: WAY ** LEVELS chunks are more than a string can have.
+WAY, LEVELS = 64, 3
+#: Pairs of pieces of which it is remembered whether they agree.
+KNOWN_PAIRS = 1 << 20
 BATCH_BYTES, BATCH_IDS = 1 << 20, 1 << 19
 
 
@@ -62,6 +74,7 @@ class Pieces:
                 a, b = normal.get(piece[:cut]), normal.get(piece[cut:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = (order[i], i)
+        self.ids, self.longest, self.agreed = normal, max(map(len, normal)), {}
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.rank = np.array([pairs[k][0] for k in self.keys.tolist()], dtype=np.int64)
         self.made = np.array([pairs[k][1] for k in self.keys.tolist()], dtype=np.int64)
@@ -165,6 +178,72 @@ class Pieces:
                 offer(before[i])
         return np.array([v for v in value if v is not None], dtype=np.int64)
 
+    def piece(self, text: str) -> int | None:
+        """The symbol of a text: its piece, or that of an unknown character; None if it is neither."""
+        found = self.ids.get(text)
+        return -1 - ord(text) if found is None and len(text) == 1 else found
+
+    def agree(self, left: str, right: str) -> bool:
+        """Whether two pieces, as texts, stay as they are when they are encoded together; an empty one stays out of it."""
+        key = (left, right)
+        if key not in self.agreed:
+            if len(self.agreed) >= KNOWN_PAIRS:
+                self.agreed.clear()
+            self.agreed[key] = self._merge_long(self.symbols([left + right])[0]).tolist() == [self.piece(x) for x in key if x]
+        return self.agreed[key]
+
+    def transfer(self, text: str, begin: int, end: int, first: bool, last: bool) -> list[tuple[int, int, int, int]]:
+        """Pairs of states at the edges ``begin`` and ``end`` of a chunk that score 0, as (from, to) of two pieces.
+
+        ``text`` has the chunk and what pieces may reach beyond it.  The only state at the start of a whole text is (0, 0).
+        """
+        marked, whole, longest = text.replace(" ", MARK), len(text), self.longest
+        # Which of the left states (bits) lead to a place by which last piece.
+        at: dict[int, dict[str, int]] = {}
+        if first:
+            lefts = [(begin, begin)]
+            at[begin] = {"": 1}
+        else:
+            lefts = [(i, j) for i in range(max(0, begin - longest), begin) for j in range(begin, min(whole, i + longest) + 1) if self.piece(marked[i:j]) is not None]
+            for bit, (i, j) in enumerate(lefts):
+                ends = at.setdefault(j, {})
+                ends[marked[i:j]] = ends.get(marked[i:j], 0) | 1 << bit
+
+        def arrivals(j: int, low: int, high: int) -> dict[str, int]:
+            """Left states that reach ``j`` by a piece which starts in low..high."""
+            out: dict[str, int] = {}
+            for i in range(max(low, j - longest), min(high, j - 1) + 1):
+                if (ends := at.get(i)) and self.piece(piece := marked[i:j]) is not None:
+                    bits = 0
+                    for before, some in ends.items():
+                        if self.agree(before, piece):
+                            bits |= some
+                    if bits:
+                        out[piece] = bits
+            return out
+
+        # No piece crosses the start of a unit, and pieces on both sides of one agree.  So all that lies between the first and the last start is one state.
+        starts = _unit_starts(marked, begin + 1, end - 1)
+        skip = (starts[0], starts[1]) if starts else (end, end)
+        for j in range(begin + 1, skip[0] + 1):
+            for piece, bits in arrivals(j, begin, j).items():
+                ends = at.setdefault(j, {})
+                ends[piece] = ends.get(piece, 0) | bits
+        if starts:
+            alive = 0
+            for bits in at.get(skip[0], {}).values():
+                alive |= bits
+            at = {skip[1]: {"": alive}} if alive else {}
+            for j in range(skip[1] + 1, end + 1):
+                at[j] = arrivals(j, skip[1], j)
+        out = []
+        for j in [end] if last else range(end, min(whole, end + longest - 1) + 1):
+            found = dict(at.get(end, {})) if j == end else arrivals(j, begin, end - 1)
+            for piece, bits in found.items():
+                if piece or last:
+                    out += [(*left, j - len(piece), j) for bit, left in enumerate(lefts) if bits >> bit & 1]
+        return out
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin; the texts hold whole units, prefix included."""
         number: dict[str, int] = {}
@@ -221,38 +300,118 @@ def _ids(path: str, column: str, schema_names: list[str]):
     return run
 
 
-def _fragments(chunk: int):
-    """Chunks of a text cut into the part up to the last start of a unit and the open rest."""
+def _unit_starts(marked: str, low: int, high: int) -> list[int]:
+    """The first and the last start of a unit in low..high: a space behind something else; nothing if there is none."""
+    first = marked.find(MARK, low, high + 1)
+    while first >= 0 and marked[first - 1 : first] == MARK:
+        first = marked.find(MARK, first + 1, high + 1)
+    if first < 0:
+        return []
+    last = marked.rfind(MARK, low, high + 1)
+    while marked[last - 1 : last] == MARK:
+        last = marked.rfind(MARK, low, last)
+    return [first, last]
+
+
+_CHUNKS = "key string, chunk int, base long, begin int, end int, first boolean, last boolean, text string"
+
+
+def _chunks(path: str, chunk: int):
+    """Chunks of a text, each with the characters around it that a piece may reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        around = load(path).longest
+        schema = pa.schema([("key", pa.string()), ("chunk", pa.int32()), ("base", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_()), ("text", pa.string())])
         for batch in by_bytes(batches, "whole", BATCH_BYTES):
             for key, text in zip(batch.column("key").to_pylist(), batch.column("whole").to_pylist()):
-                number, starts, parts = [], [], []
                 for n, i in enumerate(range(0, len(text), chunk)):
-                    piece = text[i : i + chunk]
-                    at = len(piece) - 1
-                    # A unit starts at a space whose predecessor, in the whole text, is no space.
-                    while at >= 0 and not (piece[at] == " " and i + at > 0 and text[i + at - 1] != " "):
-                        at = piece.rfind(" ", 0, at)
-                    number.append(n)
-                    starts.append(at >= 0)
-                    parts.append((piece[: max(at, 0)], piece[max(at, 0) :]))
-                yield pa.RecordBatch.from_pydict({"key": [key] * len(number), "chunk": pa.array(number, pa.int32()), "opens": pa.array(starts, pa.bool_()), "closed": [p[0] for p in parts], "open": [p[1] for p in parts]})
+                    base, stop = max(0, i - around), min(len(text), i + chunk)
+                    row = {"key": key, "chunk": n, "base": base, "begin": i - base, "end": stop - base, "first": i == 0, "last": stop == len(text), "text": text[base : stop + around]}
+                    yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    return run
+
+
+def _matrices(path: str):
+    """The matrix of each chunk: four numbers (a piece at the left edge, a piece at the right) for each pair of states that scores 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(path)
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                pairs = model.transfer(row["text"], row["begin"], row["end"], row["first"], row["last"])
+                out.append([row["base"] + x for pair in pairs for x in pair])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), pa.array(out, pa.list_(pa.int64()))], names=["key", "node", "matrix"])
+
+    return run
+
+
+def _pairs(matrix: list[int]) -> dict[tuple[int, int], set[tuple[int, int]]]:
+    out: dict[tuple[int, int], set[tuple[int, int]]] = {}
+    for i in range(0, len(matrix), 4):
+        out.setdefault(tuple(matrix[i : i + 2]), set()).add(tuple(matrix[i + 2 : i + 4]))
+    return out
+
+
+def _combine(table: pa.Table) -> pa.Table:
+    """The max-plus product of a node's matrices, in order: states that some state between leads from and to."""
+    rows = sorted(zip(table.column("node").to_pylist(), table.column("matrix").to_pylist()))
+    total = _pairs(rows[0][1])
+    for _, matrix in rows[1:]:
+        step = _pairs(matrix)
+        total = {left: right for left, middle in total.items() if (right := set().union(*(step.get(m, ()) for m in middle)))}
+    flat = [x for left, rights in sorted(total.items()) for right in sorted(rights) for x in (*left, *right)]
+    return pa.table({"key": table.column("key")[:1], "node": pa.array([rows[0][0] // WAY], pa.int32()), "matrix": pa.array([flat], pa.list_(pa.int64()))})
+
+
+def _hand_down(table: pa.Table) -> pa.Table:
+    """The states at the edges of a node's children, from those at its own: the one path that scores 0."""
+    rows = sorted(zip(table.column("node").to_pylist(), table.column("matrix").to_pylist()))
+    left, right = tuple(table.column("left")[0].as_py()), tuple(table.column("right")[0].as_py())
+    steps, reached = [_pairs(m) for _, m in rows], [{left}]
+    for step in steps:
+        reached.append(set().union(*(step.get(x, ()) for x in reached[-1])))
+    states = [right]
+    for step, before in zip(reversed(steps), reversed(reached[:-1])):
+        states.append(next(x for x in sorted(before) if states[-1] in step.get(x, ())))
+    states.reverse()
+    edge = lambda values: pa.array([list(v) for v in values], pa.list_(pa.int64()))
+    return pa.table({"key": pa.array([table.column("key")[0].as_py()] * len(rows)), "node": pa.array([n for n, _ in rows], pa.int32()), "left": edge(states[:-1]), "right": edge(states[1:])})
+
+
+def _between(path: str):
+    """Ids of each chunk from the end of the piece at its left edge to the end of that at its right."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(path)
+        for batch in by_bytes(batches, "text", BATCH_BYTES):
+            rows = batch.to_pylist()
+            ids, at = model.encode([r["text"][r["left"][1] - r["base"] : r["right"][1] - r["base"]] for r in rows])
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), lists], names=["key", "chunk", "ids"])
 
     return run
 
 
 def encode_giant(texts: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
-    """(key, ids) of (key, whole), each text as a scan of its chunks."""
-    parts = texts.mapInArrow(_fragments(chunk), "key string, chunk int, opens boolean, closed string, open string").repartition("key", "chunk")
-    so_far = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = parts.withColumn("run", F.sum(F.col("opens").cast("int")).over(so_far))
-    closed = parts.where("opens").select("key", (F.col("run") - 1).alias("run"), "chunk", F.lit(0).alias("part"), F.col("closed").alias("text"))
-    still = parts.select("key", "run", "chunk", F.lit(1).alias("part"), F.col("open").alias("text"))
-    runs = closed.union(still).groupBy("key", "run").agg(F.sort_array(F.collect_list(F.struct("chunk", "part", "text"))).alias("parts"))
-    runs = runs.select("key", "run", F.array_join("parts.text", "").alias("text"))
-    coded = runs.mapInArrow(_ids(path, "text", ["key", "run"]), "key string, run long, ids array<int>")
-    return coded.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("run", "ids"))).alias("runs")).select("key", F.flatten("runs.ids").alias("ids"))
+    """(key, ids) of (key, whole), each text as a scan of its chunks; a chunk is longer than any piece."""
+    if chunk <= load(path).longest:
+        raise ValueError("chunks must be longer than the longest piece")
+    parts = texts.mapInArrow(_chunks(path, chunk), _CHUNKS).repartition("key", "chunk")
+    level = parts.mapInArrow(_matrices(path), "key string, node int, matrix array<long>")
+    levels = [level]
+    for _ in range(LEVELS):
+        level = level.groupBy("key", F.floor(F.col("node") / WAY).cast("int")).applyInArrow(_combine, "key string, node int, matrix array<long>")
+        levels.append(level)
+    # A whole text has one state at each end.
+    states = level.select("key", "node", F.slice("matrix", 1, 2).alias("left"), F.slice("matrix", 3, 2).alias("right"))
+    for level in reversed(levels[:-1]):
+        above = states.select("key", F.col("node").alias("parent"), "left", "right")
+        rows = level.withColumn("parent", F.floor(F.col("node") / WAY).cast("int")).join(above, ["key", "parent"])
+        states = rows.groupBy("key", "parent").applyInArrow(_hand_down, "key string, node int, left array<long>, right array<long>")
+    coded = parts.join(states.withColumnRenamed("node", "chunk"), ["key", "chunk"]).select("key", "chunk", "base", "text", "left", "right").mapInArrow(_between(path), "key string, chunk int, ids array<int>")
+    return coded.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts")).select("key", F.flatten("parts.ids").alias("ids"))
 
 
 def encode(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
