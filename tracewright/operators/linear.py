@@ -73,7 +73,7 @@ def rolling_gradients(samples: DataFrame, windows_m: Sequence[int] = (20, 50), s
     """Gradients over windows that start every ``step_m``, of lines whose samples are dense enough; samples begin at 0."""
     order = Window.partitionBy("line_id").orderBy("at_m")
     spaced = samples.withColumn("gap", F.col("at_m") - F.coalesce(F.lag("at_m").over(order), F.lit(0)))
-    lines = spaced.groupBy("line_id").agg(F.max("at_m").alias("end"), F.max("gap").alias("gap")).where(F.col("gap") <= max_spacing_m + 1e-6)
+    lines = spaced.groupBy("line_id").agg(F.floor(F.max("at_m")).cast("long").alias("end"), F.max("gap").alias("gap")).where(F.col("gap") <= max_spacing_m + 1e-6)
     starts = lines.withColumn("window_m", F.explode(F.array(*[F.lit(w) for w in windows_m]))).where("end >= window_m")
     starts = starts.select("line_id", "window_m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("end") - F.col("window_m"), F.lit(step_m).cast("long"))).alias("start_m"))
     starts = starts.withColumn("end_m", F.col("start_m") + F.col("window_m"))
