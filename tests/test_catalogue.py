@@ -41,4 +41,41 @@ def test_query_matches_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_other_queries_run(spark, name):
     frame = catalogue.queries()[name](spark, FOLDER)
-    assert frame.columns and len(frame.collect()) == frame.count()
+    rows = frame.collect()
+    assert frame.columns and len(rows) == frame.count()
+
+
+def test_spanning_forest_is_the_cheapest(spark, con):
+    """As many edges as join anything, no cycle, and the total of Kruskal's algorithm."""
+    from tracewright.plans.network import NEAR_SQL
+
+    pairs = con.execute(f"with {NEAR_SQL} select src || '-' || dst, src, dst, cast(round(sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) * 1000) as bigint) from links join pts p on p.vec_id = src join pts q on q.vec_id = dst where src < dst").fetchall()
+
+    def kruskal(rows):
+        parent, total, n = {}, 0, 0
+
+        def root(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        for _, a, b, cost in sorted(rows, key=lambda r: r[3]):
+            if root(a) != root(b):
+                parent[root(a)] = root(b)
+                total, n = total + cost, n + 1
+        return total, n
+
+    chosen = {r.edge_id for r in catalogue.queries()["spanning_forest"](spark, FOLDER).collect()}
+    tree = [r for r in pairs if r[0] in chosen]
+    assert len(tree) == len(chosen) == kruskal(tree)[1] > 0
+    assert kruskal(tree) == kruskal(pairs)
+
+
+def test_profiles_keep_their_samples(spark):
+    rows = catalogue.queries()["near_duplicate_collapse"](spark, FOLDER).collect()
+    assert sum(r.n for r in rows) == spark.read.parquet(f"{FOLDER}/events.parquet").count()
+
+
+def test_priority_schedule_keeps_budgets(spark):
+    rows = catalogue.queries()["priority_schedule"](spark, FOLDER).collect()
+    assert rows and any(r.phase is not None for r in rows) and len({r.intervention_id for r in rows}) == len(rows)

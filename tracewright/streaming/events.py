@@ -27,14 +27,18 @@ def effective_states(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def window_counts(events: DataFrame, by: Sequence[str], every: str, slide: str | None = None, late: str = "2 days", at: str = "ts", value: str = "value") -> DataFrame:
-    """Counts and sums over tumbling or sliding windows; rows later than ``late`` are left out."""
+    """Counts and sums over tumbling or sliding windows.
+
+    Written in append or update mode, windows close ``late`` after the newest event and rows that come later are left out;
+    in complete mode all windows stay open and nothing is.
+    """
     w = F.window(at, every, slide) if slide else F.window(at, every)
     rows = events.withWatermark(at, late).groupBy(w.alias("w"), *by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return rows.select(F.col("w.start").alias("window_start"), *by, "n", "total")
 
 
 def sessions(events: DataFrame, by: str, gap: str, late: str = "2 days", at: str = "ts") -> DataFrame:
-    """Runs of events of one key that are less than ``gap`` apart."""
+    """Runs of events of one key that are less than ``gap`` apart; ``late`` acts as in ``window_counts``."""
     rows = events.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("s"), by).agg(F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
     return rows.select(by, "first_at", "last_at", "n")
 
