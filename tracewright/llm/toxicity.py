@@ -2,18 +2,19 @@
 
 The kernel of two words sums their common subsequences of ``LENGTH`` characters, each discounted by
 ``GAP`` for every character it spans, so that inserted or missing characters weaken a match but do not
-undo it.  Landmarks are the words of the labelled sentences that speak clearest for toxicity.  A sentence
-is represented by its words' largest kernel with each landmark, mapped through the inverse root of
-the landmarks' kernel matrix.  A linear machine is trained on labelled texts as bags of sentences: a text is as
-toxic as its most toxic sentence, and that sentence is the one trained on.
+undo it.  Landmarks are the words of the labelled sentences that speak clearest for toxicity.  A word is mapped
+through its kernels with the landmarks and the inverse root of the landmarks' own kernel matrix (the Nystroem map), and
+a sentence is the largest value of its words in each direction of that map, or 0.  A linear machine is trained on labelled
+texts as bags of sentences: a text is as toxic as its most toxic sentence, and that sentence is the one trained on.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -21,26 +22,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, texts
+from .common import by_bytes
 from .sampling import PER_CLASS, labelled, remainder
 
-LENGTH, GAP, LANDMARKS, SHORTEST = 3, 0.7, 32, 4
-#: Words above this many bytes are looked at in pieces that overlap by half.
+#: Characters of a subsequence, discount, power of the normalised kernel (a power of a kernel is one), most landmarks, and letters that a landmark has at least.
+LENGTH, GAP, POWER, LANDMARKS, SHORTEST = 3, 0.7, 2, 32, 4
+#: Words above this many letters are looked at in pieces that overlap by half.
 PIECE = 32
-#: Similarities below this count as 0.
-FLOOR = 0.15
 EPOCHS, REGULAR, SEED = 60, 1e-3, 3
-#: Subsequences looked up, and words compared with themselves, in one pass.
-TRIPLES, PASS = 1 << 17, 1 << 12
-#: Digits and signs that stand for letters, beside the letters themselves; all other bytes are left out.
-_LETTERS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ013457@$!", b"abcdefghijklmnopqrstuvwxyzoieastasi")
-_OTHER = bytes(b for b in range(256) if not bytes([b]).translate(_LETTERS).isalpha() or b > 127)
-_SPELT = re.compile(rb"(?:^|\s)\S{1,2}(?:\s+\S{1,2}){3,}(?=\s|$)")
-_SENTENCE = re.compile(rb"[.!?]+\s+|\n+")
+#: Subsequences looked up and words compared with themselves in one pass, entries of a table of them, and words whose map a task remembers.
+TRIPLES, PASS, TABLE, KNOWN = 1 << 17, 1 << 10, 1 << 22, 1 << 18
+#: Digits and signs that stand for letters.
+_FROM, _TO = "013457@$!", "oieastasi"
+_ASCII = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _FROM.encode(), b"abcdefghijklmnopqrstuvwxyz" + _TO.encode())
+_OTHER = bytes(b for b in range(256) if b > 127 or not bytes([b]).translate(_ASCII).isalpha())
+_EDGE = ".,;:!?\"'()[]"
+_SENTENCE_MARK, _TEXT_MARK = "\0", "\1"
+_SPELT = re.compile(r"(?:^|\s)\S{1,2}(?:\s+\S{1,2}){3,}(?=\s|$)")
+_SENTENCE = re.compile(r"[.!?。！？]+\s+|\n+")
 
 
 class Machine(NamedTuple):
-    landmarks: list[bytes]
+    landmarks: list[str]
     root: np.ndarray
     weights: np.ndarray
     offset: float
@@ -69,9 +72,10 @@ def kernel(a: np.ndarray, b: np.ndarray, length: int = LENGTH, gap: float = GAP)
     return total
 
 
-def pad(words: list[bytes]) -> np.ndarray:
+def pad(words: list[str]) -> np.ndarray:
+    """Code points of each word, filled up with zeros."""
     width = max(map(len, words), default=1)
-    return np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(len(words), width)
+    return np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), width)
 
 
 def subsequences(width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,26 +84,36 @@ def subsequences(width: int) -> tuple[np.ndarray, np.ndarray]:
     return at, GAP ** (at[:, -1] - at[:, 0] + 1.0)
 
 
-def similarities(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
-    """Normalised kernel of each word with each landmark; 0 below FLOOR.
+def _codes(letters: np.ndarray, at: np.ndarray, base: int) -> np.ndarray:
+    """One number for each subsequence of each row of letters (numbers under ``base``)."""
+    return sum(letters[:, at[:, k]] * base**k for k in range(LENGTH))
 
-    The kernels come from the landmarks' subsequences, which are looked up in each word.  A word's kernel with itself is
-    at least the sum of its squared discounts, and just that if no letter repeats; else it is computed, and only where that
-    bound leaves some similarity at FLOOR or above.
+
+def _own(rows: np.ndarray) -> np.ndarray:
+    """Kernel of each row with itself."""
+    return np.concatenate([kernel(rows[i : i + PASS], rows[i : i + PASS]) for i in range(0, len(rows), PASS)])
+
+
+def similarities(words: list[str], landmarks: list[str]) -> np.ndarray:
+    """Normalised kernel, to its power, of each word with each landmark; 0 for words of fewer than LENGTH characters.
+
+    The kernels come from the landmarks' subsequences, which are looked up in each word.
     """
     out = np.zeros((len(words), len(landmarks)))
     if not words or not landmarks:
         return out
     rows, marks = pad(words), pad(landmarks)
-    letter = np.zeros(256, dtype=np.int64)
     used = np.unique(marks[marks > 0])
-    letter[used] = np.arange(1, len(used) + 1)
-    scale = (len(used) + 1) ** np.arange(LENGTH)
-    code = lambda table, at: sum(letter[table[:, at[:, k]]] * scale[k] for k in range(LENGTH))
+    base = len(used) + 1
+
+    def letters(table: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(used, table), len(used) - 1)
+        return np.where(used[at] == table, at + 1, 0).astype(np.int64)
+
     keys, weights = [], []
     for mark in landmarks:
         at, w = subsequences(len(mark))
-        key, place = np.unique(code(pad([mark]), at)[0], return_inverse=True)
+        key, place = np.unique(_codes(letters(pad([mark])), at, base)[0], return_inverse=True)
         keys.append(key)
         weights.append(np.bincount(place, w, len(key)) if len(key) else w)
     known = np.unique(np.concatenate(keys))
@@ -108,83 +122,119 @@ def similarities(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     value = np.zeros((len(known), len(landmarks)))
     for m, (key, w) in enumerate(zip(keys, weights)):
         value[np.searchsorted(known, key), m] = w
-    row_of = np.full((len(used) + 1) ** LENGTH, -1, dtype=np.int32)
-    row_of[known] = np.arange(len(known), dtype=np.int32)
+    if base**LENGTH <= TABLE:
+        row_of = np.full(base**LENGTH, -1, dtype=np.int32)
+        row_of[known] = np.arange(len(known), dtype=np.int32)
+        look_up = lambda codes: row_of[codes]
+    else:
+
+        def look_up(codes: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+            return np.where(known[at] == codes, at, -1)
+
     ref = np.maximum((value * value).sum(axis=0), 1e-12)
     lengths = (rows > 0).sum(axis=1)
-    bound = np.full(len(words), 1e-12)
+    own = np.ones(len(words))
     for n in np.unique(lengths[lengths >= LENGTH]):
         at, w = subsequences(int(n))
         group = np.flatnonzero(lengths == n)
-        bound[group] = (w * w).sum()
         step = max(1, TRIPLES // len(at))
         for i in range(0, len(group), step):
             some = group[i : i + step]
-            found = row_of[code(rows[some], at)]
+            found = look_up(_codes(letters(rows[some][:, :n]), at, base))
             word, triple = np.nonzero(found >= 0)
             if len(word):
                 first = np.flatnonzero(np.diff(word, prepend=-1))
                 out[some[word[first]]] = np.add.reduceat(value[found[word, triple]] * w[triple, None], first, axis=0)
-    near = np.flatnonzero((out / np.sqrt(bound[:, None] * ref) >= FLOOR * (1 - 1e-9)).any(axis=1))
-    own = np.full(len(words), np.inf)
-    ordered = np.sort(rows[near], axis=1)
-    repeats = ((ordered[:, 1:] == ordered[:, :-1]) & (ordered[:, 1:] > 0)).any(axis=1)
-    own[near[~repeats]] = bound[near[~repeats]]
-    near = near[repeats]
-    near = near[np.argsort(lengths[near], kind="stable")]
-    for i in range(0, len(near), PASS):
-        some = near[i : i + PASS]
-        a = rows[some][:, : lengths[some].max()]
-        own[some] = kernel(a, a)
-    out /= np.sqrt(np.maximum(own[:, None] * ref, 1e-12))
-    return np.where(out < FLOOR, 0, out)
-
-
-def clean(word: bytes) -> bytes:
-    """A word with its letters only, in lower case; signs between letters go, common stand-ins turn to letters."""
-    return word.strip(b".,;:!?\"'()[]").translate(_LETTERS, _OTHER)
-
-
-def pieces(word: bytes) -> list[bytes]:
-    """A cleaned word, or overlapping pieces of a long one; nothing for one that is too short."""
-    if len(word) < SHORTEST - 1:
-        return []
-    return [word] if len(word) <= PIECE else [word[i : i + PIECE] for i in range(0, len(word) - PIECE // 2, PIECE // 2)]
+                hit = np.unique(word)
+                own[some[hit]] = _own(rows[some[hit]][:, :n])
+    return (out / np.sqrt(np.maximum(own[:, None] * ref, 1e-12))) ** POWER
 
 
-def spelt(text: bytes) -> list[bytes]:
-    """Words spelt out in single characters."""
-    found = (b"".join(clean(x) for x in run.split()) for run in _SPELT.findall(text))
-    return [w for w in found if len(w) >= SHORTEST]
+class _Letters(dict):
+    """Letters of any script and their marks stay, stand-ins turn to letters, everything else goes; filled as characters come."""
 
+    def __missing__(self, point: int) -> int | None:
+        c = chr(point)
+        self[point] = ord(_TO[_FROM.index(c)]) if c in _FROM else point if c.isalpha() or unicodedata.category(c)[0] == "M" else None
+        return self[point]
 
-def bags(data: list[bytes | None], landmarks: list[bytes]) -> list[np.ndarray]:
-    """For each text, one row of largest kernels for each of its sentences that has any; a zero row if none has.
 
-    The kernel is computed once for each distinct word of the batch, and only texts with a word near a landmark are
-    cut into sentences.
-    """
-    seen = [set((t or b"").split()) for t in data]
-    extra = [spelt(t) if t else [] for t in data]
-    raw = list(set().union(*seen, *extra)) if data else []
-    parts = [pieces(clean(w)) for w in raw]
-    distinct = {p: i for i, p in enumerate(dict.fromkeys(p for ps in parts for p in ps))}
-    table = similarities(list(distinct), landmarks)
-    some = table.any(axis=1) if len(table) else np.zeros(0, dtype=bool)
-    near = {w: [distinct[p] for p in ps if some[distinct[p]]] for w, ps in zip(raw, parts) if any(some[distinct[p]] for p in ps)}
-    out = []
-    for text, words, more in zip(data, seen, extra):
-        rows = []
-        if not near.keys().isdisjoint(words) or not near.keys().isdisjoint(more):
-            for sentence in _SENTENCE.split(text):
-                hit = [i for w in [*sentence.split(), *(spelt(sentence) if more else ())] for i in near.get(w, ())]
-                if hit:
-                    rows.append(table[hit].max(axis=0))
-        out.append(np.array(rows) if rows else np.zeros((1, len(landmarks))))
-    return out
-
-
-def choose_landmarks(data: list[bytes], labels: list[int], most: int = LANDMARKS) -> list[bytes]:
+_KEPT = _Letters()
+
+
+def clean(word: str) -> str:
+    """A word with its letters only (of any script, with their marks), in lower case; signs between letters go, common stand-ins turn to letters."""
+    word = word.strip(_EDGE)
+    if word.isascii():
+        return word.encode().translate(_ASCII, _OTHER).decode()
+    return word.lower().translate(_KEPT)
+
+
+def pieces(word: str) -> list[str]:
+    """A cleaned word, or overlapping pieces of a long one; nothing for one without any subsequence."""
+    if len(word) < LENGTH:
+        return []
+    return [word] if len(word) <= PIECE else [word[i : i + PIECE] for i in range(0, len(word) - PIECE // 2, PIECE // 2)]
+
+
+def spelt(text: str) -> list[str]:
+    """Words spelt out: runs of ones and twos of characters, as a whole, and the ones among them that stand together."""
+    found = []
+    for run in _SPELT.findall(text):
+        letters = [clean(x) for x in run.split()]
+        found += ["".join(letters), *("".join(group) for single, group in groupby(letters, lambda x: len(x) < 2) if single)]
+    return [w for w in dict.fromkeys(found) if len(w) >= SHORTEST]
+
+
+class WordMap:
+    """The Nystroem map of words, remembered for those that come again.  Rows 0 to 2 are zero: marks of a sentence and of a text, and words without any subsequence."""
+
+    def __init__(self, landmarks: list[str], root: np.ndarray):
+        self.landmarks, self.root = landmarks, root
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {_SENTENCE_MARK: 0, _TEXT_MARK: 1}
+        self.cleaned: dict[str, int] = {}
+        self.table = np.zeros((3, self.root.shape[1]), dtype=np.float32)
+
+    def learn(self, words: set[str]) -> None:
+        """Take in words of a batch; a batch is small, so the table stays bounded."""
+        if len(self.index) > KNOWN:
+            self.forget()
+        new = [(w, clean(w)) for w in words if w not in self.index]
+        parts = {c: ps for c in {c for _, c in new if c not in self.cleaned} if (ps := pieces(c))}
+        distinct = {p: i for i, p in enumerate(dict.fromkeys(p for ps in parts.values() for p in ps))}
+        mapped = (similarities(list(distinct), self.landmarks) @ self.root).astype(np.float32)
+        rows = mapped[[distinct[ps[0]] for ps in parts.values()]]
+        for i, ps in enumerate(parts.values()):
+            if len(ps) > 1:
+                rows[i] = mapped[[distinct[p] for p in ps]].max(axis=0)
+        self.cleaned.update(zip(parts, range(len(self.table), len(self.table) + len(parts))))
+        self.index.update((w, self.cleaned.get(c, 2)) for w, c in new)
+        self.table = np.concatenate([self.table, rows])
+
+    def bags(self, data: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each sentence of each text (one for a text without any), and where each text's rows begin."""
+        marked = []
+        for text in data:
+            text = (text or "").replace(_TEXT_MARK, " ").replace(_SENTENCE_MARK, " ")
+            if _SPELT.search(text):
+                text = f" {_SENTENCE_MARK} ".join(" ".join([x, *spelt(x)]) for x in _SENTENCE.split(text))
+            else:
+                text = _SENTENCE.sub(f" {_SENTENCE_MARK} ", text)
+            marked.append(text)
+        tokens = f" {_TEXT_MARK} ".join(["", *marked]).split()
+        self.learn(set(tokens))
+        flat = np.fromiter(map(self.index.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        begin = np.flatnonzero(flat <= 1)
+        columns = np.ascontiguousarray(self.table.T)
+        rows = np.stack([np.maximum.reduceat(c[flat], begin) for c in columns], axis=1)
+        return rows, np.append(np.flatnonzero(flat[begin] == 1), len(begin))
+
+
+def choose_landmarks(data: list[str], labels: list[int], most: int = LANDMARKS) -> list[str]:
     """Words that speak for toxicity beyond what the largest of as many chance results would.
 
     The evidence is the root of the likelihood ratio of the word's share of toxic and of other texts; the largest of
@@ -204,7 +254,7 @@ def choose_landmarks(data: list[bytes], labels: list[int], most: int = LANDMARKS
     return [w for e, w in sorted(zip(-evidence, words))[:most] if -e > bar]
 
 
-def train(data: list[bytes], labels: list[int]) -> Machine | float:
+def train(data: list[str], labels: list[int]) -> Machine | float:
     """A machine, or the share of toxic texts where there is nothing to tell the classes apart by."""
     y = np.array(labels)
     landmarks = choose_landmarks(data, labels) if len(set(labels)) == 2 else []
@@ -213,11 +263,12 @@ def train(data: list[bytes], labels: list[int]) -> Machine | float:
     gram = similarities(landmarks, landmarks)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
-    seen = [b @ root for b in bags(data, landmarks)]
+    rows, first = WordMap(landmarks, root).bags(data)
+    seen = [rows[i:j].astype(np.float64) for i, j in zip(first[:-1], first[1:])]
     sign = np.where(y == 1, 1.0, -1.0)
     cost = np.where(y == 1, len(y) / (2 * max(1, (y == 1).sum())), len(y) / (2 * max(1, (y == 0).sum())))
     # The first guess of a text's most toxic sentence is the one nearest to the landmarks.
-    chosen = np.array([b[np.argmax(np.abs(b).max(axis=1))] for b in seen])
+    chosen = np.array([b[np.argmax(b.max(axis=1))] for b in seen])
     weights, offset = np.zeros(root.shape[1]), 0.0
     for outer in range(3):
         weights, offset = _hinge(chosen, sign, cost)
@@ -265,16 +316,20 @@ def _sigmoid(margin: np.ndarray, y: np.ndarray, steps: int = 300) -> tuple[float
     return float(a), float(b)
 
 
-def scores(model: Machine | float, data: list[bytes | None]) -> np.ndarray:
+def scores(model: Machine | float, data: list[str | None], words: WordMap | None = None) -> np.ndarray:
     if not isinstance(model, Machine):
         return np.full(len(data), model, dtype=np.float64)
-    margin = np.array([(b @ model.root @ model.weights).max() for b in bags(data, model.landmarks)]) + model.offset
+    if not data:
+        return np.zeros(0)
+    rows, first = (words or WordMap(model.landmarks, model.root)).bags(data)
+    margin = np.maximum.reduceat(rows @ model.weights, first[:-1]) + model.offset
     return 1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -30, 30)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machine | float:
     """Fit on at most ``per_class`` labelled rows of each class whose crc32 modulo 5 is not 0."""
-    return train(*labelled(docs, labels, "toxic", remainder("doc_id", 5) != 0, per_class))
+    data, y = labelled(docs, labels, "toxic", remainder("doc_id", 5) != 0, per_class)
+    return train([t.decode("utf-8", "replace") for t in data], y)
 
 
 def score(docs: DataFrame, model: Machine | float) -> DataFrame:
@@ -286,8 +341,9 @@ def score(docs: DataFrame, model: Machine | float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordMap(model.landmarks, model.root) if isinstance(model, Machine) else None
         for batch in by_bytes(batches, "text"):
-            p = scores(model, texts(batch.column("text")))
+            p = scores(model, batch.column("text").to_pylist(), words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
