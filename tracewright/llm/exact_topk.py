@@ -1,8 +1,8 @@
 """Exact top-k inner products over norm-sorted blocks.
 
 Vectors are put in blocks by descending length.  The block of the longest ones gives every query a first
-threshold.  A block whose longest vector cannot reach a query's threshold (Cauchy-Schwarz) is not sent to
-it.  Inside a block vectors are rotated by its SVD; the partial product over the leading directions
+threshold.  A block whose longest vector cannot reach a query's threshold (Cauchy-Schwarz) does not meet
+it: queries are put in blocks by the length that they need, and rows go only to query blocks that ask for them.  Inside a block vectors are rotated by its SVD; the partial product over the leading directions
 plus the product of the two residual lengths bounds the rest, and only what may still reach the
 threshold is computed in full, exactly, in integers.
 """
@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .vectors import best, both, grid, numbers, usable
+from .vectors import best, both, grid, numbers, split, usable
 
-#: Rows of a block, queries of a block, most length classes, rows between two raises of the threshold,
-#: and leading directions.
-ROWS, QUERIES, CLASSES, STEP, LEADING = 8192, 512, 256, 2048, 24
+#: Rows of a block, queries of a block and those compared at once, most ranges of lengths, rows between two raises
+#: of the threshold, and leading directions.
+ROWS, QUERIES, SLICE, CLASSES, STEP, LEADING = 8192, 8192, 512, 256, 2048, 24
 
 
 def quantized(embedding):
@@ -75,14 +75,16 @@ def _compare(k: int):
             by_id = np.argsort(ids)
             x, ids = x[by_id], ids[by_id]
             threshold = queries.column("threshold").to_numpy(zero_copy_only=False).astype(np.float64)
-            done, scores = block_scores(x, q, ids, own, threshold, k)
-            done &= ids[None, :] != own[:, None]
-            for i in range(len(q)):
-                at = np.flatnonzero(done[i])
-                if len(at) > k:
-                    at = at[scores[i, at] >= np.partition(scores[i, at], -k)[-k]]
-                at = at[np.argsort(-scores[i, at], kind="stable")[:k]]
-                found.append(np.stack([np.full(len(at), own[i]), ids[at], scores[i, at]]))
+            for begin in range(0, len(q), SLICE):
+                some = slice(begin, begin + SLICE)
+                done, scores = block_scores(x, q[some], ids, own[some], threshold[some], k)
+                done &= ids[None, :] != own[some, None]
+                for i in range(len(done)):
+                    at = np.flatnonzero(done[i])
+                    if len(at) > k:
+                        at = at[scores[i, at] >= np.partition(scores[i, at], -k)[-k]]
+                    at = at[np.argsort(-scores[i, at], kind="stable")[:k]]
+                    found.append(np.stack([np.full(len(at), own[begin + i]), ids[at], scores[i, at]]))
         table = np.concatenate(found, axis=1)
         return pa.table({"query_id": table[0], "vec_id": table[1], "score": table[2]})
 
@@ -99,33 +101,23 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, block_rows: int = RO
     """
     rows = usable(vectors.select("vec_id", "embedding"), nonzero=False).select("vec_id", quantized(F.col("embedding")).alias("vector"))
     rows = rows.withColumn("length", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)))
-    n = rows.count()
-    classes = max(1, min(CLASSES, -(-n // block_rows)))
-    cuts = rows.agg(F.percentile_approx("length", [i / classes for i in range(1, classes)] or [0.5], 10000).alias("cuts")).first().cuts or []
-    cuts = sorted(set(cuts), reverse=True) if classes > 1 else []
-    rank = sum((F.when(F.col("length") < c, 1).otherwise(0) for c in cuts), F.lit(0))
-    rows = rows.withColumn("class", rank)
-    sizes = {r["class"]: r["count"] for r in rows.groupBy("class").count().collect()}
-    # Long runs of one length make a large class; hashing splits it evenly.
-    parts = {c: -(-s // block_rows) for c, s in sizes.items()}
-    start = {c: sum(parts[b] for b in parts if b < c) for c in parts}
-    total = sum(parts.values())
-    number = F.lit(0)
-    for c in parts:
-        number = F.when(F.col("class") == c, F.lit(start[c]) + F.pmod(F.xxhash64("vec_id"), F.lit(parts[c]))).otherwise(number)
-    rows = cut(rows.select("vec_id", "vector", "length", number.cast("int").alias("block")))
+    rows, total = split(rows, "length", block_rows, CLASSES, "block", "vec_id")
+    rows = cut(rows)
     longest = rows.groupBy("block").agg(F.max("length").alias("longest"))
     asked = rows.where(F.col("vec_id") % every == 0)
-    blocks = -(-asked.count() // QUERIES)
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"), F.col("length").alias("query_length"), F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(max(1, blocks))).cast("int").alias("query_block"))
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"), F.col("length").alias("query_length"))
     schema, columns = "query_id long, vec_id long, score long", ["query_id", "query_vector", "query_block", "block", "threshold"]
-    open_query = asked.withColumn("block", F.lit(0)).withColumn("threshold", F.lit(float("-inf")))
-    first = cut(grid(rows.where("block = 0").select("vec_id", "vector", "block"), open_query.select(*columns), blocks, _compare(k), schema))
+    blocks = max(1, -(-asked.count() // QUERIES))
+    open_query = asked.withColumn("query_block", F.pmod(F.xxhash64(F.lit(1), "query_id"), F.lit(blocks)).cast("int")).withColumn("block", F.lit(0)).withColumn("threshold", F.lit(float("-inf")))
+    first = cut(grid(rows.where("block = 0").select("vec_id", "vector", "block"), open_query.select(*columns), _compare(k), schema))
     threshold = first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("have"))
     threshold = threshold.select("query_id", F.when(F.col("have") >= k, F.col("kth").cast("double")).alias("kth"))
-    rest = asked.join(threshold, "query_id", "left").withColumn("threshold", F.coalesce("kth", F.lit(float("-inf")))).withColumn("block", numbers(total)).where("block > 0")
+    asked = asked.join(threshold, "query_id", "left").withColumn("threshold", F.coalesce("kth", F.lit(float("-inf"))))
+    need = F.when(F.col("threshold") > 0, F.col("threshold") / F.greatest("query_length", F.lit(1e-300))).otherwise(F.lit(0.0))
+    asked, _ = split(cut(asked.withColumn("need", need)), "need", QUERIES, CLASSES, "query_block", "query_id")
+    rest = asked.withColumn("block", numbers(total)).where("block > 0")
     rest = rest.join(longest, "block").where(F.col("query_length") * F.col("longest") * (1 + 1e-9) >= F.col("threshold")).select(*columns)
-    found = first.union(grid(rows.where("block > 0").select("vec_id", "vector", "block"), rest, blocks, _compare(k), schema))
+    found = first.union(grid(rows.where("block > 0").select("vec_id", "vector", "block"), rest, _compare(k), schema))
     return best(found, k)
 
 
