@@ -7,6 +7,8 @@ A rule that matches consumes its sentences, so that a later, more general rule s
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +90,119 @@ NOTICE_RULES = (
     (("bsdgrant", "bsdsource", "bsdbinary", "bsdendorse", "bsdasis", "bsdliable"), "BSD-3-Clause"),
     (("bsdgrant", "bsdsource", "bsdbinary", "bsdasis", "bsdliable"), "BSD-2-Clause"),
 )
+# Further usual notices and the heads of licence texts; * stands for up to twelve words, such as a holder's name.
+MORE = {
+    "gnu general public license version 3 29 june 2007": "gpl3text",
+    "gnu general public license version 2 june 1991": "gpl2text",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl3text",
+    "gnu lesser general public license version 2 1 february 1999": "lgpl21text",
+    "gnu affero general public license version 3 19 november 2007": "agpl3text",
+    "apache license version 2 0 january 2004": "apache2text",
+    "apache license version 2 0 january 2004 http www apache org licenses": "apache2text",
+    "mozilla public license version 2 0": "mpl2text",
+    "eclipse public license v 2 0": "epl2text",
+    "creative commons legal code cc0 1 0 universal": "cc0text",
+    "cc0 1 0 universal": "cc0text",
+    "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed": "gnuverbatim",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21plus",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3plus",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3plus",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3plus",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gnuwarranty",
+    "see the gnu lesser general public license for more details": "gnudetails",
+    "see the gnu affero general public license for more details": "gnudetails",
+    "you should have received a copy of the gnu lesser general public license along with this library": "gnucopy",
+    "you should have received a copy of the gnu lesser general public license along with this program": "gnucopy",
+    "you should have received a copy of the gnu affero general public license along with this program": "gnucopy",
+    "if not see https www gnu org licenses": "gnusee",
+    "if not see http www gnu org licenses": "gnusee",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license": "gpl2",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mplcopy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mplcopy",
+    "redistributions of source code must retain the copyright notice this list of conditions and the following disclaimer": "bsdsource",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsdbinary",
+    "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsdendorse",
+    "the name of * may not be used to endorse or promote products derived from this software without specific prior written permission": "bsdendorse",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement *": "bsdadvert",
+    "this software is provided by * as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsdasis",
+    "in no event shall * be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bsdliable",
+    "in no event shall * be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mitliable",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "iscgrant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "iscgrant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "bsd0grant",
+    "the software is provided as is and * disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "iscasis",
+    "in no event shall * be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "iscliable",
+    "this software is provided as is without any express or implied warranty": "zlibasis",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlibliable",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlibgrant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "boostgrant",
+    "distributed under the boost software license version 1 0": "boost",
+    "boost software license version 1 0 august 17th 2003": "boost",
+    "to the extent possible under law * has waived all copyright and related or neighboring rights to *": "cc0",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0",
+    "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies": "postgres",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which accompanies this distribution": "epl2",
+    "the contents of this file are subject to the terms of the common development and distribution license the license": "cddl",
+    "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed": "wtfpl",
+    "licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl the licence": "eupl12",
+    "licensed under the artistic license 2 0": "artistic2",
+    "this work is licensed under the creative commons attribution 4 0 international license": "ccby4",
+    "this work is licensed under the creative commons attribution sharealike 4 0 international license": "ccbysa4",
+    "this work is licensed under the creative commons attribution noncommercial 4 0 international license": "ccbync4",
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international license": "ccbynd4",
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license": "ccbyncsa4",
+    "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license": "ccbyncnd4",
+}
+_GNU = [("gpl3", "GPL-3.0"), ("gpl2", "GPL-2.0"), ("lgpl21", "LGPL-2.1"), ("lgpl3", "LGPL-3.0"), ("agpl3", "AGPL-3.0")]
+#: Rules for MORE, before the others; longer runs of identifiers come before their parts.
+MORE_RULES = (
+    *[((f"{i}plus", "gnuwarranty", "gnudetails", "gnucopy", "gnusee"), f"{n}-or-later") for i, n in _GNU],
+    *[((f"{i}plus", "gnuwarranty", "gnudetails", "gnucopy"), f"{n}-or-later") for i, n in _GNU],
+    *[((f"{i}plus", "gnuwarranty", "gnudetails"), f"{n}-or-later") for i, n in _GNU],
+    (("gpl2", "gnuwarranty", "gnudetails", "gnucopy", "gnusee"), "GPL-2.0-only"),
+    (("gpl2", "gnuwarranty", "gnudetails"), "GPL-2.0-only"),
+    *[((f"{i}text", "gnuverbatim"), f"{n}-only") for i, n in _GNU],
+    *[((f"{i}text",), f"{n}-only") for i, n in _GNU],
+    *[((f"{i}plus",), f"{n}-or-later") for i, n in _GNU],
+    (("apache2text",), "Apache-2.0"),
+    (("mpl2", "mplcopy"), "MPL-2.0"),
+    (("mpl2text",), "MPL-2.0"),
+    (("epl2text",), "EPL-2.0"),
+    (("epl2",), "EPL-2.0"),
+    (("cc0text",), "CC0-1.0"),
+    (("bsdgrant", "bsdsource", "bsdbinary", "bsdadvert", "bsdendorse", "bsdasis", "bsdliable"), "BSD-4-Clause"),
+    (("iscgrant", "iscasis", "iscliable"), "ISC"),
+    (("iscgrant",), "ISC"),
+    (("bsd0grant", "iscasis", "iscliable"), "0BSD"),
+    (("zlibasis", "zlibliable", "zlibgrant"), "Zlib"),
+    (("zlibgrant",), "Zlib"),
+    (("boost", "boostgrant"), "BSL-1.0"),
+    (("boostgrant",), "BSL-1.0"),
+    (("boost",), "BSL-1.0"),
+    (("cc0",), "CC0-1.0"),
+    (("postgres",), "PostgreSQL"),
+    (("cddl",), "CDDL-1.0"),
+    (("wtfpl",), "WTFPL"),
+    (("eupl12",), "EUPL-1.2"),
+    (("artistic2",), "Artistic-2.0"),
+    (("ccbynd4",), "CC-BY-ND-4.0"),
+    (("ccbyncsa4",), "CC-BY-NC-SA-4.0"),
+    (("ccbyncnd4",), "CC-BY-NC-ND-4.0"),
+)
+# Licence names that a tag may give.
+TAGS = (
+    "0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 EPL-1.0 EPL-2.0 "
+    "EUPL-1.2 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 PostgreSQL "
+    "PSF-2.0 Python-2.0 Unlicense UPL-1.0 WTFPL Zlib"
+).split()
+_plain = lambda name: re.sub(r"[^a-z0-9]+", " ", name.lower())
+TAGGED = {f"spdx license identifier {_plain(t)}": f"tag{_plain(t).replace(' ', '')}" for t in TAGS}
+TAG_RULES = tuple(((f"tag{_plain(t).replace(' ', '')}",), t) for t in TAGS)
+KNOWN, ALL_RULES = SENTENCES | NOTICES | MORE | TAGGED, MORE_RULES + NOTICE_RULES + RULES + TAG_RULES
+#: Every known sentence has one of these in it; a text without any is not looked through for them.
+KEYS = ("licen", "permission", "warrant", "redistribut", "reserved", "unencumbered", "liable", "copyright", "apache", "advertising", " as is ", "creative commons", " mpl ", " cc0 ")
 #: A sentence with one of these words that is not a known one is listed as <unknown>.
 HINT = r"(^| )(licen[cs]e|licen[cs]ed|copyright)( |$)"
 #: Sentences end at a line's end or at closing punctuation before a space.
@@ -102,6 +217,13 @@ def sentences(text: Column) -> Column:
     return F.transform(F.split(clean, "\n"), lambda s: F.trim(s))
 
 
+def _pattern(sentence: str) -> str:
+    """A known sentence as a pattern over parts: its spaces may be line ends, * up to twelve words."""
+    words = sentence.replace(" ", "[ \n]").replace("[ \n]v[ \n]", "[ \n]v(?: |\n\n?)")
+    words = words.replace("[ \n]*[ \n]", "[ \n](?:[^ \n]+[ \n]){1,12}?").replace("[ \n]*", "(?:[ \n][^ \n]+){0,12}?")
+    return "\n" + words + "(?=\n)"
+
+
 def _named(parts: Column, known: dict[str, str]) -> Column:
     """Sentences, with each run of them that makes a known sentence replaced by its identifier as ``<a>``; the longest known first.
 
@@ -109,12 +231,16 @@ def _named(parts: Column, known: dict[str, str]) -> Column:
     """
     flat = F.concat(F.lit("\n"), F.array_join(parts, "\n"), F.lit("\n"))
     spaced = F.replace(F.replace(flat, F.lit("\n\n"), F.lit(" ")), F.lit("\n"), F.lit(" "))
-    table = F.array(*[F.struct(F.lit(s).alias("s"), F.lit("\n" + s.replace(" ", "[ \n]").replace("[ \n]v[ \n]", "[ \n]v(?: |\n\n?)") + "(?=\n)").alias("p"), F.lit(f"\n<{i}>").alias("i")) for s, i in sorted(known.items(), key=lambda x: (-len(x[0]), x[0]))])
-    found = F.filter(table, lambda k: F.contains(spaced, k["s"]))
+    piece = lambda s: max((x.strip() for x in s.split("*")), key=len)
+    table = F.array(*[F.struct(F.lit(piece(s)).alias("s"), F.lit(_pattern(s)).alias("p"), F.lit(f"\n<{i}>").alias("i")) for s, i in sorted(known.items(), key=lambda x: (-len(x[0]), x[0]))])
+    any_key = spaced.contains(KEYS[0])
+    for key in KEYS[1:]:
+        any_key = any_key | spaced.contains(key)
+    found = F.when(any_key, F.filter(table, lambda k: F.contains(spaced, k["s"]))).otherwise(F.slice(table, 1, 0))
     return F.split(F.aggregate(found, flat, lambda text, k: F.regexp_replace(text, k["p"], k["i"])), "\n")
 
 
-def scan(docs: DataFrame, known: dict[str, str] = SENTENCES | NOTICES, rules=NOTICE_RULES + RULES) -> DataFrame:
+def scan(docs: DataFrame, known: dict[str, str] = KNOWN, rules=ALL_RULES) -> DataFrame:
     """Licences of each text.
 
     n_sentences counts the parts of a text between ends (also line ends); a known sentence may run over several of them.
@@ -143,9 +269,9 @@ def scan(docs: DataFrame, known: dict[str, str] = SENTENCES | NOTICES, rules=NOT
     return rows.withColumn("status", F.when(F.col("sentence_ids") == "", "none").when(F.col("n_unmatched") > 0, "partial").otherwise("identified"))
 
 
-def oracle(known: dict[str, str] = SENTENCES, rules=RULES) -> str:
-    """DuckDB SQL for ``scan`` over ``documents`` where each known sentence is one part: it does not join wrapped or cut ones."""
-    names = ", ".join(f"('{s}', '{i}')" for s, i in known.items())
+def oracle(known: dict[str, str] = KNOWN, rules=ALL_RULES) -> str:
+    """DuckDB SQL for ``scan`` over ``documents`` where each known sentence is one part: it does not join wrapped or cut ones, nor know those with names in them."""
+    names = ", ".join(f"('{s}', '{i}')" for s, i in known.items() if "*" not in s)
     matched = "sentence_ids"
     for parts, licence in rules:
         matched = f"replace({matched}, '{''.join(f'<{p}>' for p in parts)}', '{{{licence}}}')"
