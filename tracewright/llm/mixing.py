@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, cut
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_REPEATS, RANGE_DIGITS = 1.5, 2, 3
@@ -48,10 +48,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     """How many words of each document the mix takes.
 
     A document's size is its number of words (0 for a null text).  The random key is the MD5 of
-    ``seed`` and the doc_id, so reruns agree; equal keys (a repeated doc_id) come in any order but
-    with the same multiset of results.  Null doc_ids share one key.  A null source is a source of its
+    ``seed`` and the doc_id, so reruns agree; rows of one doc_id (or of none: null doc_ids share one key) come in the
+    order of a hash of their texts, equal rows in any order.  A null source is a source of its
     own.  An empty table gives no rows; columns other than doc_id, text and source are ignored.
-    Returns doc_id, size, source_size, target and taken, and beside them source and the key.
+    Returns doc_id, size, source_size, target and taken, and beside them source, the key and text_hash.
     """
     digits = RANGE_DIGITS
     base = docs.select(
@@ -59,8 +59,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("key"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
     ).withColumn("range", F.substring("key", 1, digits))
-    base = base.repartition("source", "range")
+    # Words are counted once; the ranges' sums and the cuts read the counts.
+    base = cut(base)
     ranges = base.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most)
@@ -69,13 +71,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     offsets = offsets.alias("o").join(targets.alias("t"), same(offsets, targets)).select(
         F.col("o.source").alias("of"), F.col("o.range").alias("at"), "offset", "source_size", "target"
     )
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     rows = base.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.round("target").cast("long") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.round("target").cast("long") - F.col("epochs") * F.col("source_size")
     rows = rows.withColumn("epochs", whole).withColumn("taken", F.col("size") * F.col("epochs") + F.greatest(F.lit(0), F.least("size", rest - F.col("offset") - F.col("ahead"))))
-    return rows.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source", "key")
+    return rows.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source", "key", "text_hash")
 
 
 def oracle(weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS) -> str:

@@ -18,11 +18,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per
     """Texts and labels of at most ``per_class`` rows of each class, the first in the order of a hash.
 
     ``usable`` says which labels (by their doc_id) may be learnt from.  Only the chosen ids meet the documents,
-    so the documents are not shuffled.
+    so the documents are not shuffled.  Where a doc_id repeats, the smallest of its texts is learnt from.
     """
     known = labels.where(usable & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     parts = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
     chosen = parts[0].union(parts[1])
     rows = docs.where(F.length("text") <= LONGEST).select("doc_id", F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = sorted(rows.select("doc_id", "text", "label").dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
+    rows = sorted(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect(), key=lambda r: r.doc_id)
     return [bytes(r.text) for r in rows], [r.label for r in rows]

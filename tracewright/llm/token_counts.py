@@ -74,7 +74,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, part_ch
                     for i, n in zip(owner[begin:k], lengths(flat[begin:k])):
                         tokens[i] += n
                     begin, total = k, 0
-                total += len(part or "")
+                total += len((part or "").encode())
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
