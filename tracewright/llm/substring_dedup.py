@@ -160,9 +160,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if spans:
                 change = np.zeros(len(parts) + 1, dtype=np.int64)
                 for s in spans:
-                    if _digest(parts, s["start"], s["length"]) == s["digest"]:
-                        change[s["start"]] += 1
-                        change[s["start"] + s["length"]] -= 1
+                    for start in s["starts"]:
+                        if _digest(parts, start, s["length"]) == s["digest"]:
+                            change[start] += 1
+                            change[start + s["length"]] -= 1
                 stay = np.cumsum(change[:-1]) == 0
                 parts = [parts[i] for i in np.flatnonzero(stay)]
             removed.append(total[-1] - len(parts))
@@ -195,11 +196,12 @@ def _compacted(spans: DataFrame) -> DataFrame:
 
 
 def _blocks(spans: DataFrame) -> DataFrame:
-    """Spans cut at the blocks of their sources."""
+    """Spans cut at the blocks of their sources: a row for each piece of a source that a document has, with all places where it has it."""
     end = F.col("source_start") + F.col("length")
     rows = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("source_start") / BLOCK), F.floor((end - 1) / BLOCK))))
     low, high = F.greatest("source_start", F.col("block") * BLOCK), F.least(end, (F.col("block") + 1) * BLOCK)
-    return rows.select(*_DOC, "source", "source_tag", (low + F.col("shift")).cast("int").alias("start"), low.cast("int").alias("source_start"), (high - low).cast("int").alias("length"))
+    rows = rows.select(*_DOC, "source", "source_tag", (low + F.col("shift")).cast("int").alias("start"), low.cast("int").alias("source_start"), (high - low).cast("int").alias("length"))
+    return rows.groupBy(*_DOC, "source", "source_tag", "source_start", "length").agg(F.collect_list("start").alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
@@ -238,7 +240,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     columns = ["doc_id", "place", "length", "also", "source", "source_place"]
     spans = path.where("doc_id > source").select(*columns).union(single.select(*columns))
     spans = spans.select("doc_id", tag("place").alias("tag"), F.explode(F.concat(F.array(start("place")), F.coalesce("also", F.array().cast("array<int>")))).alias("start"), "length", "source", tag("source_place").alias("source_tag"), start("source_place").alias("source_start"))
-    spans = _compacted(spans.withColumn("shift", F.col("start") - F.col("source_start")).drop("source_start"))
+    # Dealt by document once, for all that follows.
+    spans = _compacted(spans.withColumn("shift", F.col("start") - F.col("source_start")).drop("source_start").repartition(*_DOC))
     spans = cut(_blocks(spans.withColumn("source_start", F.col("start") - F.col("shift"))))
     asked = spans.select(F.col("source").alias("doc_id"), F.col("source_tag").alias("tag"), F.struct(F.col("source_start").alias("start"), "length").alias("range")).distinct()
     asked = asked.groupBy(*_DOC).agg(F.collect_list("range").alias("ranges"))
@@ -247,7 +250,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     at = ["source", "source_tag", "source_start", "length"]
     told = told.select(F.col("doc_id").alias("source"), F.col("tag").alias("source_tag"), F.col("start").alias("source_start"), "length", "digest")
     # A block with many copies is a hot key here.
-    spans = apart(spans, "source").join(apart(told, "source"), ["source_", *at[1:]]).groupBy(*_DOC).agg(F.collect_list(F.struct("start", "length", "digest")).alias("spans"))
+    spans = apart(spans, "source").join(apart(told, "source"), ["source_", *at[1:]]).groupBy(*_DOC).agg(F.collect_list(F.struct("starts", "length", "digest")).alias("spans"))
     out = near.join(spans, _DOC, "left").select("doc_id", "text", "spans", "more")
     odd = far.select("doc_id", "text", "more").union(rows.where("doc_id is null or text is null").select("doc_id", "text", "more"))
     out = out.union(odd.select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), "more"))
