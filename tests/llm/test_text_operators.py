@@ -94,6 +94,63 @@ def test_substring_dedup_keeps_other_columns_and_odd_rows(spark):
     assert substring_dedup.remove_repeats(frame(spark, [])).collect() == []
 
 
+def thue_morse(n):
+    """Two words of n letters that polynomial hashes modulo a power of two do not tell apart."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_regular_hashes_confuse(spark):
+    one, two = thue_morse(2048)
+    assert len(set(W.word_hashes(W.split([one.encode(), two.encode()])).tolist())) == 2
+    rng = random.Random(12)
+    base, other = prose(rng, 60, 10**6), prose(rng, 60, 10**6)
+    rows = [(1, f"{base} {one}"), (2, f"{base} {two}"), (3, " ".join([one] * 30)), (4, " ".join([two] * 30)), (5, f"{one} {other}"), (6, f"{two} {other}")]
+    rows += [(7, " ".join(one[:1024])), (8, " ".join(two[:1024]))]  # the same pattern over words
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert got == removed(rows)
+    assert (got[2][1], got[4][1], got[6][1]) == (60, 0, 60)
+    links = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert links == components(rows) and links[4][1] == 4
+
+
+def test_run_hashes_are_those_of_the_words():
+    rng = random.Random(7)
+    data = [" ".join(rng.choice("ab") for _ in range(400)).encode(), b"x" * 70 + b" yy " + b"x" * 71]
+    w = W.split(data)
+    hashes, names = W.word_hashes(w), [bytes(w.buffer[i:j]) for i, j in zip(w.start, w.end)]
+    assert len(set(hashes.tolist())) == len(set(names))
+    runs = W.Runs(hashes)
+    for size in (1, 2, 3, 5, 10, 50, 64):
+        seen = {}
+        for i, h in enumerate(runs.windows(size).tolist()):
+            assert seen.setdefault(tuple(names[i : i + size]), h) == h
+        assert len(set(seen.values())) == len(seen)
+        lo = W.np.arange(len(hashes) - size + 1)
+        assert (runs.spans(lo, lo + size) == runs.windows(size)).all()
+
+
+def test_chance_clusters_do_not_arise(spark):
+    """A million random signatures have no coordinate in common, as 32 bits would."""
+    values = W.mix(W.np.arange(12_000_000, dtype=W.np.uint64)).reshape(1_000_000, 12)
+    lowest = W.mix(values) >> W.np.uint64(8)  # minima of some 300 hashes are small numbers
+    posts = W.np.unique(W.mix(lowest + W.np.arange(12, dtype=W.np.uint64) * near_dedup._ODD[0]))
+    assert len(posts) == 12_000_000
+    docs = frame(spark, [(i, prose(random.Random(i), 30, 10**7)) for i in range(300)])
+    assert all(r.component_id == r.doc_id for r in near_dedup.near_duplicates(docs).collect())
+
+
+def test_substring_dedup_on_a_hot_source(spark):
+    """Many documents that repeat different stretches of one text."""
+    rng = random.Random(13)
+    text = prose(rng, 700, 10**6).split()
+    rows = [(0, " ".join(text))] + [(i, " ".join(prose(rng, 5).split() + text[(at := rng.randrange(0, 600)) : at + rng.randrange(40, 300)])) for i in range(1, 60)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert got == removed(rows)
+
+
 def test_license_rules_in_order(spark):
     head = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n"
     rows = [(1, head), (2, "Prose here. All rights reserved."), (3, "Our own licence applies to this."), (4, None), (5, ""), (6, "Released under the MIT License.\nWords.\nLicensed under CC BY-NC 4.0."), (7, "ALL   RIGHTS\tRESERVED!"), (7, "text")]
@@ -184,6 +241,71 @@ def test_license_notices_in_full(spark):
     assert got == want | {100: ("", "none"), 101: ("", "none"), 102: ("LicenseRef-AllRightsReserved", "identified")}
 
 
+ISC = """Copyright (c) 2020 Jane Doe
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
+"""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+"""
+AGPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+HEADS = {
+    "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007\n": "GPL-3.0-only",
+    "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n": "GPL-2.0-only",
+    "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n": "LGPL-3.0-only",
+    "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n": "AGPL-3.0-only",
+    "\n                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n": "Apache-2.0",
+    "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n": "MPL-2.0",
+    "# SPDX-License-Identifier: BSD-3-Clause\nimport os\n": "BSD-3-Clause",
+    "/* SPDX-License-Identifier: GPL-2.0-or-later */\nint x;\n": "GPL-2.0-or-later",
+    "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file.)": "BSL-1.0",
+}
+
+
+def test_more_licenses_and_names_in_sentences(spark):
+    two = BSD.replace("3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\n", "")
+    own = BSD.replace("the copyright holder nor", "Example Widgets (Berlin) and Partners nor").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "EXAMPLE WIDGETS").replace("THE COPYRIGHT HOLDER OR CONTRIBUTORS", "EXAMPLE WIDGETS")
+    texts = {ISC: "ISC", LGPL: "LGPL-2.1-or-later", AGPL: "AGPL-3.0-or-later", ZLIB: "Zlib", two: "BSD-2-Clause", own: "BSD-3-Clause"} | HEADS
+    rows = list(enumerate(texts)) + [(100 + i, " ".join(t.split())) for i, t in enumerate((LGPL, AGPL, ZLIB, own))]
+    got = {r.doc_id: r.licenses for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == dict(enumerate(texts.values())) | {100: "LGPL-2.1-or-later", 101: "AGPL-3.0-or-later", 102: "Zlib", 103: "BSD-3-Clause"}
+    assert licenses.scan(frame(spark, [])).collect() == []
+
+
+def test_license_tables_are_consistent():
+    assert all(any(k in f" {s} " for k in licenses.KEYS) for s in licenses.KNOWN)
+    assert {i for parts, _ in licenses.ALL_RULES for i in parts} <= set(licenses.KNOWN.values())
+
+
 def test_license_sql_agrees(spark, texts):
     rows = texts + [(100, "Version 2.0. Released under the MIT License.\nAll rights reserved."), (101, "Licensed under CC BY 4.0! copyright 2020")]
     con = duckdb.connect()
