@@ -69,11 +69,13 @@ def choose_alignment(options: DataFrame) -> DataFrame:
 def match_traffic(observations: DataFrame, targets: DataFrame, buffer: float) -> DataFrame:
     """Targets of each observation by the strongest relation that any target has to it: count point, else link identity, else nearness.
 
-    ``observations``: observation_id, count_point, road, junction, x, y.  ``targets``: target_id, count_point, road, junction, x, y.  Link identity:
+    ``observations``: observation_id, count_point, road, junction, x, y.  ``targets``: target_id, count_point, road, junction, x, y; a column ``at`` stands for
+    places along one line instead.  Link identity:
     every field known on both sides agrees without regard to case, and one at least is known on both.  Nearness is distance in the plane, up to
     ``buffer``.  Only observations that a stronger relation left over meet the next one.  Several targets are ambiguous; none leaves the
     observation unmatched.
     """
+    observations, targets = (df.withColumn("x", F.col("at").cast("double")).withColumn("y", F.lit(0.0)) if "x" not in df.columns else df for df in (observations, targets))
     fold = lambda df: df.withColumn("road", F.lower(F.trim("road"))).withColumn("junction", F.lower(F.trim("junction")))
     left, t = fold(observations), fold(targets).select("target_id", *[F.col(c).alias(f"t_{c}") for c in ("count_point", "road", "junction")])
     agree = lambda c: F.col(c).isNull() | F.col(f"t_{c}").isNull() | (F.col(c) == F.col(f"t_{c}"))

@@ -130,7 +130,21 @@ def reach_records(options: DataFrame, areas: DataFrame, radii: Sequence[float],
     return rows.select("option_id", "radius", "oa_id", "residents", "inside", "distance", (F.col("distance") <= F.col("radius")).alias("captured"), (F.abs(F.col("distance") - F.col("radius")) <= borderline).alias("borderline"))
 
 
-def reach_summary(options: DataFrame, areas: DataFrame, radii: Sequence[float], inside: Column) -> DataFrame:
+def reach_summary(records: DataFrame) -> DataFrame:
+    """Residents that each option reaches: in all, inside and outside the area, shared with other options and its own alone; from dense records.
+
+    Where no records are wanted ``reach_totals`` gives the same without them.
+    """
+    owners = records.where("captured").groupBy("radius", "oa_id").agg(F.countDistinct("option_id").alias("owners"))
+    rows = records.join(owners, ["radius", "oa_id"], "left")
+    total = lambda test: F.coalesce(F.sum(F.when(F.col("captured") & test, F.col("residents"))), F.lit(0)).cast("long")
+    return rows.groupBy("option_id", "radius").agg(
+        total(F.lit(True)).alias("total_residents"), total(F.col("inside")).alias("inside_residents"), total(~F.col("inside")).alias("outside_residents"),
+        total(F.col("owners") > 1).alias("shared_residents"), total(F.col("owners") == 1).alias("exclusive_residents"), F.count_if("captured").alias("n_captured"),
+    )
+
+
+def reach_totals(options: DataFrame, areas: DataFrame, radii: Sequence[float], inside: Column) -> DataFrame:
     """Residents that each option reaches: in all, inside and outside the area, shared with other options and its own alone.
 
     ``options``: option_id, x, y.  ``areas``: oa_id, residents, x, y.  Only areas near an option meet it; an option that

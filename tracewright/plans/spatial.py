@@ -143,7 +143,7 @@ REACH = f"with {RECORDS_SQL} select option_id, radius, oa_id, residents, inside,
 
 
 def population_summary(spark, sf_dir):
-    return S.reach_summary(*_reach(spark, sf_dir))
+    return S.reach_totals(*_reach(spark, sf_dir))
 
 
 SUMMARY_SQL = f"""{RECORDS_SQL}, own as (select radius, oa_id, count(distinct option_id) as owners from recs where captured group by radius, oa_id),
@@ -154,7 +154,7 @@ SUMMARY_SQL = f"""{RECORDS_SQL}, own as (select radius, oa_id, count(distinct op
 
 
 def population_sensitivity(spark, sf_dir):
-    return S.reach_sensitivity(S.reach_summary(*_reach(spark, sf_dir)), 40.0, 5.0)
+    return S.reach_sensitivity(S.reach_totals(*_reach(spark, sf_dir)), 40.0, 5.0)
 
 
 POPULATION_SENSITIVITY = f"""with {SUMMARY_SQL}, r as (select *, row_number() over w as place, lead(total_residents) over w as nxt from summary window w as (partition by radius order by total_residents desc, option_id)),
