@@ -1,4 +1,4 @@
-"""Queries of this subpackage: op1 .. op10 and the pipeline."""
+"""Queries of this subpackage: op1 .. op13."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, exact_topk, licenses, mixing, near_dedup, piece_codec, quality, substring_dedup, token_counts, toxicity
+from . import alignment, ann_forest, centroids, contamination, exact_topk, licenses, mixing, near_dedup, piece_codec, quality, substring_dedup, token_counts, toxicity
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,9 +60,21 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_hash_prefix_forest, op4_minhash_near_dedup, op5_sentencepiece, op6_toxicity, op7_quality, op8_token_counts, op9_source_mixing, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_hash_prefix_forest, op4_minhash_near_dedup, op5_sentencepiece, op6_toxicity, op7_quality, op8_token_counts, op9_source_mixing, op10_exact_top_k, op11_token_alignment, op12_decontamination, op13_centroid_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op9_source_mixing": mixing.oracle(), "op10_exact_top_k": exact_topk.oracle()}
+    return {"op1_license_scan": licenses.oracle(), "op9_source_mixing": mixing.oracle(), "op10_exact_top_k": exact_topk.oracle(), "op12_decontamination": contamination.oracle(), "op13_centroid_clusters": centroids.oracle()}

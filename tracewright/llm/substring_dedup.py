@@ -174,9 +174,9 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns + [batch.column("more")], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "more"])
 
 
-def _touched(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` whose doc_id may be among ``ids``, and those whose doc_id is not, without a shuffle of ``docs``."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)) + 1
+def touched(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """``docs`` whose key may be among ``ids``, and those whose key is not, without a shuffle of ``docs``."""
+    slot = F.pmod(F.xxhash64(key), F.lit(BITMAP)) + 1
     bits = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits_"))
     place = F.pmod(slot - 1, F.lit(32768))
     byte = F.conv(F.hex(F.substring("bits_", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
@@ -230,7 +230,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     start = lambda place: F.col(place).bitwiseAND(0x7FFFFFFF).cast("int")
     path = apart(path, "kmer", "path").join(apart(compact, "kmer", "path"), ["kmer_", "path_"]).where("doc_id > source or branches")
     path = cut(path.select("doc_id", "place", "length", "also", "source", "source_place"))
-    near, far = _touched(known, path.select("doc_id").union(path.select("source")))
+    near, far = touched(known, path.select("doc_id").union(path.select("source")))
     # Where the graph branches, the sources' own runs become single windows.  All joins with texts read one shuffle of them.
     ranges = path.where("doc_id = source").select("doc_id", tag("place").alias("tag"), F.struct(start("place").alias("start"), "length", "also").alias("range"))
     ranges = ranges.groupBy(*_DOC).agg(F.collect_list("range").alias("ranges"))
