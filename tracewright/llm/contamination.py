@@ -26,6 +26,8 @@ WINDOW = 10
 #: What stands between words of a text whose A-Z are not lower-cased yet.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _ROW = ["doc", "mark"]
+#: Terms are sent to all tasks up to so many characters in all; more of them are met by a shuffle of the words.
+FEW = 1 << 22
 
 
 def parts(text: Column) -> Column:
@@ -52,10 +54,16 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(_doc(), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
 
 
+def _sent(terms: DataFrame) -> DataFrame:
+    """Distinct terms, written out, and marked for sending to all tasks if their measured size allows it."""
+    terms = cut(terms.select("term").distinct())
+    size = terms.agg(F.sum(F.length("term") + 16).alias("n")).first().n or 0
+    return F.broadcast(terms) if size <= FEW else terms
+
+
 def _rarest(windows: DataFrame, docs: DataFrame) -> DataFrame:
     """The windows' terms with their corpus frequency; windows with a term that no document has go."""
-    terms = windows.select("term").distinct()
-    often = postings(docs, "text").join(terms, "term").groupBy("term").agg(F.count("*").alias("often"))
+    often = postings(docs, "text").join(_sent(windows), "term").groupBy("term").agg(F.count("*").alias("often"))
     return windows.join(often, "term")
 
 
@@ -79,8 +87,8 @@ def _starts(windows: DataFrame, docs: DataFrame) -> DataFrame:
     ranked = _rarest(windows, docs)
     terms = ranked.groupBy("item", "first", "size").agg(F.count("*").alias("known"), F.array_sort(F.collect_list(F.struct("often", "at", "term"))).alias("terms")).where("known = size")
     seeds = cut(terms.select("item", "first", "size", F.col("terms")[0].alias("a"), F.when(F.col("size") > 1, F.col("terms")[1]).alias("b")))
-    wanted = seeds.select(F.explode(F.array("a.term", "b.term")).alias("term")).where("term is not null").distinct()
-    index = cut(postings(docs, "text", *_ROW).join(wanted, "term"))
+    wanted = seeds.select(F.explode(F.array("a.term", "b.term")).alias("term")).where("term is not null")
+    index = cut(postings(docs, "text", *_ROW).join(_sent(wanted), "term"))
     # A term's list may be long and asked for by many windows.
     one = apart(index.withColumn("h", F.xxhash64("term")), "h").join(apart(seeds.withColumn("h", F.xxhash64("a.term")), "h"), "h_").where("term = a.term")
     one = one.select(*_ROW, "item", "first", "size", (F.col("pos") - (F.col("a.at") - F.col("first"))).alias("begin"), F.col("b.term").alias("other"), (F.col("b.at") - F.col("first")).alias("behind"))
@@ -107,7 +115,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     found = found.groupBy(*_ROW, "item", "shift", "size", "run").agg(F.min("first").alias("low"), F.max(F.col("first") + F.col("size")).alias("high"))
     asked = found.select(*_ROW, "item", "shift", "size", F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("at")).join(words, ["item", "at"]).withColumn("pos", F.col("shift") + F.col("at"))
     near, _ = touched(rows, starts.select("doc"), "doc")
-    told = postings(near, "text", *_ROW).join(words.select("term").distinct(), "term")
+    told = postings(near, "text", *_ROW).join(_sent(words), "term")
     hit = asked.join(told, [*_ROW, "pos", "term"]).distinct()
     line = Window.partitionBy(*_ROW, "item", "shift").orderBy("at")
     hit = hit.withColumn("island", F.col("at") - F.row_number().over(line))
@@ -152,7 +160,7 @@ def near_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     order = Window.partitionBy("item", "first").orderBy("often", "term")
     once = once.withColumn("rank", F.row_number().over(order)).withColumn("known", F.count("*").over(Window.partitionBy("item", "first"))).join(sizes, ["item", "first"]).where("known = terms")
     once = cut(once.select("item", "first", "size", "term", "rank", "terms"))
-    index = cut(postings(rows, "text", *_ROW).join(once.select("term").distinct(), "term"))
+    index = cut(postings(rows, "text", *_ROW).join(_sent(once), "term"))
     left = index.join(once.where("rank = 1"), "term")
     reach = F.col("size") + slop
     left = cut(left.select(*_ROW, "item", "first", "size", "terms", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - reach + 1), F.col("pos"))).alias("begin")))
