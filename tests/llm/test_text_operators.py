@@ -15,6 +15,18 @@ from .brute import components, removed, shingle_set, words
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def test_repeats_inside_documents_are_rows_once(spark, monkeypatch):
+    """A passage that stands 1,000 times in each of two documents is as many rows as it has different runs."""
+    rng = random.Random(31)
+    passage, blocks = prose(rng, 60), []
+    real = substring_dedup._blocks
+    monkeypatch.setattr(substring_dedup, "_blocks", lambda spans: blocks.append(out := real(spans)) or out)
+    rows = [(1, "start " + (passage + " ") * 1000), (2, prose(rng, 30) + " " + (passage + " ") * 1000 + prose(rng, 30)), (3, passage + " x " + passage + " " + prose(rng, 30))]
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert found == removed(rows) and found[2][1] >= 60_000
+    assert blocks[0].count() < 200
+
+
 def frame(spark, rows, schema="doc_id long, text string"):
     return spark.createDataFrame(rows, schema)
 

@@ -152,9 +152,10 @@ def _source_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words without those of verified spans, and of runs that repeat inside the document what a verified span holds."""
     for batch in by_bytes(batches, "text"):
         removed, total, digest, kept = [], [], [], []
-        for text, spans in zip(texts(batch.column("text")), batch.column("spans").to_pylist()):
+        for text, spans, again in zip(texts(batch.column("text")), batch.column("spans").to_pylist(), batch.column("again").to_pylist()):
             parts = (text or b"").split()
             total.append(len(parts))
             if spans:
@@ -164,6 +165,15 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if _digest(parts, start, s["length"]) == s["digest"]:
                             change[start] += 1
                             change[start + s["length"]] -= 1
+                told = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])
+                for run in again or ():
+                    lo, hi = run["start"], run["start"] + run["length"]
+                    if told[hi] - told[lo] == hi - lo:
+                        words = parts[lo:hi]
+                        for start in run["also"]:
+                            if parts[start : start + hi - lo] == words:
+                                change[start] += 1
+                                change[start + hi - lo] -= 1
                 stay = np.cumsum(change[:-1]) == 0
                 parts = [parts[i] for i in np.flatnonzero(stay)]
             removed.append(total[-1] - len(parts))
@@ -239,9 +249,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     single = apart(edges, "edge").join(apart(sources, "edge"), "edge_").where("doc_id > source").withColumn("length", F.lit(window))
     columns = ["doc_id", "place", "length", "also", "source", "source_place"]
     spans = path.where("doc_id > source").select(*columns).union(single.select(*columns))
-    spans = spans.select("doc_id", tag("place").alias("tag"), F.explode(F.concat(F.array(start("place")), F.coalesce("also", F.array().cast("array<int>")))).alias("start"), "length", "source", tag("source_place").alias("source_tag"), start("source_place").alias("source_start"))
+    # One row for each different run of a document: its first place meets the source, its other places meet the first one inside the document.
+    spans = cut(spans.select("doc_id", tag("place").alias("tag"), start("place").alias("start"), "length", "also", "source", tag("source_place").alias("source_tag"), start("source_place").alias("source_start")))
+    again = spans.where("also is not null").groupBy(*_DOC).agg(F.collect_list(F.struct("start", "length", "also")).alias("again"))
     # Dealt by document once, for all that follows.
-    spans = _compacted(spans.withColumn("shift", F.col("start") - F.col("source_start")).drop("source_start").repartition(*_DOC))
+    spans = _compacted(spans.withColumn("shift", F.col("start") - F.col("source_start")).drop("source_start", "also").repartition(*_DOC))
     spans = cut(_blocks(spans.withColumn("source_start", F.col("start") - F.col("shift"))))
     asked = spans.select(F.col("source").alias("doc_id"), F.col("source_tag").alias("tag"), F.struct(F.col("source_start").alias("start"), "length").alias("range")).distinct()
     asked = asked.groupBy(*_DOC).agg(F.collect_list("range").alias("ranges"))
@@ -251,8 +263,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     told = told.select(F.col("doc_id").alias("source"), F.col("tag").alias("source_tag"), F.col("start").alias("source_start"), "length", "digest")
     # A block with many copies is a hot key here.
     spans = apart(spans, "source").join(apart(told, "source"), ["source_", *at[1:]]).groupBy(*_DOC).agg(F.collect_list(F.struct("starts", "length", "digest")).alias("spans"))
-    out = near.join(spans, _DOC, "left").select("doc_id", "text", "spans", "more")
+    out = near.join(spans.join(again, _DOC, "left"), _DOC, "left").select("doc_id", "text", "spans", "again", "more")
     odd = far.select("doc_id", "text", "more").union(rows.where("doc_id is null or text is null").select("doc_id", "text", "more"))
-    out = out.union(odd.select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), "more"))
+    out = out.union(odd.select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.lit(None).cast(again.schema["again"].dataType).alias("again"), "more"))
     more = docs.sparkSession.createDataFrame([], rows.select("more").schema).schema["more"].dataType.simpleString()
     return out.mapInArrow(_remove, f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, more {more}")
