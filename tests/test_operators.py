@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import bands, geometry, identity, projection, tags
-from tracewright.operators import demand, graph, line_evidence, linear, monitoring, priority, rules, selection, spatial, store
+from tracewright.operators import demand, graph, line_evidence, linear, monitoring, priority, rules, selection, spatial, store, trees
 from tracewright.operators.components import connected_components
 
 
@@ -225,8 +225,8 @@ def test_interval_transitions_and_pruning(spark):
     assert rows(rules.transitions(i, "line")) == [("l", 0, 5, 1, 1), ("l", 5, 10, 2, 1), ("l", 10, 20, 1, 2), ("l", 30, 40, 1, 3)]
     e = spark.createDataFrame([(1, "a", "b"), (2, "b", "c"), (3, "c", "d"), (4, "c", "a")], "edge_id long, a string, b string")
     none = spark.createDataFrame([], "node string")
-    assert [r.edge_id for r in rules.prune_leaves(e, none).orderBy("edge_id").collect()] == [1, 2, 4]
-    assert rules.prune_leaves(e, e.select(F.col("b").alias("node"))).count() == 4
+    assert [r.edge_id for r in graph.prune_leaves(e, none).orderBy("edge_id").collect()] == [1, 2, 4]
+    assert graph.prune_leaves(e, e.select(F.col("b").alias("node"))).count() == 4
 
 
 def test_spanning_forest_costs_no_more_than_any_other(spark):
@@ -247,8 +247,8 @@ def test_spanning_forest_costs_no_more_than_any_other(spark):
             parent[root(a)] = root(b)
             want.add(i)
     df = spark.createDataFrame(edges, "edge_id long, src long, dst long, cost long")
-    assert {r.edge_id for r in rules.spanning_forest(df).collect()} == want
-    assert rules.spanning_forest(df.limit(0)).count() == 0
+    assert {r.edge_id for r in trees.spanning_forest(df).collect()} == want
+    assert trees.spanning_forest(df.limit(0)).count() == 0
 
 
 def test_raster_states_and_samples(spark):

@@ -8,9 +8,10 @@ grows with the logarithm of the longest path.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Edges for each task of a round, beside the least number of tasks.  Spark's partitions are only merged to that many, so parts
@@ -18,21 +19,32 @@ from pyspark.sql import functions as F
 EDGES_PER_TASK, LEAST_TASKS = 100_000, 4
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df``: its rows go to the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Where none is set a temporary one is chosen, but only on a
-    local master: executors elsewhere would each write to a disk of their own.
+    Where none is set a temporary one is chosen, but only on a local master: executors elsewhere would each write to a disk of their own.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="checkpoint")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df``: its rows go to the folder that all executors share."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table of its own in the shared folder, with nothing that Spark knew of its plan: for results that are joined with themselves again and again."""
+    path = f"{shared_folder(df.sparkSession)}/table_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _anew(df: DataFrame) -> DataFrame:
     """``u`` wrapped as another key: a join on it shuffles both sides anew, so that Spark can split a hub's rows."""
     return df.select(F.struct("u").alias("key"), *[c for c in df.columns if c != "u"])

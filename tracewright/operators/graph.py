@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import checkpointed, connected_components
+from . import trees
+from .components import checkpointed, connected_components, stored
 
 
 def best_edges(edges: DataFrame, order: str = "length") -> DataFrame:
@@ -158,72 +159,75 @@ def dependency_levels(items: DataFrame, depends: DataFrame, limit: int = 100) ->
     raise RuntimeError(f"levels did not settle in {limit} rounds")
 
 
+def _cuts(edges: DataFrame, anchors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A spanning forest with its bridges told.
+
+    Every edge outside the forest gives a 64-bit hash of its id to both its ends; the hashes cancel wherever a subtree holds both.  They leave
+    0 below a bridge, and below another edge with a chance of 2**-64.  Returns the rooted tree edges with ``cut`` (whether it is a bridge) and ``weight`` (ends of other edges
+    and ``anchors`` in the subtree), the tree of each node, and the weight of each node that has one.
+    """
+    rows = checkpointed(edges.select("edge_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")))
+    chosen, tree = trees.forest(rows.select("edge_id", F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(0).cast("long").alias("cost")))
+    chosen = checkpointed(chosen.select("edge_id"))
+    spare = rows.join(chosen, "edge_id", "left_anti").select(F.explode(F.array("a", "b")).alias("node"), F.xxhash64("edge_id").alias("mark"), F.lit(1).alias("n"))
+    if anchors is not None:
+        spare = spare.union(anchors.select("node", F.lit(0).cast("long"), F.lit(1)).distinct())
+    held = checkpointed(spare.groupBy("node").agg(F.bit_xor("mark").alias("mark"), F.sum("n").alias("weight")))
+    laid = trees.rooted(rows.join(chosen, "edge_id"), tree.select(F.col("tree").alias("node")).distinct(), held.select("node", "weight"), held.select("node", "mark"))
+    return laid.withColumn("cut", F.col("mark") == 0), tree, held
+
+
 def bridges(edges: DataFrame) -> DataFrame:
     """Edges whose loss would part a component, without regard to direction.  ``edges``: edge_id, src, dst.
 
-    A breadth-first tree is laid from each component's smallest node.  Every other edge gives a 64-bit hash of its id to both its
-    ends; the hashes cancel wherever a subtree holds both.  Summed up the tree level by level, they leave 0 below a bridge, and below
-    another edge with a chance of 2**-64.
+    All subtrees of a spanning forest are summed up at once along its Euler tour, in a logarithmic number of rounds.
     """
-    plain = checkpointed(edges.where("src <> dst").select("edge_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")))
-    both = plain.select("edge_id", F.col("a").alias("src"), F.col("b").alias("dst")).union(plain.select("edge_id", F.col("b"), F.col("a")))
-    roots = connected_components(plain, "a", "b").where("node = component").select("node")
-    levels = checkpointed(reach(roots, both, limit=100_000))
-    up = both.join(levels.select(F.col("node").alias("dst"), F.col("hops").alias("above")), "dst").join(levels.select(F.col("node").alias("src"), "hops"), "src").where("above = hops - 1")
-    tree = checkpointed(up.groupBy("src", "hops").agg(F.min(F.struct("edge_id", "dst")).alias("p")).select(F.col("src").alias("node"), "hops", F.col("p.edge_id").alias("edge_id"), F.col("p.dst").alias("parent")))
-    spare = plain.join(tree.select("edge_id"), "edge_id", "left_anti").withColumn("mark", F.xxhash64("edge_id"))
-    marks = spare.select(F.explode(F.array("a", "b")).alias("node"), "mark").groupBy("node").agg(F.bit_xor("mark").alias("mark"))
-    rows = tree.join(marks, "node", "left").withColumn("mark", F.coalesce("mark", F.lit(0).cast("long")))
-    rows, depth, done = checkpointed(rows), tree.agg(F.max("hops")).first()[0] or 0, None
-    below = None
-    for level in range(depth, 0, -1):
-        now = rows.where(F.col("hops") == level)
-        if below is not None:
-            now = now.join(below, "node", "left").withColumn("mark", F.col("mark").bitwiseXOR(F.coalesce("more", F.lit(0).cast("long")))).drop("more")
-        now = checkpointed(now)
-        below = now.groupBy(F.col("parent").alias("node")).agg(F.bit_xor("mark").alias("more"))
-        found = now.where("mark = 0").select("edge_id")
-        done = found if done is None else done.union(found)
-    return done if done is not None else plain.select("edge_id").limit(0)
-
-
-def severance(obligations: DataFrame, edges: DataFrame, limit: int = 10_000) -> DataFrame:
+    return _cuts(edges)[0].where("cut").select("edge_id")
+
+
+def severance(obligations: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose loss would part an obligation's ends, each with the obligation: (obligation_id, edge_id).
 
-    ``obligations``: obligation_id, a, b.  ``edges``: edge_id, src, dst, without regard to direction.  What bridges leave together
-    is one block; blocks and bridges are trees, and an obligation is parted by the bridges on the way between its
-    blocks.  Both ends climb towards the root, the deeper one first, and note the bridges they cross.  Obligations whose
-    ends are not connected anyhow have no row here.
+    ``obligations``: obligation_id, a, b.  ``edges``: edge_id, src, dst, without regard to direction.  Bridges point at the next bridge above them in a
+    spanning forest.  From each end of an obligation the bridges lead up to the first whose subtree holds the other end too; that climb doubles its
+    steps, and what it passed is taken apart afterwards.  Obligations whose ends are not connected anyhow have no row here.
     """
-    cuts = checkpointed(edges.join(bridges(edges).select("edge_id"), "edge_id", "left_semi").select("edge_id", "src", "dst"))
-    rest = edges.join(cuts.select("edge_id"), "edge_id", "left_anti")
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    block = checkpointed(components(nodes, rest).select("node", F.col("component").alias("block")))
-    of = lambda end: block.select(F.col("node").alias(end), F.col("block").alias(f"{end}_block"))
-    tree = checkpointed(cuts.join(of("src"), "src").join(of("dst"), "dst").select("edge_id", F.col("src_block").alias("src"), F.col("dst_block").alias("dst")))
-    both = tree.select("edge_id", "src", "dst").union(tree.select("edge_id", F.col("dst"), F.col("src")))
-    whole = connected_components(tree)
-    levels = checkpointed(reach(whole.where("node = component").select("node"), both, limit=limit))
-    up = both.join(levels.select(F.col("node").alias("dst"), F.col("hops").alias("above")), "dst").join(levels.select(F.col("node").alias("src"), "hops"), "src").where("above = hops - 1")
-    up = checkpointed(up.select(F.col("src").alias("node"), "hops", "edge_id", F.col("dst").alias("parent")))
-    tree_of = whole.select("node", "component")
-    ends = obligations.join(of("a"), "a").join(of("b"), "b").select("obligation_id", F.col("a_block").alias("x"), F.col("b_block").alias("y")).where("x <> y")
-    ends = ends.join(tree_of.select(F.col("node").alias("x"), F.col("component").alias("tx")), "x").join(tree_of.select(F.col("node").alias("y"), F.col("component").alias("ty")), "y").where("tx = ty")
-    depth = lambda end: levels.select(F.col("node").alias(end), F.col("hops").alias(f"{end}_hops"))
-    now = checkpointed(ends.join(depth("x"), "x").join(depth("y"), "y").select("obligation_id", "x", "y", "x_hops", "y_hops"))
-    crossed = None
-    for _ in range(2 * limit):
-        if now.isEmpty():
-            break
-        # The deeper end is put first; it climbs by one.
-        deeper = F.col("x_hops") >= F.col("y_hops")
-        first = now.select("obligation_id", *[F.when(deeper, F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("node", "x", "y"), ("other", "y", "x"), ("other_hops", "y_hops", "x_hops"))])
-        step = checkpointed(first.join(up, "node").select("obligation_id", "edge_id", F.col("parent").alias("x"), (F.col("hops") - 1).alias("x_hops"), F.col("other").alias("y"), F.col("other_hops").alias("y_hops")))
-        crossed = step.select("obligation_id", "edge_id") if crossed is None else crossed.union(step.select("obligation_id", "edge_id"))
-        now = step.where("x <> y").drop("edge_id")
-    else:
-        raise RuntimeError(f"ends did not meet in {2 * limit} steps")
-    return crossed if crossed is not None else obligations.select("obligation_id", F.lit(None).cast(edges.schema["edge_id"].dataType).alias("edge_id")).limit(0)
+    laid, tree, _ = _cuts(edges)
+    # The bridge at or above each node: nodes below other edges point at their parents.
+    place = laid.select(F.col("child").alias("item"), F.when(~F.col("cut"), F.col("parent")).alias("next")).union(tree.select("tree", F.lit(None).cast(tree.schema["tree"].dataType)).distinct())
+    cut = checkpointed(laid.where("cut").select(F.col("child").alias("node"), "edge_id", "parent", "begin", "end"))
+    above = checkpointed(trees.last(place).select(F.col("item").alias("node"), F.col("last").alias("top")))
+    over = cut.select("node", "parent").join(above.withColumnsRenamed({"node": "parent", "top": "up"}), "parent").join(cut.select(F.col("node").alias("up")), "up", "left_semi")
+    table = trees.ancestors(over.select("node", "up"))
+    span = stored(cut.select(F.col("node").alias("up"), F.col("begin").alias("up_begin"), F.col("end").alias("up_end")))
+    # Each end with the place of the other; a root lies outside all subtrees.
+    spot = tree.join(laid.select(F.col("child").alias("node"), "begin"), "node", "left").join(above, "node").select("node", "tree", "top", F.coalesce("begin", F.lit(2**62)).alias("begin"))
+    of = lambda end: spot.select(*[F.col(c).alias(n) for c, n in (("node", end), ("tree", f"{end}_tree"), ("top", f"{end}_top"), ("begin", f"{end}_begin"))])
+    ends = checkpointed(obligations.select("obligation_id", "a", "b").join(of("a"), "a").join(of("b"), "b").where("a_tree = b_tree and a_top <> b_top"))
+    sides = ends.select("obligation_id", F.col("a_top").alias("up"), F.col("b_begin").alias("other")).union(ends.select("obligation_id", "b_top", "a_begin"))
+    outside = ~((F.col("other") <= F.col("up_begin")) & (F.col("other") >= F.col("up_end")))
+    now = stored(sides.join(span, "up").where(outside).select("obligation_id", F.col("up").alias("node"), "other"))
+    passed = None
+    for k in range(len(table) - 1, -1, -1):
+        step = now.join(table[k], "node", "left").join(span, "up", "left").withColumn("go", F.coalesce(outside, F.lit(False)))
+        step = stored(step.select("obligation_id", "node", "other", F.when(F.col("go"), F.col("up")).alias("to")))
+        part = step.where("to is not null").select("obligation_id", "node", F.lit(k).alias("k"), F.lit(0).cast("long").alias("at"))
+        passed = part if passed is None else passed.union(part)
+        now = step.select("obligation_id", F.coalesce("to", "node").alias("node"), "other")
+    part = now.select("obligation_id", "node", F.lit(0).alias("k"), F.lit(0).cast("long").alias("at"))
+    passed = part if passed is None else passed.union(part)
+    return trees.unrolled(passed, table).join(cut.select("node", "edge_id"), "node").select("obligation_id", "edge_id").distinct()
+
+
+def prune_leaves(edges: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Edges left when dangling ones whose free end is no anchor are taken away until none is.  ``edges``: edge_id, a, b.  ``anchors``: node.
+
+    An edge stays if it lies on a circle, or if both sides of it hold an anchor or a circle; both are told by sums over subtrees.
+    """
+    laid, tree, held = _cuts(edges.select("edge_id", F.col("a").alias("src"), F.col("b").alias("dst")), anchors)
+    total = tree.join(held, "node").groupBy("tree").agg(F.sum("weight").alias("total"))
+    free = laid.where("cut").join(tree.withColumnRenamed("node", "child"), "child").join(total, "tree", "left").where("weight = 0 or coalesce(total, 0) - weight = 0")
+    return edges.join(free.select("edge_id"), "edge_id", "left_anti")
 
 
 def simple_paths(obligations: DataFrame, edges: DataFrame, max_edges: int, k: int, beam: int | None = None) -> DataFrame:
@@ -256,8 +260,6 @@ def grow_backbone(communities: DataFrame, spine: DataFrame, edges: DataFrame, ma
     spine and communities under path costs; they are found for all at once.  ``communities``, ``spine``: node (string).  ``edges``: src, dst,
     weight, both directions listed.  Returns connections (a, b, cost; the spine as one node named ``*``) and states (node, connected or gap).
     """
-    from .rules import spanning_forest
-
     on = spine.select("node", F.lit("*").alias("name")).distinct()
     rows = edges
     for end in ("src", "dst"):
@@ -268,7 +270,7 @@ def grow_backbone(communities: DataFrame, spine: DataFrame, edges: DataFrame, ma
     costs = shortest_paths(named, rows, max_cost=max_cost).where("root < node").join(named, "node", "left_semi")
     pairs = costs.select(F.concat_ws("|", "root", "node").alias("edge_id"), F.col("root").alias("src"), F.col("node").alias("dst"), "cost")
     pairs = checkpointed(pairs)
-    tree = spanning_forest(pairs).join(pairs.drop("cost"), "edge_id").select(F.col("src").alias("a"), F.col("dst").alias("b"), "cost")
+    tree = trees.spanning_forest(pairs).join(pairs.drop("cost"), "edge_id").select(F.col("src").alias("a"), F.col("dst").alias("b"), "cost")
     tree = checkpointed(tree)
     part = connected_components(tree, "a", "b")
     home = part.where("node = '*'").select("component", F.lit(True).alias("home"))

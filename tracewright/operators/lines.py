@@ -81,7 +81,7 @@ def _evaluated(pairs: DataFrame, sources: DataFrame, targets: DataFrame, toleran
     return rows.select("*", share("source_mm").alias("source_millionths"), share("target_mm").alias("target_millionths"), reason.alias("reason"))
 
 
-def match_lines(sources: DataFrame, targets: DataFrame, tolerance_m: float, bearing_degrees: float, least_shared_m: float, same_direction: bool = False, side: float | None = None) -> DataFrame:
+def match_lines(sources: DataFrame, targets: DataFrame, tolerance_m: float, bearing_degrees: float, least_shared_m: float, same_direction: bool = False, side: float | None = None, within_m: float | None = None) -> DataFrame:
     """Every source line with its disposition against all target lines.
 
     One target that passes all tests is accepted; several are ambiguous and all stay; with none the best of
@@ -90,7 +90,8 @@ def match_lines(sources: DataFrame, targets: DataFrame, tolerance_m: float, bear
     invalid-source-geometry, an id with several source rows conflicting as duplicate-source-id; target ids that
     repeat and targets that are no line take no part.  Without any target sources are unmatched as no-target-lines.
 
-    The best of all is looked for in widening rings, at most to where a ring holds both sides, for the sources still open.
+    The best of all is looked for in widening rings, at most to where a ring holds both sides, for the sources still open; with ``within_m`` no farther than
+    that, and sources without a target so near are unmatched as no-target-within.
     """
     one = lambda df: df.join(df.groupBy("id").count().where("count > 1").select("id"), "id", "left_anti")
     twice = sources.groupBy("id").count().where("count > 1").select("id")
@@ -114,11 +115,11 @@ def match_lines(sources: DataFrame, targets: DataFrame, tolerance_m: float, bear
         best = checkpointed(best.join(open_s.select(F.col("id").alias("source_id")), "source_id", "left_semi"))
         out = out.union(best.withColumn("state", F.lit("unmatched")).select(*columns))
         open_s = checkpointed(open_s.join(best.select(F.col("source_id").alias("id")), "id", "left_anti"))
-        if radius > 2 * span + 2 * tolerance_m + 1:
+        if radius > 2 * span + 2 * tolerance_m + 1 or (within_m is not None and radius >= within_m):
             break
-        radius *= 4
+        radius = radius * 4 if within_m is None else min(radius * 4, max(within_m, radius))
         found = checkpointed(_evaluated(_near_lines(s.join(open_s.select("id"), "id", "left_semi"), t, radius, radius), good_s, good_t, *tests))
-    rest = open_s.select("id", F.lit("unmatched").alias("state"), F.lit("no-target-lines").alias("reason"))
+    rest = open_s.select("id", F.lit("unmatched").alias("state"), F.lit("no-target-lines" if empty else "no-target-within").alias("reason"))
     rest = rest.union(one(sources).where(~L.is_line(F.col("points"))).select("id", F.lit("unmatched"), F.lit("invalid-source-geometry")))
     rest = rest.union(twice.select("id", F.lit("conflicting"), F.lit("duplicate-source-id")))
     blank = {c: F.lit(None).cast(out.schema[c].dataType).alias(c) for c in columns}
@@ -130,7 +131,7 @@ def _let(value: Column, step) -> Column:
     return F.transform(F.array(value), step)[0]
 
 
-def _inside(met: DataFrame, radius: float) -> DataFrame:
+def inside_stretches(met: DataFrame, radius: float) -> DataFrame:
     """Pairs of segments s_ and t_ with low and high: the fractions of the first between which it is at most ``radius`` from the second.
 
     What lies within a distance of a segment is convex, so it is one stretch: the hull of what lies in the discs round both ends and in
@@ -184,7 +185,7 @@ def corridor_stretches(lines: DataFrame, corridor: DataFrame, buffer_m: float, s
     discs = corridor.where((F.size("points") >= 1) & ~L.is_line(F.col("points")) & F.forall("points", lambda p: F.abs(p["x"]).isNotNull() & F.abs(p["y"]).isNotNull()))
     discs = discs.select("id", *[F.col("points")[0][c[1]].cast("double").alias(c) for c in _LEG])
     c = segments(corridor).select("id", *_LEG).union(discs)
-    met = _inside(near_segments(s, c, buffer_m, side), buffer_m)
+    met = inside_stretches(near_segments(s, c, buffer_m, side), buffer_m)
     rows = met.select(F.col("s_id").alias("id"), (F.col("s_from_m") + F.col("low") * F.col("s_size")).alias("start_m"), (F.col("s_from_m") + F.col("high") * F.col("s_size")).alias("end_m")).distinct()
     return merge_intervals(rows, ["id"], "start_m", "end_m").select("id", "start_m", "end_m")
 

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import checkpointed
 
 
 def transitions(intervals: DataFrame, by: str) -> DataFrame:
@@ -147,42 +146,6 @@ def lifecycle(changes: DataFrame, legal: Mapping[str, Sequence[str]], gated: Seq
     return changes.select("record_id", "was", "state", verdict.alias("verdict"))
 
 
-def prune_leaves(edges: DataFrame, anchors: DataFrame, limit: int = 500) -> DataFrame:
-    """Edges left when dangling ones whose free end is no anchor are taken away until none is.  ``edges``: edge_id, a, b.  ``anchors``: node."""
-    held = anchors.select("node", F.lit(True).alias("anchor")).distinct()
-    left = checkpointed(edges)
-    for _ in range(limit):
-        ends = left.select("edge_id", F.explode(F.array("a", "b")).alias("node"))
-        free = ends.groupBy("node").agg(F.count("*").alias("degree"), F.min("edge_id").alias("edge_id")).join(held, "node", "left").where("degree = 1 and anchor is null")
-        drop = checkpointed(free.select("edge_id").distinct())
-        if drop.isEmpty():
-            return left
-        left = checkpointed(left.join(drop, "edge_id", "left_anti"))
-    raise RuntimeError(f"pruning did not settle in {limit} rounds")
-
-
-def spanning_forest(edges: DataFrame, limit: int = 60) -> DataFrame:
-    """A shortest spanning forest: in every round each tree takes its cheapest edge out (cost, then edge_id), and trees that meet merge.
-
-    ``edges``: edge_id, src, dst, cost.  Rounds halve the number of trees at least.
-    """
-    from .components import connected_components
-
-    open_edges = checkpointed(edges.where("src <> dst").select("edge_id", "cost", F.col("src").alias("a"), F.col("dst").alias("b")))
-    chosen = None
-    for _ in range(limit):
-        if open_edges.isEmpty():
-            break
-        ends = open_edges.select("edge_id", "cost", "a", "b", F.explode(F.array("a", "b")).alias("tree"))
-        pick = checkpointed(ends.groupBy("tree").agg(F.min(F.struct("cost", "edge_id", "a", "b")).alias("e")).select("e.*").distinct())
-        chosen = pick.select("edge_id", "cost") if chosen is None else chosen.union(pick.select("edge_id", "cost"))
-        found = connected_components(pick.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        for end in ("a", "b"):
-            open_edges = open_edges.join(found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_new")), end, "left").withColumn(end, F.coalesce(f"{end}_new", end)).drop(f"{end}_new")
-        open_edges = checkpointed(open_edges.where("a <> b").select("edge_id", "cost", "a", "b"))
-    return chosen.distinct() if chosen is not None else edges.select("edge_id", "cost").limit(0)
-
-
 def route_menu(routes: DataFrame, by: str, criteria: Sequence[str]) -> DataFrame:
     """Routes of each line in order of their criteria (higher first), then length and id."""
     w = Window.partitionBy(by).orderBy(*[F.desc_nulls_last(c) for c in criteria], "length", "route_id")

@@ -11,7 +11,7 @@ from ..operators import routing as R
 from .network import NEAR_SQL, _near
 from .tables import TRANSITIONS_SQL, table, transitions
 
-#: Nodes are named after an event type and one of nine numbers; nodes of one number are a group.
+#: Nodes are named after an event type and one of nine numbers; nodes of one type are a group.
 DAY = dt.date(1996, 6, 1)
 
 
@@ -21,12 +21,12 @@ def _edges(spark, sf_dir):
 
 def _groups(spark, sf_dir):
     nodes = _edges(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return nodes.select(F.element_at(F.split("node", "-"), -1).alias("group_id"), "node")
+    return nodes.select(F.element_at(F.split("node", "-"), 1).alias("group_id"), "node")
 
 
 # All costs of ways over reciprocal edges, from every node.
 COSTS_SQL = f"""{TRANSITIONS_SQL}, two as (select src, dst, min(weight) as weight from edges e where exists (select 1 from edges r where r.src = e.dst and r.dst = e.src) group by src, dst),
-    nodes as (select src as node from edges union select dst from edges), g as (select node, split_part(node, '-', 2) as group_id from nodes),
+    nodes as (select src as node from edges union select dst from edges), g as (select node, split_part(node, '-', 1) as group_id from nodes),
     walk(root, node, cost) using key (root, node) as (select node, node, 0::bigint from nodes
         union select w.root, e.dst, min(w.cost + e.weight) from walk w join two e on e.src = w.node left join recurring.walk r on r.root = w.root and r.node = e.dst where r.cost is null or r.cost > w.cost + e.weight group by w.root, e.dst)"""
 
@@ -39,17 +39,20 @@ BOUNDS = f"""with recursive {COSTS_SQL} select a.group_id as left_id, b.group_id
 
 
 def attachment(spark, sf_dir):
-    """The best places at which each group attaches to the next one; a place's snap is the length of its name, and equal kinds of event are excluded."""
-    g = _groups(spark, sf_dir).withColumn("snap", F.length("node").cast("long"))
-    ends = g.select((F.col("group_id").cast("int") - 1).cast("string").alias("request_id"), "node", "snap")
-    starts = g.withColumnRenamed("group_id", "request_id")
-    kind = lambda c: F.element_at(F.split(c, "-"), 1)
-    same = starts.select("request_id", F.col("node").alias("start")).join(ends.select("request_id", F.col("node").alias("end")), "request_id").where(kind("start") == kind("end"))
+    """The best places at which each kind of event attaches to the next one by name; a place's snap comes of its number, and nodes of number 0 are excluded as pairs."""
+    number = lambda c: F.element_at(F.split(c, "-"), -1).cast("long")
+    g = _groups(spark, sf_dir)
+    kinds = g.select("group_id").distinct()
+    after = kinds.join(kinds.withColumnRenamed("group_id", "next_id"), F.col("next_id") > F.col("group_id")).groupBy(F.col("group_id").alias("request_id")).agg(F.min("next_id").alias("group_id"))
+    starts = g.select(F.col("group_id").alias("request_id"), "node", (number("node") * 3 % 7).alias("snap"))
+    ends = g.join(after, "group_id").select("request_id", "node", (number("node") * 5 % 8).alias("snap"))
+    same = starts.select("request_id", F.col("node").alias("start")).join(ends.select("request_id", F.col("node").alias("end")), "request_id").where(number("start") + number("end") == 0)
     return R.best_attachment(starts, ends, _edges(spark, sf_dir), same)
 
 
-ATTACHMENT = f"""with recursive {COSTS_SQL}, c as (select a.group_id as request_id, a.node as start, b.node as "end", length(a.node) as start_snap, length(b.node) as end_snap, cost
-        from walk join g a on a.node = root join g b on b.node = walk.node where a.group_id::int = b.group_id::int - 1 and split_part(a.node, '-', 1) <> split_part(b.node, '-', 1)),
+ATTACHMENT = f"""with recursive {COSTS_SQL}, kinds as (select distinct group_id from g), after as (select a.group_id as request_id, min(b.group_id) as group_id from kinds a join kinds b on b.group_id > a.group_id group by 1),
+    c as (select a.group_id as request_id, a.node as start, b.node as "end", split_part(a.node, '-', 2)::bigint * 3 % 7 as start_snap, split_part(b.node, '-', 2)::bigint * 5 % 8 as end_snap, cost
+        from walk join g a on a.node = root join g b on b.node = walk.node join after on after.request_id = a.group_id and after.group_id = b.group_id where split_part(a.node, '-', 2)::bigint + split_part(b.node, '-', 2)::bigint > 0),
     k as (select *, start_snap + cost + end_snap as total, row_number() over (partition by request_id order by start_snap + cost + end_snap, start_snap, end_snap, start, "end") as place from c)
     select request_id, start, "end", start_snap, end_snap, cost, total from k where place = 1"""
 

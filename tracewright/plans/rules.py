@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tags as T
+from ..operators import graph as G
 from ..operators import rules as R
 from ..operators import spatial as S
+from ..operators import trees
 from .network import LINK, _near
 from .spatial import OPTIONS_SQL, _options
 from .tables import POINTS_SQL, points, table
@@ -163,13 +165,13 @@ LIFECYCLE = """with o as (select o_orderkey as record_id, ['draft', 'review', 'a
 def anchored_spines(spark, sf_dir):
     _, e = _near(spark, sf_dir)
     edges = e.where("src < dst").select(F.concat_ws("-", "src", "dst").alias("edge_id"), F.col("src").alias("a"), F.col("dst").alias("b"))
-    return R.prune_leaves(edges, points(spark, sf_dir).where("vec_id % 4 = 0").select(F.col("vec_id").alias("node")))
+    return G.prune_leaves(edges, points(spark, sf_dir).where("vec_id % 4 = 0").select(F.col("vec_id").alias("node")))
 
 
 def spanning_forest(spark, sf_dir):
     p = points(spark, sf_dir).select(F.col("vec_id").alias("node"), "x", "y")
     pairs = S.within(p, p, LINK).where("node < near_node")
-    return R.spanning_forest(pairs.select(F.concat_ws("-", "node", "near_node").alias("edge_id"), F.col("node").alias("src"), F.col("near_node").alias("dst"), F.round(F.col("distance") * 1000).cast("long").alias("cost")))
+    return trees.spanning_forest(pairs.select(F.concat_ws("-", "node", "near_node").alias("edge_id"), F.col("node").alias("src"), F.col("near_node").alias("dst"), F.round(F.col("distance") * 1000).cast("long").alias("cost")))
 
 
 def route_menu(spark, sf_dir):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..operators.components import shared_folder
 from ..sources.publish import _fs
 
 
@@ -88,7 +88,7 @@ def drain(stream: DataFrame, mode: str = "complete", keys: Sequence[str] = ()) -
     if mode == "update" and not keys:
         raise ValueError("update mode needs the keys of a row")
     spark = stream.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', '') or tempfile.mkdtemp(prefix='checkpoint')}/drained_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/drained_{uuid.uuid4().hex}"
     batches = set()
 
     def save(rows: DataFrame, batch: int) -> None:
