@@ -70,7 +70,10 @@ def reuse_transitions(lines: DataFrame, matches: DataFrame, least_m: float) -> D
     counted = stretches(rows, ["id"], {"runs": F.col("kind") == "run", "on": F.col("kind") == "line", "n": is_evidence, **{f"n_{c}": is_evidence & F.col(c) for c in flags}})
     good = F.col("runs") > 0
     out = counted.where("on > 0").select("id", "start_m", "end_m", F.when(good, F.col("n")).otherwise(F.lit(0)).alias("n_evidence"), *[(good & (F.col(f"n_{c}") > 0)).alias(c) for c in flags])
-    return out.withColumn("declassified", F.col("declassified") & ~F.col("recognised"))
+    out = out.withColumn("declassified", F.col("declassified") & ~F.col("recognised"))
+    # Ends of what does not count part nothing.
+    gaps = runs(out.where("n_evidence = 0"), ["id"]).select("id", "start_m", "end_m", F.lit(0).cast(out.schema["n_evidence"].dataType).alias("n_evidence"), *[F.lit(False).alias(c) for c in flags])
+    return out.where("n_evidence > 0").union(gaps)
 
 
 def longest(rows: DataFrame, by: str, test: Column) -> DataFrame:

@@ -36,7 +36,7 @@ def places_on_lines(spark, sf_dir):
 
 PLACES = f"""with {LINES_SQL}, {REQUESTS_SQL},
     near as (select point_id, t.id as line_id, seq, {_to_leg('px', 'py', 't')} as d, t.from_m + ({_fraction('px', 'py', 't')}) * t.size as m from req join sized t on t.size > 0
-        where px between least(ax, bx) - {NEAR_M} and greatest(ax, bx) + {NEAR_M} and py between least(ay, by) - {NEAR_M} and greatest(ay, by) + {NEAR_M})
+        where px between least(t.ax, t.bx) - {NEAR_M} and greatest(t.ax, t.bx) + {NEAR_M} and py between least(t.ay, t.by) - {NEAR_M} and greatest(t.ay, t.by) + {NEAR_M})
     select point_id, line_id, {_MM('min(d)')} as distance_mm, {_MM('arg_min(m, row(d, seq))')} as at_mm from near where d <= {NEAR_M} group by point_id, line_id"""
 
 
@@ -64,10 +64,10 @@ def _streets(spark, sf_dir):
 
 
 STREETS_SQL = f"""{POINTS_SQL}, {REQUESTS_SQL}, e as (select a.vec_id as src, b.vec_id as dst, a.vec_id || '>' || b.vec_id as edge_id, b.vec_id || '>' || a.vec_id as reverse_edge_id,
-        cast(a.x as double) as ax, cast(a.y as double) as ay, cast(b.x as double) as bx, cast(b.y as double) as by, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as size
+        cast(a.x as double) as ax, cast(a.y as double) as ay, cast(b.x as double) as bx, cast(b.y as double) as "by", sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as size
         from pts a join pts b on a.vec_id <> b.vec_id and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 90 and (a.x <> b.x or a.y <> b.y)),
     street as (select * from e where (src + dst) % 7 > 0 and (src + dst) % 5 > 0),
-    met as (select point_id, dst as node, edge_id, reverse_edge_id, size, {_to_leg('px', 'py', 's')} as d, {_fraction('px', 'py', 's')} as f from req join street s on px between least(ax, bx) - {NEAR_M} and greatest(ax, bx) + {NEAR_M} and py between least(ay, by) - {NEAR_M} and greatest(ay, by) + {NEAR_M}),
+    met as (select point_id, dst as node, edge_id, reverse_edge_id, size, {_to_leg('px', 'py', 's')} as d, {_fraction('px', 'py', 's')} as f from req join street s on px between least(s.ax, s.bx) - {NEAR_M} and greatest(s.ax, s.bx) + {NEAR_M} and py between least(s.ay, s.by) - {NEAR_M} and greatest(s.ay, s.by) + {NEAR_M}),
     att as (select point_id, node, edge_id, reverse_edge_id, d as association_m, size * (1 - f) as prefix_m, d + size * (1 - f) as routing_m from met where d <= {NEAR_M} and f > 1e-9 and f < 1 - 1e-9
         union all select point_id, vec_id, null, null, sqrt(pow(x - px, 2) + pow(y - py, 2)), 0.0, sqrt(pow(x - px, 2) + pow(y - py, 2)) from req join pts on sqrt(pow(x - px, 2) + pow(y - py, 2)) <= {NEAR_M})"""
 
@@ -135,8 +135,8 @@ REUSE = f"""with {SPANS_SQL}, lines as (select c_custkey as id, cast(1500 + c_cu
     c as (select m.id, e, greatest(s, 0) as s, least(t, size) as t, f0, f1, f2, f3, size from m join lines using (id) where s <= size),
     g as (select *, sum(gap) over (partition by id order by s, t) as run from (select *, case when s <= max(t) over (partition by id order by s, t rows between unbounded preceding and 1 preceding) then 0 else 1 end as gap from c where t > s)),
     runs as (select id, min(s) as s, max(t) as t from g group by id, run having max(t) - min(s) >= {LEAST_M}),
-    at as materialized (select id, s as p from c union select id, t from c union select id, 0.0 from lines union select id, size from lines),
-    step as materialized (select id, p as s, lead(p) over (partition by id order by p) as t from at),
+    marks as materialized (select c.id, c.s as p from c join runs r on r.id = c.id and r.s <= c.s and r.t >= c.t where c.t > c.s union select c.id, c.t from c join runs r on r.id = c.id and r.s <= c.s and r.t >= c.t where c.t > c.s union select id, 0.0 from lines union select id, size from lines),
+    step as materialized (select id, p as s, lead(p) over (partition by id order by p) as t from marks),
     seen as (select step.id, step.s, step.t, count(*) as n, bool_or(f0) as f0, bool_or(f1) as f1, bool_or(f2) as f2, bool_or(f3) as f3 from step join runs r on r.id = step.id and r.s <= step.s and r.t >= step.t join c on c.id = step.id and c.s <= step.s and c.t >= step.t and c.t > c.s where step.t is not null group by 1, 2, 3),
     cut as materialized (select step.id, step.s, step.t, coalesce(n, 0) as n, coalesce(f0, false) as f0, coalesce(f1, false) as f1, coalesce(f2, false) and not f0 as f2, coalesce(f3, false) as f3 from step left join seen using (id, s) where step.t is not null),
     total as (select id, count(*) as n_stretches, sum(t - s) filter (where n > 0) as a, sum(t - s) filter (where f0) as b, sum(t - s) filter (where f1) as c, sum(t - s) filter (where f2) as d, sum(t - s) filter (where n = 0) as u, sum(t - s) filter (where f3) as v from cut group by id),
@@ -152,7 +152,7 @@ def interval_difference(spark, sf_dir):
     return I.combine(rows.where("recognised"), rows.where("not recognised"), ["id"], "difference")
 
 
-DIFFERENCE = f"""with {SPANS_SQL}, at as (select id, s as p from m union select id, t from m), step as (select id, p as s, lead(p) over (partition by id order by p) as t from at),
+DIFFERENCE = f"""with {SPANS_SQL}, marks as (select id, s as p from m union select id, t from m), step as (select id, p as s, lead(p) over (partition by id order by p) as t from marks),
     cut as (select id, s, t from step where t is not null and exists (select 1 from m where m.id = step.id and f0 and m.s <= step.s and m.t >= step.t) and not exists (select 1 from m where m.id = step.id and not f0 and m.s <= step.s and m.t >= step.t)),
     r as (select *, sum(gap) over (partition by id order by s) as run from (select *, case when lag(t) over (partition by id order by s) = s then 0 else 1 end as gap from cut))
     select id, min(s) as start_m, max(t) as end_m from r group by id, run"""
@@ -230,10 +230,10 @@ def cell_portals(spark, sf_dir):
     return B.cell_portals(_lines(spark, sf_dir), CELL_M)
 
 
-PORTALS_SQL = f"""{LINES_SQL}, px as (select id, k, ay + (k * {CELL_M} - ax) / (bx - ax) * (by - ay) as v from (select *, unnest(generate_series(cast(ceil(least(ax, bx) / {CELL_M}) as bigint), cast(floor(greatest(ax, bx) / {CELL_M}) as bigint))) as k from sized where ax <> bx and size > 0)
-        union all select id, cast(ax / {CELL_M} as bigint), unnest([ay, by]) from sized where ax = bx and size > 0 and ax / {CELL_M} = floor(ax / {CELL_M})),
-    py as (select id, k, ax + (k * {CELL_M} - ay) / (by - ay) * (bx - ax) as v from (select *, unnest(generate_series(cast(ceil(least(ay, by) / {CELL_M}) as bigint), cast(floor(greatest(ay, by) / {CELL_M}) as bigint))) as k from sized where ay <> by and size > 0)
-        union all select id, cast(ay / {CELL_M} as bigint), unnest([ax, bx]) from sized where ay = by and size > 0 and ay / {CELL_M} = floor(ay / {CELL_M})),
+PORTALS_SQL = f"""{LINES_SQL}, px as (select id, k, z.ay + (k * {CELL_M} - z.ax) / (z.bx - z.ax) * (z.by - z.ay) as v from (select *, unnest(generate_series(cast(ceil(least(g.ax, g.bx) / {CELL_M}) as bigint), cast(floor(greatest(g.ax, g.bx) / {CELL_M}) as bigint))) as k from sized g where g.ax <> g.bx and size > 0) z
+        union all select id, cast(ax / {CELL_M} as bigint), unnest([g.ay, g.by]) from sized g where g.ax = g.bx and size > 0 and ax / {CELL_M} = floor(ax / {CELL_M})),
+    py as (select id, k, z.ax + (k * {CELL_M} - z.ay) / (z.by - z.ay) * (z.bx - z.ax) as v from (select *, unnest(generate_series(cast(ceil(least(g.ay, g.by) / {CELL_M}) as bigint), cast(floor(greatest(g.ay, g.by) / {CELL_M}) as bigint))) as k from sized g where g.ay <> g.by and size > 0) z
+        union all select id, cast(ay / {CELL_M} as bigint), unnest([g.ax, g.bx]) from sized g where g.ay = g.by and size > 0 and ay / {CELL_M} = floor(ay / {CELL_M})),
     ports as (select distinct id, k - 1 as left_x, r as left_y, k as right_x, r as right_y, cast(round_even(k * {CELL_M} * 1000, 0) as bigint) as x_mm, cast(round_even(v * 1000, 0) as bigint) as y_mm
             from (select *, unnest(case when v / {CELL_M} = floor(v / {CELL_M}) then [cast(floor(v / {CELL_M}) as bigint) - 1, cast(floor(v / {CELL_M}) as bigint)] else [cast(floor(v / {CELL_M}) as bigint)] end) as r from px)
         union select distinct id, r, k - 1, r, k, cast(round_even(v * 1000, 0) as bigint), cast(round_even(k * {CELL_M} * 1000, 0) as bigint)
@@ -269,8 +269,8 @@ def gateways(spark, sf_dir):
 
 GATEWAYS = f"""with {LINES_SQL}, box as (select r_regionkey as ring, r_regionkey * 900 - 1800 - 411.5::double as x0, r_regionkey * 900 - 1800 + 411.5::double as x1, r_regionkey * 500 - 1000 - 233.5::double as y0, r_regionkey * 500 - 1000 + 233.5::double as y1 from region),
     wall as (select ring, x0 as cx, y0 as cy, x1 as dx, y0 as dy, * from box union all select ring, x1, y0, x1, y1, * from box union all select ring, x1, y1, x0, y1, * from box union all select ring, x0, y1, x0, y0, * from box),
-    turn as (select id, ring, x0, x1, y0, y1, ax, ay, bx, by, (bx - ax) * (dy - cy) - (by - ay) * (dx - cx) as t, (cx - ax) * (dy - cy) - (cy - ay) * (dx - cx) as u, (cx - ax) * (by - ay) - (cy - ay) * (bx - ax) as v from sized, wall where size > 0),
-    hit as (select distinct id, ring, x0, x1, y0, y1, ax + u / t * (bx - ax) as x, ay + u / t * (by - ay) as y from turn where t <> 0 and u / t between 0 and 1 and v / t between 0 and 1),
+    turn as (select id, ring, x0, x1, y0, y1, g.ax, g.ay, g.bx - g.ax as hx, g.by - g.ay as hy, (g.bx - g.ax) * (dy - cy) - (g.by - g.ay) * (dx - cx) as t, (cx - g.ax) * (dy - cy) - (cy - g.ay) * (dx - cx) as u, (cx - g.ax) * (g.by - g.ay) - (cy - g.ay) * (g.bx - g.ax) as v from sized g, wall where size > 0),
+    hit as (select distinct id, ring, x0, x1, y0, y1, ax + u / t * hx as x, ay + u / t * hy as y from turn where t <> 0 and u / t between 0 and 1 and v / t between 0 and 1),
     tips as (select id, 0 as k, x0 as ox, y0 as oy from lines union all select id, 1, x2, y2 from lines),
     away as (select hit.id, ring, x, y, min(row(sqrt(pow(ox - x, 2) + pow(oy - y, 2)), k, ox, oy)) as o from hit join tips using (id) where not (ox > x0 and ox < x1 and oy > y0 and oy < y1) group by hit.id, ring, x, y),
     towards as (select away.id, ring, x, y, o[3] - x as gx, o[4] - y as gy, sqrt(pow(o[3] - x, 2) + pow(o[4] - y, 2)) as g, n_name, (n_nationkey * 997 % 11000 - 5500)::double - x as tx, (n_nationkey * 1693 % 9000 - 4500)::double - y as ty from away, nation),
