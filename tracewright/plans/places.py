@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import millimetres
 from ..operators import attachment as A
+from ..operators import discovery as D
 from ..operators import intervals as I
 from ..operators import lineage as N
+from ..operators import linework as K
 from ..operators import planar as P
 from ..operators import portals as B
 from ..operators import shapes as H
@@ -334,7 +336,53 @@ def area_graph(spark, sf_dir):
     return rows.select(F.concat_ws("/", "left.edge_id", "left.way").alias("left_face"), F.concat_ws("/", "right.edge_id", "right.way").alias("right_face"), "n_common")
 
 
+def candidate_sets(spark, sf_dir):
+    """Candidates between neighbouring kinds of event of number 0, by rarity and by how common the steps are; some steps are prohibited."""
+    e = transitions(spark, sf_dir).withColumn("edge_id", F.concat_ws(">", "src", "dst"))
+    allowed = F.conv(F.substring(F.md5("edge_id"), 1, 2), 16, 10).cast("int") % 4 > 0
+    edges = e.select("edge_id", "src", "dst", allowed.alias("allowed"), F.col("weight").alias("length"), F.col("n").alias("busy"))
+    asked = e.where("src like '%-0'").select(F.col("edge_id").alias("obligation_id"), F.col("src").alias("origin"), F.col("dst").alias("destination"))
+    rows, _ = D.discover(asked, edges, ["length", "busy"], k=3, detour_ceiling=1.5, max_candidates=3)
+    return rows.select("obligation_id", F.array_join("strategies", ",").alias("strategies"), F.array_join("edge_ids", " ").alias("edge_ids"), "length", "prohibited", "state")
+
+
+CANDIDATES = f"""with recursive {TRANSITIONS_SQL}, e as (select src || '>' || dst as edge_id, src, dst, weight, n, ('0x' || substring(md5(src || '>' || dst), 1, 2))::bigint % 4 > 0 as ok from edges),
+    walk(id, goal, node, nodes, ids, size, busy, ok) as (select edge_id, dst, src, [src], []::varchar[], 0::bigint, 0::bigint, true from e where src like '%-0'
+        union all select id, goal, e.dst, list_append(nodes, e.dst), list_append(ids, e.edge_id), size + e.weight, busy + e.n, walk.ok and e.ok from walk join e on e.src = walk.node where walk.node <> goal and not list_contains(nodes, e.dst)),
+    whole as (select * from walk where node = goal), direct as (select id, coalesce(min(size) filter (where ok), min(size)) as direct from whole group by id),
+    ranked as (select *, 'length' as strategy, 0 as s, row_number() over (partition by id order by size, nodes, ids) as place from whole union all select *, 'busy', 1, row_number() over (partition by id order by busy, nodes, ids) from whole),
+    one as (select id, ids, string_agg(strategy, ',' order by strategy) as strategies, min(s * 100 + place) as turn, any_value(size) as size, not any_value(ok) as prohibited from ranked where place <= 3 group by id, ids),
+    told as (select one.*, size > direct * 1.5 + 1e-9 and not prohibited as far from one join direct using (id))
+    select id as obligation_id, strategies, array_to_string(ids, ' ') as edge_ids, size as length, prohibited, case when far then 'detour-suppressed' when row_number() over (partition by id, far order by turn) > 3 then 'candidate-budget' else 'candidate' end as state from told"""
+
+
+def line_samples(spark, sf_dir):
+    """Requests as samples of a height along each line within 120 m, with their rise and fall."""
+    samples = _requests(spark, sf_dir).withColumnRenamed("point_id", "sample_id").withColumn("value", (F.col("sample_id") * 7 % 100).cast("double"))
+    lines = _lines(spark, sf_dir)
+    found = K.samples_on_lines(samples, lines, NEAR_M, SIDE_M)
+    rows = K.variation(found, lines.select("id", F.lit(0.0).alias("length_m")))
+    return rows.select("line_id", "n_samples", "rise", "fall")
+
+
+SAMPLES = f"""with {LINES_SQL}, {REQUESTS_SQL},
+    near as (select point_id, t.id, min(row(d, seq, m)) as b from (select point_id, t.id, t.seq, {_to_leg('px', 'py', 't')} as d, t.from_m + ({_fraction('px', 'py', 't')}) * t.size as m from req join sized t on t.size > 0) t where d <= {NEAR_M} group by point_id, t.id),
+    kept as (select id, max(row(point_id, b[3])) as k from near group by id, round(b[3], 6)),
+    v as (select id, k[2] as m, cast(k[1] * 7 % 100 as double) as h from kept), s as (select id, h - lag(h) over (partition by id order by m) as d from v)
+    select lines.id as line_id, count(s.id) as n_samples, case when count(s.id) > 0 then coalesce(sum(greatest(d, 0.0)), 0.0) end as rise, case when count(s.id) > 0 then coalesce(sum(greatest(-d, 0.0)), 0.0) end as fall from lines left join s using (id) group by lines.id"""
+
+
+def continuous_linework(spark, sf_dir):
+    """Streets between near points put together to lines through points of two streets."""
+    _, e = _near(spark, sf_dir)
+    rows = K.chains(e.where("src < dst").select(F.concat_ws("-", "src", "dst").alias("edge_id"), F.col("src").alias("a"), F.col("dst").alias("b")))
+    return rows.select(F.concat_ws("/", "line.edge_id", "line.way").alias("line"), "place", "edge_id", "way")
+
+
 PLANS = {
+    "candidate_sets": (candidate_sets, CANDIDATES),
+    "line_samples": (line_samples, SAMPLES),
+    "continuous_linework": (continuous_linework, None),
     "places_on_lines": (places_on_lines, PLACES),
     "nodes_on_lines": (nodes_on_lines, NODES),
     "point_attachments": (point_attachments, ATTACHMENTS),
