@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, texts
-from .sampling import PER_CLASS, labelled, remainder
+from .sampling import PER_CLASS, fitted, labelled, remainder
 
 CHUNK, WIDTH, STRIDE, EMBED, FILTERS = 256, 8, 2, 6, 32
 STEPS, BATCH, TRAIN_CHUNKS, RATE, DECAY, SEED = 600, 48, 12, 0.01, 1e-3, 11
@@ -43,9 +43,12 @@ def chunks(data: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     begin = np.concatenate([[0], np.cumsum(sizes)])
     owner = np.repeat(np.arange(len(data)), number)
     at = (np.arange(first[-1]) - first[owner]) * step
-    inside = at[:, None] + np.arange(CHUNK)[None, :]
-    good = inside < sizes[owner][:, None]
-    return np.where(good, flat[np.where(good, inside + begin[owner][:, None], 0)], 0).astype(np.uint8), first
+    rows = np.zeros((first[-1], CHUNK), dtype=np.uint8)
+    for i in range(0, len(rows), PASS):
+        inside = at[i : i + PASS, None] + np.arange(CHUNK)[None, :]
+        good = inside < sizes[owner[i : i + PASS], None]
+        rows[i : i + PASS][good] = flat[(inside + begin[owner[i : i + PASS], None])[good]]
+    return rows, first
 
 
 def _windows(embedded: np.ndarray) -> np.ndarray:
@@ -129,7 +132,7 @@ def train(data: list[bytes], labels: list[int], steps: int = STEPS, seed: int =
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network | float:
     """Fit on at most ``per_class`` labelled rows of each class whose crc32 modulo 3 is not 1."""
-    return train(*labelled(docs, labels, "quality", remainder("doc_id", 3) != 1, per_class))
+    return fitted(labelled(docs, labels, "quality", remainder("doc_id", 3) != 1, per_class), train)
 
 
 def score(docs: DataFrame, model: Network | float) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +19,8 @@ def remainder(doc_id, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int = PER_CLASS) -> tuple[list[bytes], list[int]]:
-    """Texts and labels of at most ``per_class`` rows of each class, the first in the order of a hash.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int = PER_CLASS) -> DataFrame:
+    """Texts (UTF-8) and labels of at most ``per_class`` rows of each class, the first in the order of a hash.
 
     ``usable`` says which labels (by their doc_id) may be learnt from.  Only the chosen ids meet the documents,
     so the documents are not shuffled.  Where a doc_id repeats, the smallest of its texts is learnt from.
@@ -24,5 +29,18 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per
     parts = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
     chosen = parts[0].union(parts[1])
     rows = docs.where(F.length("text") <= LONGEST).select("doc_id", F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = sorted(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect(), key=lambda r: r.doc_id)
-    return [bytes(r.text) for r in rows], [r.label for r in rows]
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def fitted(sample: DataFrame, train: Callable[[list[bytes], list[int]], Any]) -> Any:
+    """What ``train`` makes of the rows of ``labelled``, in the order of doc_id.
+
+    The sample is bounded, so one task learns from it; the driver gets the model alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text")))), key=lambda row: row[0])
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(train([text for *_, text in rows], [y for _, y, _ in rows]))], pa.binary())})
+
+    models = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(models[0].model) if models else train([], [])

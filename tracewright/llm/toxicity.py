@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes
-from .sampling import PER_CLASS, labelled, remainder
+from .sampling import PER_CLASS, fitted, labelled, remainder
 
 #: Characters of a subsequence, discount, power of the normalised kernel (a power of a kernel is one), most landmarks, and letters that a landmark has at least.
 LENGTH, GAP, POWER, LANDMARKS, SHORTEST = 3, 0.7, 2, 32, 4
@@ -328,8 +328,7 @@ def scores(model: Machine | float, data: list[str | None], words: WordMap | None
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machine | float:
     """Fit on at most ``per_class`` labelled rows of each class whose crc32 modulo 5 is not 0."""
-    data, y = labelled(docs, labels, "toxic", remainder("doc_id", 5) != 0, per_class)
-    return train([t.decode("utf-8", "replace") for t in data], y)
+    return fitted(labelled(docs, labels, "toxic", remainder("doc_id", 5) != 0, per_class), lambda data, y: train([t.decode("utf-8", "replace") for t in data], y))
 
 
 def score(docs: DataFrame, model: Machine | float) -> DataFrame:
