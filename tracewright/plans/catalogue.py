@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import demand, evidence, lines, network, places, routing, rules, spatial, stream
+from . import demand, evidence, lines, network, obligations, places, routing, rules, spatial, stream
 
-_PLANS = demand.PLANS | evidence.PLANS | spatial.PLANS | network.PLANS | stream.PLANS | rules.PLANS | lines.PLANS | routing.PLANS | places.PLANS
+_PLANS = demand.PLANS | evidence.PLANS | spatial.PLANS | network.PLANS | stream.PLANS | rules.PLANS | lines.PLANS | routing.PLANS | places.PLANS | obligations.PLANS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
