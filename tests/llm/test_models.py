@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from tracewright.llm import piece_codec, quality, toxicity
+from tracewright.llm import piece_codec, quality, sampling, toxicity
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -273,3 +273,12 @@ def test_stages_on_empty_and_odd_tables(spark, tmp_path):
     mixed = corpus_pipeline.source_mix(spark, spark.createDataFrame(rows, schema), str(tmp_path)).collect()
     taken = corpus_pipeline.mixing.mix(spark.createDataFrame(rows, schema)).collect()
     assert sum(len(r.text.split()) for r in mixed) == sum(r.taken for r in taken)
+
+
+def test_a_task_learns_from_the_sample_in_order(spark, tables):
+    docs, labels = tables[0], tables[1]
+    sample = sampling.labelled(docs, labels, "quality", sampling.remainder("doc_id", 3) != 1, 40)
+    rows = sorted(sample.collect(), key=lambda r: r.doc_id)
+    assert len(rows) > 40 and all(sum(r.label == v for r in rows) <= 40 for v in (0, 1))
+    assert sampling.fitted(sample.repartition(5), lambda data, y: (data, y)) == ([bytes(r.text) for r in rows], [r.label for r in rows])
+    assert sampling.fitted(sample.limit(0), lambda data, y: (data, y)) == ([], [])
