@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from tracewright.operators import obligations
+from tracewright.operators import obligations, selection
 
 FLOWS = "flow_id string, origin long, destination long, value long, state string"
 ENDPOINTS = "endpoint_id string, kind string, category string, node long"
@@ -110,3 +110,19 @@ def test_without_usable_demand_the_fallbacks_follow(spark, street):
     assert [(r.obligation_id, r.disposition) for r in by_order] == [("D3>G8", "failed-path"), ("P1>P2", "eligible"), ("P2>D3", "eligible")]
     with pytest.raises(ValueError):
         obligations.derive(flows, *street, spark.createDataFrame([*endpoints, ("X", "place", None, 1)], ENDPOINTS), 1)
+
+
+def test_fallbacks_decide_one_after_another(spark):
+    rows = [("a", 1, True, 1, 1), ("a", 2, False, 9, 9), ("b", 1, False, 5, 1), ("b", 2, False, 5, 3), ("b", 3, False, None, 9), ("c", 2, False, 4, 2), ("c", 1, False, 4, 2), ("d", 7, None, None, None), (None, 3, False, 1, 1), (None, 4, False, 2, 1)]
+    frame = spark.createDataFrame(rows, "part string, id long, preferred boolean, population long, quality long")
+    got = {r.part: (r.route_id, r.n_routes, r.decided_by) for r in selection.fallback_route(frame, "part", ["preferred", "population", "quality"], "id").collect()}
+    assert got == {"a": (1, 2, "preferred"), "b": (2, 3, "quality"), "c": (1, 2, "route-id"), "d": (7, 1, "preferred"), None: (4, 2, "population")}
+    assert selection.fallback_route(frame.limit(0), "part", ["quality"], "id").count() == 0
+
+
+def test_observations_keep_what_became_of_them(spark):
+    seen = spark.createDataFrame([(1, "s", "c", "observed", "asset"), (2, "t", "c", "observed", "road"), (3, "s", " ", "observed", "road"), (4, None, "c", "observed", "road"), (None, "s", "c", "observed", "road"), (1, "s", "c", "observed", "asset")], "observation_id long, subject_id string, claim string, state string, source_kind string")
+    edges = spark.createDataFrame([("s>", "s"), ("s<", "s"), ("s>", "s"), ("u>", "u"), ("x", None)], "edge_id string, source_id string")
+    got = Counter((r.observation_id, r.result, tuple(r.edge_ids or ())) for r in selection.bind_observations(seen, edges).collect())
+    assert got == Counter({(1, "bound", ("s<", "s>")): 2, (2, "unmatched-observation", ()): 1, (3, "invalid-observation", ()): 1, (4, "invalid-observation", ()): 1, (None, "invalid-observation", ()): 1})
+    assert {r.result for r in selection.bind_observations(seen, edges.limit(0)).collect()} == {"unmatched-observation", "invalid-observation"}

@@ -170,3 +170,37 @@ def crossings(lines: DataFrame, size: float) -> DataFrame:
     a, b = rows, rows.select("cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ("line_id", "ax", "ay", "bx", "by")])
     pairs = a.join(b, ["cx", "cy"]).where("line_id < o_line_id").drop("cx", "cy").distinct()
     return pairs.where(segments_cross(*[F.col(c) for c in ("ax", "ay", "bx", "by", "o_ax", "o_ay", "o_bx", "o_by")])).select("line_id", F.col("o_line_id").alias("other_id"), F.lit("amber").alias("status"))
+
+
+def fallback_route(routes: DataFrame, by: str, criteria: Sequence[str], route_id: str) -> DataFrame:
+    """One route for each ``by``: the largest of each criterion in turn, null last, then the smallest id.
+
+    A flag such as the compiler's preference is a criterion too; where no route has it, it decides nothing.  ``decided_by`` names the criterion that left one route, or
+    ``route-id``.  Two rounds of sums, so that a group of any size stays split over tasks.
+    """
+    marks = [F.struct(F.col(c).isNull().alias("none"), (-F.col(c).cast("double")).alias("least")).alias(f"mark_{c}") for c in criteria]
+    rows = routes.select(by, F.col(route_id).alias("id"), *marks)
+    best = rows.groupBy(by).agg(F.min(F.struct(*[f"mark_{c}" for c in criteria], "id")).alias("best"), F.count("*").alias("n_routes"))
+    both = rows.join(best, rows[by].eqNullSafe(best[by])).drop(rows[by])
+    alike, left = F.lit(True), []
+    for c in criteria:
+        alike = alike & (F.col(f"mark_{c}") == F.col(f"best.mark_{c}"))
+        left.append(F.count_if(alike).alias(f"left_{c}"))
+    sums = both.groupBy(by).agg(F.first("best.id").alias("route_id"), F.first("n_routes").alias("n_routes"), *left)
+    decided = F.coalesce(*[F.when(F.col(f"left_{c}") == 1, c) for c in criteria], F.lit("route-id"))
+    return sums.select(by, "route_id", "n_routes", decided.alias("decided_by"))
+
+
+def bind_observations(observations: DataFrame, edges: DataFrame) -> DataFrame:
+    """Observations with the directed edges that carry their subject's identity.
+
+    ``observations``: observation_id, subject_id, claim, state, source_kind.  ``edges``: edge_id, source_id.  Every observation stays: ``bound`` with its edges in order,
+    ``unmatched-observation`` with none, ``invalid-observation`` where the id, subject, claim or state is missing or blank.  An edge's identity has few directions; repeated edges count once.
+    """
+    known = edges.where("source_id is not null").groupBy(F.col("source_id").alias("subject_id")).agg(F.sort_array(F.collect_set("edge_id")).alias("edge_ids"))
+    blank = F.lit(False)
+    for c in ("observation_id", "subject_id", "claim", "state"):
+        blank = blank | F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True))
+    rows = observations.withColumn("invalid", blank).join(known, "subject_id", "left")
+    result = F.when(F.col("invalid"), "invalid-observation").when(F.col("edge_ids").isNull(), "unmatched-observation").otherwise("bound")
+    return rows.select("observation_id", "subject_id", "claim", "state", "source_kind", F.when(~F.col("invalid"), F.col("edge_ids")).alias("edge_ids"), result.alias("result"))

@@ -1,4 +1,4 @@
-"""Corridor obligations over the driver's tables: suppliers of a region as a network, consecutive items of orders as demand between them."""
+"""Corridor obligations and bound observations over the driver's tables: suppliers of a region as a network, consecutive items of orders as demand between them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import obligations as O
+from ..operators import selection as C
 from .tables import table
 
 PERCENTILE, LIMIT_M, SEGMENT_M, NEAR_M, BUDGET, MOST = 90, 1500, 400, 200, 600, 60
@@ -102,4 +103,41 @@ def corridor_obligations(spark, sf_dir):
 
 OWED = f"""with recursive {OBLIGATIONS_SQL} select oe || '>' || de as obligation_id, oe as origin_endpoint, de as destination_endpoint, source, basis, disposition, distance from turned where turn = 1 order by obligation_id limit {MOST}"""
 
-PLANS = {"corridor_seeds": (corridor_seeds, SEEDS), "corridor_pairs": (corridor_pairs, PAIRS), "corridor_obligations": (corridor_obligations, OWED)}
+
+def fallback_route(spark, sf_dir):
+    """Parts of a brand and size class as routes: preferred, else of the largest size, else of the best price class."""
+    rows = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", F.col("p_partkey") % 7).alias("component"), "p_partkey", (F.col("p_partkey") % 40 == 0).alias("preferred"), F.when(F.col("p_size") > 3, F.floor(F.col("p_size") / 10)).alias("population"), F.floor(F.col("p_retailprice") / 100).alias("quality"))
+    return C.fallback_route(rows, "component", ["preferred", "population", "quality"], "p_partkey")
+
+
+FALLBACK = """with r as (select p_brand || '/' || (p_partkey % 7) as component, p_partkey, p_partkey % 40 = 0 as preferred, case when p_size > 3 then p_size // 10 end as population, floor(p_retailprice / 100) as quality from part),
+    a as (select *, rank() over (partition by component order by preferred desc) as x, rank() over (partition by component order by preferred desc, population desc nulls last) as y,
+        rank() over (partition by component order by preferred desc, population desc nulls last, quality desc) as z from r)
+    select component, min(p_partkey) filter (where z = 1) as route_id, count(*) as n_routes, case when count(*) filter (where x = 1) = 1 then 'preferred' when count(*) filter (where y = 1) = 1 then 'population' when count(*) filter (where z = 1) = 1 then 'quality' else 'route-id' end as decided_by from a group by component"""
+
+
+def observation_binding(spark, sf_dir):
+    """Events as observations of streets between suppliers; some name no street, some lack a claim."""
+    _, edges = _network(spark, sf_dir)
+    streets = edges.select(F.concat_ws(">", "src", "dst").alias("edge_id"), F.concat_ws("-", F.least("src", "dst"), F.greatest("src", "dst")).alias("source_id"))
+    first = F.col("event_id") % 97 + 1
+    seen = table(spark, sf_dir, "events").select(
+        "event_id", F.concat_ws("-", first, first + F.col("event_id") % 11 + 1).alias("subject_id"), F.when(F.col("event_id") % 31 > 0, F.col("event_type")).alias("claim"), F.lit("observed").alias("state"), F.when(F.col("event_id") % 2 == 0, "asset").otherwise("road").alias("source_kind")
+    ).withColumnRenamed("event_id", "observation_id")
+    rows = C.bind_observations(seen, streets)
+    return rows.select("observation_id", "subject_id", "claim", "source_kind", F.array_join("edge_ids", ",").alias("edge_ids"), "result")
+
+
+BINDING = """with s as (select s_suppkey as node, n_regionkey as region, row_number() over (partition by n_regionkey order by s_suppkey) as place from supplier join nation on s_nationkey = n_nationkey),
+    links as (select a.node as a, b.node as b from s a join s b on a.region = b.region and b.place - a.place in (1, 3, 9)),
+    k as (select a || '-' || b as subject_id, case when a || '>' || b < b || '>' || a then a || '>' || b || ',' || b || '>' || a else b || '>' || a || ',' || a || '>' || b end as edge_ids from links),
+    o as (select event_id, (event_id % 97 + 1) || '-' || (event_id % 97 + 1 + event_id % 11 + 1) as subject_id, case when event_id % 31 > 0 then event_type end as claim, case when event_id % 2 = 0 then 'asset' else 'road' end as source_kind from events)
+    select event_id as observation_id, o.subject_id, claim, source_kind, case when claim is not null then edge_ids end as edge_ids, case when claim is null then 'invalid-observation' when edge_ids is null then 'unmatched-observation' else 'bound' end as result from o left join k using (subject_id)"""
+
+PLANS = {
+    "corridor_seeds": (corridor_seeds, SEEDS),
+    "corridor_pairs": (corridor_pairs, PAIRS),
+    "corridor_obligations": (corridor_obligations, OWED),
+    "fallback_route": (fallback_route, FALLBACK),
+    "observation_binding": (observation_binding, BINDING),
+}
