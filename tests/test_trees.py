@@ -1,8 +1,10 @@
 """Forests, tours, ancestors and what is told by them, distributed and in one task, against plain walks."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.operators import graph, trees
 
@@ -106,3 +108,13 @@ def test_a_path_of_many_edges(spark):
     assert graph.bridges(edges).count() == 200
     assert graph.severance(spark.createDataFrame([(1, 20, 190), (2, 5, 5)], "obligation_id long, a long, b long"), edges).count() == 170
     assert graph.bridges(edges.limit(0)).count() == 0 and graph.severance(edges.selectExpr("edge_id as obligation_id", "src as a", "dst as b"), edges.limit(0)).count() == 0
+
+
+def test_rounds_of_doubling_plan_in_steady_time(spark):
+    # Each round is a join of the table with itself; what Spark knew of a checkpoint's plan doubled with it, to minutes at 16 rounds.
+    n = 40_000
+    items = spark.range(n).select(F.struct(F.col("id").alias("edge_id"), F.lit(0).alias("way")).alias("item"), F.when(F.col("id") < n - 1, F.struct((F.col("id") + 1).alias("edge_id"), F.lit(0).alias("way"))).alias("next"), F.lit(1).cast("long").alias("steps"), F.col("id").alias("mark"))
+    began = time.time()
+    told = trees.along(items, ["steps"], ["mark"])
+    assert time.time() - began < 60
+    assert told.where("last.edge_id <> 39999 or steps <> 40000 - item.edge_id").count() == 0 and told.count() == n
