@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators import attachment, intervals, lineage, planar, portals, shapes, witness
+from tracewright.operators.lines import near_segments, segments
 
 LINE = "id long, points array<struct<x double, y double>>"
 POINT = "point_id long, x double, y double"
@@ -315,3 +316,32 @@ def test_bindings(spark):
     claims = spark.createDataFrame([(1, "s1"), (2, "s1"), (3, "s1"), (4, "s1"), (5, "u"), (5, "s1"), (7, "s2")], "candidate_id long, identity string")
     got = {(r.candidate_id, r.asset_id, r.state) for r in shapes.bind_geometry(candidates, assets, claims, 1.9).collect()}
     assert got == {(1, "A", "nearest"), (2, "B", "exact"), (3, None, "ambiguous"), (4, None, "unbound"), (5, "A", "identity"), (6, None, "unclaimed"), (7, None, "ambiguous")}
+
+
+def test_equal_distances_tie_as_roots_of_squares_do(spark):
+    # Lines that come back over their own way: both legs are as near, and the last digit decides, as it does in SQL.
+    cases = [((-124.0, -1536.0), (-52.0, -1399.0), (-124.0, -1536.0), (-186.0, -1436.0)), ((-169.0, 45.0), (-219.0, -121.0), (-169.0, 45.0), (-93.0, -73.0)), ((-1734.0, 250.0), (-1782.0, 66.0), (-1686.0, 434.0), (-1866.0, 130.0))]
+    lines = spark.createDataFrame([(i, line(*c[:3])) for i, c in enumerate(cases)], LINE)
+    points = spark.createDataFrame([(i, *c[3]) for i, c in enumerate(cases)], POINT)
+    got = {r.point_id: (r.distance, r.at_m) for r in attachment.places_on_lines(points, lines, 500.0, 200.0).where("point_id = line_id").collect()}
+    for i, (a, b, c, p) in enumerate(cases):
+        found, gone = [], 0.0
+        for q, r in ((a, b), (b, c)):
+            dx, dy = r[0] - q[0], r[1] - q[1]
+            size = math.sqrt(dx * dx + dy * dy)
+            t = max(0.0, min(1.0, ((p[0] - q[0]) * dx + (p[1] - q[1]) * dy) / (dx * dx + dy * dy)))
+            u, v = p[0] - (q[0] + t * dx), p[1] - (q[1] + t * dy)
+            found.append((math.sqrt(u * u + v * v), gone + t * size))
+            gone += size
+        assert got[i] == min(found, key=lambda f: f[0])
+
+
+def test_near_segments_meet_once(spark):
+    rng = random.Random(6)
+    legs = spark.createDataFrame([(i, [(rng.uniform(-900, 900), rng.uniform(-900, 900)) for _ in range(2)]) for i in range(60)], LINE)
+    own = segments(legs).cache()
+    met = [(r.s_id, r.t_id) for r in near_segments(own, own, 25.0, 70.0).select("s_id", "t_id").collect()]
+    rows = own.collect()
+    apart = lambda s, t, lo, hi: max(min(s[lo], s[hi]) - max(t[lo], t[hi]), min(t[lo], t[hi]) - max(s[lo], s[hi]))
+    want = {(s.id, t.id) for s in rows for t in rows if max(apart(s, t, "ax", "bx"), apart(s, t, "ay", "by")) <= 25}
+    assert len(met) == len(set(met)) and set(met) == want
