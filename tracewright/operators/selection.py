@@ -168,7 +168,11 @@ def crossings(lines: DataFrame, size: float) -> DataFrame:
     rows = lines.withColumn("cx", F.explode(F.sequence(cell(F.least("ax", "bx"), size), cell(F.greatest("ax", "bx"), size))))
     rows = rows.withColumn("cy", F.explode(F.sequence(cell(F.least("ay", "by"), size), cell(F.greatest("ay", "by"), size))))
     a, b = rows, rows.select("cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ("line_id", "ax", "ay", "bx", "by")])
-    pairs = a.join(b, ["cx", "cy"]).where("line_id < o_line_id").drop("cx", "cy").distinct()
+    pairs = a.join(b, ["cx", "cy"]).where("line_id < o_line_id")
+    # Of the cells that both boxes touch the first one counts, so a pair comes once and none is told apart by a shuffle.
+    for c in "xy":
+        l, o = (F.col(f"a{c}"), F.col(f"b{c}")), (F.col(f"o_a{c}"), F.col(f"o_b{c}"))
+        pairs = pairs.where((F.col(f"c{c}") == F.greatest(cell(F.least(*l), size), cell(F.least(*o), size))) & (F.least(*l) <= F.greatest(*o)) & (F.least(*o) <= F.greatest(*l)))
     return pairs.where(segments_cross(*[F.col(c) for c in ("ax", "ay", "bx", "by", "o_ax", "o_ay", "o_bx", "o_by")])).select("line_id", F.col("o_line_id").alias("other_id"), F.lit("amber").alias("status"))
 
 
