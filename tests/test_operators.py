@@ -314,3 +314,13 @@ def test_backbone_grows_like_taking_the_nearest_again_and_again(spark):
     tree, state = graph.grow_backbone(one(places), one(spine), df, most)
     assert {r.node for r in state.collect() if r.state == "gap"} == left
     assert sum(r.cost for r in tree.collect()) == total and tree.count() == len(served) - len(spine)
+
+
+def test_hybrids_of_many_like_routes_meet_once(spark):
+    # Two kinds of 40,000 routes each: they met in pairs before, 6.4 thousand million of them.
+    from tracewright.operators import rules as more_rules
+
+    kinds = F.when(F.col("id") % 2 == 0, F.array(*[F.lit(x) for x in (1, 2, 4, 5, 9)])).otherwise(F.array(*[F.lit(x) for x in (1, 3, 4, 6, 9)]))
+    routes = spark.range(80_000).select(F.col("id").alias("route_id"), F.lit("1-9").alias("ends"), kinds.alias("nodes"))
+    rows = more_rules.hybrids(routes, spark.createDataFrame([(4,)], "node int")).collect()
+    assert sorted((r.first_id, r.second_id, r.node, r.n_nodes) for r in rows) == [(0, 1, 4, 5), (1, 0, 4, 5)]

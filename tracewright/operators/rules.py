@@ -80,11 +80,12 @@ def parallel_sections(routes: DataFrame, choice_points: DataFrame) -> DataFrame:
 def hybrids(routes: DataFrame, choice_points: DataFrame) -> DataFrame:
     """Routes of the beginning of one and the end of another, switched at a choice point inside both of the same ends, if that is a new sequence.
 
-    ``routes``: route_id, ends, nodes (array, each node once).
+    ``routes``: route_id (of one route), ends, nodes (array, each node once).  Of routes that begin alike up to a choice point, or end alike behind it, the
+    smallest stands for all: where one route is both, its own sequence would come of it, which is not new.
     """
     inner = routes.select("route_id", "ends", "nodes", F.posexplode("nodes").alias("at", "node")).where("at > 0 and at < size(nodes) - 1").join(choice_points.select("node").distinct(), "node", "left_semi")
-    a = inner.select("ends", "node", F.col("route_id").alias("first_id"), F.slice("nodes", F.lit(1), F.col("at") + 1).alias("head"))
-    b = inner.select("ends", "node", F.col("route_id").alias("second_id"), F.slice("nodes", F.col("at") + 2, F.size("nodes")).alias("tail"))
+    a = inner.groupBy("ends", "node", F.slice("nodes", F.lit(1), F.col("at") + 1).alias("head")).agg(F.min("route_id").alias("first_id"))
+    b = inner.groupBy("ends", "node", F.slice("nodes", F.col("at") + 2, F.size("nodes")).alias("tail")).agg(F.min("route_id").alias("second_id"))
     both = a.join(b, ["ends", "node"]).where("first_id <> second_id and not arrays_overlap(head, tail)").withColumn("nodes", F.concat("head", "tail"))
     fresh = both.join(routes.select("ends", "nodes"), ["ends", "nodes"], "left_anti")
     return fresh.groupBy("ends", "nodes").agg(F.min(F.struct("first_id", "second_id", "node")).alias("made")).select("ends", "made.*", F.size("nodes").alias("n_nodes"))
