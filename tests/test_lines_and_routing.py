@@ -224,3 +224,18 @@ def test_collapse_folds_stretches(spark):
     rows = [(1, 0.0, 0.0), (1, 0.2, 10.0), (1, 0.4, 20.0), (1, 0.6, 30.0), (1, 5.0, 1.0), (1, 10.0, 2.0), (2, 0.0, 7.0)]
     got = sorted(tuple(r) for r in linear.collapse(spark.createDataFrame(rows, "line_id long, at_m double, height_mm double"), 10.0).collect())
     assert [(r[0], round(r[1], 3), r[3]) for r in got] == [(1, 0.2, 3), (1, 0.6, 1), (1, 5.0, 1), (1, 10.0, 1), (2, 0.0, 1)]
+
+
+def test_costs_walked_in_tasks_are_those_of_rounds(spark):
+    rng = random.Random(12)
+    edges = spark.createDataFrame([(rng.randrange(40), rng.randrange(40), rng.randrange(4)) for _ in range(130)], "src long, dst long, weight long")
+    seeds = spark.createDataFrame([(r, rng.randrange(40), rng.randrange(3)) for r in range(6) for _ in range(2)], "root long, node long, cost long")
+    told = lambda **more: {tuple(r) for r in graph.least_costs(seeds, edges, **more).select("root", "node", "cost", "via").collect()}
+    assert told() == told(block_edges=0) and told(max_cost=4) == told(max_cost=4, block_edges=0) and told()
+
+
+def test_ways_of_a_thousand_edges_settle(spark):
+    # Rounds stop at 500, and each was a few joins.
+    edges = spark.range(1200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1).cast("long").alias("weight"))
+    rows = graph.shortest_paths(spark.range(1).withColumnRenamed("id", "node"), edges)
+    assert rows.count() == 1201 and rows.where("cost <> node").isEmpty()
