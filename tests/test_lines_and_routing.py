@@ -239,3 +239,20 @@ def test_ways_of_a_thousand_edges_settle(spark):
     edges = spark.range(1200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1).cast("long").alias("weight"))
     rows = graph.shortest_paths(spark.range(1).withColumnRenamed("id", "node"), edges)
     assert rows.count() == 1201 and rows.where("cost <> node").isEmpty()
+
+
+def test_attachment_walks_no_farther_than_a_stay_costs(spark):
+    n = 60
+    edges = spark.createDataFrame([e for i in range(n - 1) for e in ((i, i + 1, 10), (i + 1, i, 10))], "src long, dst long, weight long")
+    starts = spark.createDataFrame([(i, i, 12) for i in range(n)] + [(i, i + 1, 3) for i in range(n - 1)] + [(n, 0, 1)], "request_id long, node long, snap long")
+    ends = spark.createDataFrame([(i, i, 4) for i in range(n)] + [(i, n - 1 - i, 0) for i in range(n)] + [(n, 59, 2)], "request_id long, node long, snap long")
+    costs = routing._costs_needed(starts, ends, edges, None, True, None).collect()
+    # Request 60 stays nowhere, so its one start goes all the way; the others go no farther than 13 of 16.
+    assert max(r.cost for r in costs if r.root) == 10 and max(r.cost for r in costs if not r.root) == 590 and len(costs) < 4 * n + n
+    pairs = {}
+    for q, s, a in starts.collect():
+        for p, e, b in ends.collect():
+            if p == q:
+                pairs.setdefault(q, []).append((a + 10 * abs(s - e) + b, a, b, s, e))
+    got = {r.request_id: (r.total, r.start_snap, r.end_snap, r.start, r.end) for r in routing.best_attachment(starts, ends, edges).collect()}
+    assert got == {q: min(p) for q, p in pairs.items()}
