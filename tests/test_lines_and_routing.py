@@ -256,3 +256,29 @@ def test_attachment_walks_no_farther_than_a_stay_costs(spark):
                 pairs.setdefault(q, []).append((a + 10 * abs(s - e) + b, a, b, s, e))
     got = {r.request_id: (r.total, r.start_snap, r.end_snap, r.start, r.end) for r in routing.best_attachment(starts, ends, edges).collect()}
     assert got == {q: min(p) for q, p in pairs.items()}
+
+
+def test_parallel_copies_meet_as_one_class_and_links_stay_few(spark, monkeypatch):
+    from tracewright.operators import parallel
+
+    monkeypatch.setattr(parallel, "BLOCK", 16)
+    monkeypatch.setattr(parallel, "STRETCHES", 4)
+    monkeypatch.setattr(parallel, "COPIES", 3)
+    rng = random.Random(5)
+    kinds = [(e, {rng.randrange(12) for _ in range(rng.randrange(1, 9))}) for e in range(2) for _ in range(30)]
+    routes = {i: kinds[i % 60] for i in range(180)}
+    frame = spark.createDataFrame([(f"r{i}", e, x) for i, (e, s) in routes.items() for x in s], "route_id string, ends long, item long")
+    name = sorted(routes, key=lambda i: f"r{i}")
+    want = {}
+    for at, a in enumerate(name):
+        for b in name[at + 1 :]:
+            share = len(routes[a][1] & routes[b][1]) / max(len(routes[a][1]), len(routes[b][1]))
+            if routes[a][0] == routes[b][0] and share >= 0.5:
+                want[f"r{a}", f"r{b}"] = share
+    rows = graph.parallel_relations(frame, 0.5).collect()
+    assert {(r.a_id, r.b_id): r.coverage for r in rows} == want and len(rows) == len(want)
+    links = graph.parallel_links(frame, 0.5)
+    assert links.count() < len(want) / 4
+    whole = spark.createDataFrame(list(want), "src string, dst string")
+    part = lambda df: {r.node: r.component for r in connected_components(df).collect()}
+    assert part(links) == part(whole)
