@@ -345,3 +345,32 @@ def test_near_segments_meet_once(spark):
     apart = lambda s, t, lo, hi: max(min(s[lo], s[hi]) - max(t[lo], t[hi]), min(t[lo], t[hi]) - max(s[lo], s[hi]))
     want = {(s.id, t.id) for s in rows for t in rows if max(apart(s, t, "ax", "bx"), apart(s, t, "ay", "by")) <= 25}
     assert len(met) == len(set(met)) and set(met) == want
+
+
+def test_seeded_alignment_measures_blocks_without_rows_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(shapes, "GROUPS", 3)
+    monkeypatch.setattr(shapes, "LINES", 4)
+    rng = random.Random(31)
+    references, options = {i: wander(rng, 4) for i in range(40)}, {(g, o): wander(rng, 4) for g in range(12) for o in range(2)}
+    xy = lambda p: [(q["x"], q["y"]) if isinstance(q, dict) else tuple(q) for q in p]
+    ends = {g: (*xy(options[g, 0])[0], *xy(options[g, 0])[-1]) for g in range(12)}
+
+    def off(x, y, points):
+        gaps = []
+        for (ax, ay), (bx, by) in zip(points, points[1:]):
+            dx, dy = bx - ax, by - ay
+            if dx or dy:
+                t = max(0.0, min(1.0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy)))
+                gaps.append(math.hypot(x - ax - t * dx, y - ay - t * dy))
+        return min(gaps)
+
+    want, radius = {}, 60.0
+    for g, (ax, ay, bx, by) in ends.items():
+        near = [xy(p) for p in references.values() if off(ax, ay, xy(p)) <= radius and off(bx, by, xy(p)) <= radius]
+        if near:
+            far = [(max(max(min(off(x, y, p) for p in near) for x, y in xy(options[g, o])), max(off(x, y, xy(options[g, o])) for p in near for x, y in p)), o) for o in range(2)]
+            want[g] = (min(far)[1], pytest.approx(min(far)[0]), len(near))
+    frame = spark.createDataFrame([(g, o, p) for (g, o), p in options.items()], "group_id long, option_id long, points array<struct<x double, y double>>")
+    tips = spark.createDataFrame([(g, *e) for g, e in ends.items()], "group_id long, ax double, ay double, bx double, by double")
+    rows = shapes.seeded_alignment(frame, spark.createDataFrame(list(references.items()), LINE), tips, radius).collect()
+    assert len(want) > 3 and {r.group_id: (r.option_id, r.distance, r.n_references) for r in rows} == want

@@ -6,12 +6,18 @@ that found none go on to the next ring, so the work goes to the vertices that de
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import point_segment_distance
+from ..functions.geometry import cell, point_segment_distance
 from .components import checkpointed
-from .lines import near_segments, segments
+from .lines import SLACK_M, near_segments, segments
 
 
 def _gaps(vertices: DataFrame, legs: DataFrame, first_m: float) -> DataFrame:
@@ -49,23 +55,86 @@ def hausdorff(left: DataFrame, right: DataFrame, first_m: float = 50.0) -> DataF
     return parts[0].union(parts[1]).groupBy("id").agg(F.max("gap").alias("distance"))
 
 
+#: Groups and reference lines that one call of a task measures against each other.
+GROUPS, LINES = 1024, 8192
+
+
+def _off(x, y, ax, ay, bx, by):
+    """Distances of points from segments, as in ``point_segment_distance``."""
+    dx, dy = bx - ax, by - ay
+    t = np.clip(((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy), 0.0, 1.0)
+    gx, gy = x - (ax + t * dx), y - (ay + t * dy)
+    return np.sqrt(gx * gx + gy * gy)
+
+
+def _unpacked(legs: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Columns ax, ay, bx, by of all segments of a column of lists of them, and how many each row has."""
+    legs = legs.combine_chunks()
+    flat = legs.flatten()
+    return [flat.field(c).to_numpy(zero_copy_only=False) for c in ("ax", "ay", "bx", "by")], pc.list_value_length(legs).to_numpy(zero_copy_only=False)
+
+
 def seeded_alignment(options: DataFrame, references: DataFrame, ends: DataFrame, radius: float = 2000.0, side: float | None = None) -> DataFrame:
     """The option of each group nearest in shape to the reference lines around its ends: group_id, option_id, distance, n_references.
 
-    ``options``: group_id, option_id, points.  ``references``: id, points.  ``ends``: group_id, ax, ay, bx, by.  Reference lines within ``radius`` of both
-    ends count together as one shape; groups without any have no row.  Equal distances go by option_id.
+    ``options``: group_id, option_id, points.  ``references``: id, points.  ``ends``: group_id, ax, ay, bx, by, a row for each group.  Reference lines within
+    ``radius`` of both ends count together as one shape; groups without any have no row.  Equal distances go by option_id.
+
+    Groups and lines meet in the grid cell of a group's first end, in blocks: a task measures a block of groups against one of lines and gives, for each vertex
+    of an option, how near the lines come, and how far their vertices lie.  So a group and a line that are near are no row.  ``side``: of the cells, ``radius`` at least.
     """
-    from .attachment import places_on_lines
-
-    spot = ends.select(F.explode(F.array(F.struct(F.col("group_id"), F.lit(0).alias("end"), F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("group_id"), F.lit(1).alias("end"), F.col("bx").alias("x"), F.col("by").alias("y")))).alias("e"))
-    near = places_on_lines(spot.select(F.struct("e.group_id", "e.end").alias("point_id"), "e.x", "e.y"), references, radius, side)
-    both = near.groupBy(F.col("point_id.group_id").alias("group_id"), F.col("line_id").alias("id")).agg(F.countDistinct("point_id.end").alias("n")).where("n = 2").select("group_id", "id")
-    both = checkpointed(both)
-    pair = options.select(F.struct("group_id", "option_id").alias("id"), "points", "group_id", "option_id")
-    shapes = pair.select("id", "group_id").join(both.withColumnRenamed("id", "line"), "group_id").join(references.select(F.col("id").alias("line"), F.col("points")), "line").select("id", "points")
-    far = hausdorff(pair.join(both.select("group_id").distinct(), "group_id", "left_semi").select("id", "points"), shapes)
-    best = far.groupBy("id.group_id").agg(F.min(F.struct("distance", F.col("id.option_id").alias("option_id"))).alias("b"))
-    return best.join(both.groupBy("group_id").agg(F.count("*").alias("n_references")), "group_id").select("group_id", "b.option_id", "b.distance", "n_references")
+    side = max(side or radius, radius, 1e-9)
+    leg = F.struct("ax", "ay", "bx", "by")
+    shape = segments(options.select(F.struct("group_id", "option_id").alias("id"), "points")).groupBy("id").agg(F.sort_array(F.collect_list(leg)).alias("legs"))
+    finite = reduce(and_, [F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False)) for c in ("ax", "ay", "bx", "by")])
+    tips = ends.where(finite).select("group_id", *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")], cell(F.col("ax"), side).alias("cx"), cell(F.col("ay"), side).alias("cy")).distinct()
+    groups = checkpointed(shape.select("id.group_id", "id.option_id", "legs").join(tips, "group_id"))
+    box = [f(g(f"a{c}", f"b{c}")) for c in "xy" for f, g in ((F.min, F.least), (F.max, F.greatest))]
+    lines = segments(references).groupBy("id").agg(F.collect_list(leg).alias("legs"), *[b.alias(n) for b, n in zip(box, ("x0", "x1", "y0", "y1"))])
+    over = lambda low, high: F.explode(F.sequence(cell(F.col(low) - radius - SLACK_M, side), cell(F.col(high) + radius + SLACK_M, side)))
+    lines = checkpointed(lines.withColumn("cx", over("x0", "x1")).withColumn("cy", over("y0", "y1")).select("id", "legs", "cx", "cy"))
+    of = lambda df, key, most, name: df.groupBy("cx", "cy").agg(F.ceil(F.countDistinct(key) / most).cast("int").alias(name))
+    cells = checkpointed(of(groups, "group_id", GROUPS, "group_blocks").join(of(lines, "id", LINES, "line_blocks"), ["cx", "cy"]))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = groups.join(cells, ["cx", "cy"]).withColumn("i", block("group_id", "group_blocks")).withColumn("j", every("line_blocks")).drop("group_blocks", "line_blocks")
+    right = lines.join(cells, ["cx", "cy"]).withColumn("j", block("id", "line_blocks")).withColumn("i", every("group_blocks")).select("cx", "cy", "i", "j", "legs")
+
+    def measure(g: pa.Table, t: pa.Table) -> pa.Table:
+        found = {"row": [], "vertex": [], "gap": [], "back": [], "n": []}
+        if g.num_rows and t.num_rows:
+            (ax, ay, bx, by), size = _unpacked(t.column("legs"))
+            begin = np.cumsum(size) - size
+            own, count = _unpacked(g.column("legs"))
+            stop = np.cumsum(count)
+            tip = np.stack([g.column(c).to_numpy() for c in ("ax", "ay", "bx", "by")])
+            number = g.column("group_id").combine_chunks().dictionary_encode().indices.to_numpy()
+            order = np.argsort(number, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(number[order])) + 1):
+                x0, y0, x1, y1 = tip[:, rows[0]]
+                both = np.minimum.reduceat(_off(x0, y0, ax, ay, bx, by), begin) <= radius
+                both &= np.minimum.reduceat(_off(x1, y1, ax, ay, bx, by), begin) <= radius
+                if not both.any():
+                    continue
+                keep = np.repeat(both, size)
+                near = [c[keep] for c in (ax, ay, bx, by)]
+                vx, vy = np.concatenate([near[0], near[2]]), np.concatenate([near[1], near[3]])
+                for row in rows:
+                    mine = [c[stop[row] - count[row] : stop[row]] for c in own]
+                    back = reduce(np.minimum, [_off(vx, vy, *m) for m in zip(*mine)]).max()
+                    for k, (x, y) in enumerate(sorted({*zip(mine[0], mine[1]), *zip(mine[2], mine[3])})):
+                        for c, v in zip(found.values(), (row, k, _off(x, y, *near).min(), back, both.sum())):
+                            c.append(v)
+        at = pa.array(np.array(found["row"], np.int64))
+        return pa.table([g.column("group_id").take(at), g.column("option_id").take(at), *[pa.array(np.array(found[c], k)) for c, k in (("vertex", np.int64), ("gap", float), ("back", float), ("n", np.int64))]], names=["group_id", "option_id", "vertex", "gap", "back", "n"])
+
+    key = ["cx", "cy", "i", "j"]
+    names = ", ".join(f"{c} {options.schema[c].dataType.simpleString()}" for c in ("group_id", "option_id"))
+    parts = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(measure, f"{names}, vertex long, gap double, back double, n long")
+    merged = parts.groupBy("group_id", "option_id", "vertex").agg(F.min("gap").alias("gap"), F.max("back").alias("back"), F.sum("n").alias("n_references"))
+    far = merged.groupBy("group_id", "option_id").agg(F.max(F.greatest("gap", "back")).alias("distance"), F.max("n_references").alias("n_references"))
+    best = far.groupBy("group_id").agg(F.min(F.struct("distance", "option_id", "n_references")).alias("b"))
+    return best.select("group_id", "b.option_id", "b.distance", "b.n_references")
 
 
 def bind_geometry(candidates: DataFrame, assets: DataFrame, claims: DataFrame, tolerance_m: float) -> DataFrame:
