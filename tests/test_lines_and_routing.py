@@ -282,3 +282,25 @@ def test_parallel_copies_meet_as_one_class_and_links_stay_few(spark, monkeypatch
     whole = spark.createDataFrame(list(want), "src string, dst string")
     part = lambda df: {r.node: r.component for r in connected_components(df).collect()}
     assert part(links) == part(whole)
+
+
+def test_collapse_folds_wide_stretches_together(spark, monkeypatch):
+    monkeypatch.setattr(linear, "FOLDED", 20)
+    rng = random.Random(8)
+    rows = [(line, x / 10, float(rng.randrange(50))) for line in range(6) for x in sorted(rng.sample(range(400), 60))]
+    want = []
+    for line in range(6):
+        clusters = []
+        for _, x, h in (r for r in rows if r[0] == line):
+            if clusters and x - clusters[-1][0][0] <= 0.5:
+                clusters[-1].append((x, h))
+            else:
+                clusters.append([(x, h)])
+        middle = lambda v: (sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2
+        made = [(middle([x for x, _ in c]), middle([h for _, h in c]), len(c)) for c in clusters]
+        for k, (x, h, n) in enumerate(made):
+            if 0 < k < len(made) - 1 and n > 1 and (h - made[k - 1][1]) * (made[k + 1][1] - h) < 0:
+                h = made[k - 1][1] + (made[k + 1][1] - made[k - 1][1]) * (x - made[k - 1][0]) / (made[k + 1][0] - made[k - 1][0])
+            want.append((line, round(x, 6), round(h, 6), n))
+    got = linear.collapse(spark.createDataFrame(rows, "line_id long, at_m double, height_mm double"), 10.0).collect()
+    assert sorted((r.line_id, round(r.at_m, 6), round(r.height_mm, 6), r.n) for r in got) == sorted(want)
