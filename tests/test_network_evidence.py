@@ -374,3 +374,16 @@ def test_seeded_alignment_measures_blocks_without_rows_of_pairs(spark, monkeypat
     tips = spark.createDataFrame([(g, *e) for g, e in ends.items()], "group_id long, ax double, ay double, bx double, by double")
     rows = shapes.seeded_alignment(frame, spark.createDataFrame(list(references.items()), LINE), tips, radius).collect()
     assert len(want) > 3 and {r.group_id: (r.option_id, r.distance, r.n_references) for r in rows} == want
+
+
+def test_connectors_send_no_table_through_the_driver(spark):
+    k = F.col("id")
+    meetings = spark.range(1, 40).select(k.alias("meeting_id"), k.alias("from_place"), (k * 7 % 40).alias("to_place"), F.lit(1).cast("long").alias("length_mm"))
+    links = spark.range(1, 40).select(F.concat(F.lit("c"), k).alias("connection_id"), k.alias("place"), F.floor(k / 3).alias("parent_place"), F.lit("b").alias("branch_id"), F.lit(2).cast("long").alias("length_mm"))
+    rows = lineage.connectors(meetings, links)
+
+    def above(x):
+        return set() if x == 0 else {x} | above(x // 3)
+
+    assert {r.meeting_id: r.n_connections for r in rows.collect()} == {m: len(above(m) | above(m * 7 % 40)) for m in range(1, 40)}
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()

@@ -18,11 +18,12 @@ def lineage(starts: DataFrame, parents: DataFrame, limit: int = 1000) -> DataFra
     ``starts``: start_id, item; a start may have several items, such as both ends of a meeting.  ``parents``: item, parent; an item may have several.  Every round
     only the items that are new go on.  Circles do no harm; raises if ``limit`` rounds do not suffice.
     """
-    links = checkpointed(parents.where("parent is not null").select("item", "parent").distinct())
+    # All joins are merges: a table that still just fits a broadcast would go through the driver in every round.
+    links = checkpointed(parents.where("parent is not null").select("item", "parent").distinct()).hint("merge")
     seen = front = checkpointed(starts.select("start_id", "item", F.lit(0).alias("steps")).distinct())
     for steps in range(1, limit + 1):
         front = front.join(links, "item").select("start_id", F.col("parent").alias("item")).distinct()
-        front = checkpointed(front.join(seen, ["start_id", "item"], "left_anti").withColumn("steps", F.lit(steps)))
+        front = checkpointed(front.join(seen.hint("merge"), ["start_id", "item"], "left_anti").withColumn("steps", F.lit(steps)))
         if front.isEmpty():
             return seen
         seen = seen.union(front)
@@ -40,12 +41,12 @@ def connectors(meetings: DataFrame, connections: DataFrame) -> DataFrame:
     """
     ends = meetings.select(F.col("meeting_id").alias("start_id"), F.explode(F.array("from_place", "to_place")).alias("item"))
     reached = checkpointed(lineage(ends, connections.select(F.col("place").alias("item"), F.col("parent_place").alias("parent"))))
-    rows = reached.withColumnRenamed("item", "place").join(connections.select("place", "connection_id", "branch_id", "length_mm"), "place", "left")
+    rows = reached.withColumnRenamed("item", "place").join(connections.select("place", "connection_id", "branch_id", "length_mm").hint("merge"), "place", "left")
     rows = rows.groupBy(F.col("start_id").alias("meeting_id")).agg(
         F.count("connection_id").alias("n_connections"), F.countDistinct("branch_id").alias("n_branches"), F.array_sort(F.collect_set(F.when(F.col("connection_id").isNull(), F.col("place")))).alias("roots"),
         F.min("branch_id").alias("first_branch"), F.max("steps").cast("long").alias("depth"), F.coalesce(F.sum("length_mm"), F.lit(0)).alias("length"),
     )
-    return meetings.select("meeting_id", F.col("length_mm").alias("own")).join(rows, "meeting_id").withColumn("length_mm", F.col("own") + F.col("length")).drop("own", "length")
+    return meetings.select("meeting_id", F.col("length_mm").alias("own")).join(rows.hint("merge"), "meeting_id").withColumn("length_mm", F.col("own") + F.col("length")).drop("own", "length")
 
 
 def circle_witnesses(edges: DataFrame) -> DataFrame:
