@@ -304,3 +304,16 @@ def test_collapse_folds_wide_stretches_together(spark, monkeypatch):
             want.append((line, round(x, 6), round(h, 6), n))
     got = linear.collapse(spark.createDataFrame(rows, "line_id long, at_m double, height_mm double"), 10.0).collect()
     assert sorted((r.line_id, round(r.at_m, 6), round(r.height_mm, 6), r.n) for r in got) == sorted(want)
+
+
+def test_reach_near_is_reach_over_near_pairs(spark):
+    rng = random.Random(17)
+    spots = {i: (rng.uniform(0, 400), rng.uniform(0, 400)) for i in range(90)} | {90: (900.0, 0.0)}
+    want, front, hops = {i: 0 for i in spots if i % 30 == 1}, {i for i in spots if i % 30 == 1}, 0
+    while front:
+        hops += 1
+        front = {b for b in spots if b not in want and any(math.dist(spots[a], spots[b]) <= 45 for a in front)}
+        want |= dict.fromkeys(front, hops)
+    frame = spark.createDataFrame([(i, *p) for i, p in spots.items()], "node long, x double, y double")
+    rows = spatial.reach_near(frame, frame.where("node % 30 = 1"), 45.0).collect()
+    assert {r.node: r.hops for r in rows} == want and len(rows) == len(want) and max(want.values()) > 2
