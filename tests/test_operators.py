@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,6 +177,38 @@ def test_selection_rules(spark):
     assert selection.detour_displacement(d, "s", 1.7).first().winner == "good"
 
 
+def test_traffic_pairs_are_made_once(spark, monkeypatch):
+    rng = random.Random(3)
+    some = lambda *v: rng.choice(v)
+    kind = "count_point long, road string, junction string, at double"
+    o = [(i, some(None, None, 1, 2, 77), some(None, "a", "b", "z"), some(None, None, "J", "k"), float(rng.randrange(300))) for i in range(60)]
+    t = [(i, some(None, None, None, 1, 2), some(None, "A", "b"), some(None, "j", "k", "l"), float(rng.randrange(300))) for i in range(40)]
+    written, plain = [], selection.checkpointed
+
+    def kept(df):
+        df = plain(df)
+        written.append(df.count())
+        return df
+
+    monkeypatch.setattr(selection, "checkpointed", kept)
+    got = sorted(rows(selection.match_traffic(spark.createDataFrame(o, "observation_id long, " + kind), spark.createDataFrame(t, "target_id long, " + kind), 5.0)), key=str)
+    want, low = [], lambda s: s and s.lower()
+    for i, cp, road, junction, at in o:
+        hits = {"count-point": [], "link-identity": [], "buffer": []}
+        for j, tcp, troad, tjunction, tat in t:
+            pair = [(low(road), low(troad)), (low(junction), low(tjunction))]
+            if cp is not None and cp == tcp:
+                hits["count-point"].append(j)
+            if all(a is None or b is None or a == b for a, b in pair) and any(a is not None and a == b for a, b in pair):
+                hits["link-identity"].append(j)
+            if abs(at - tat) <= 5:
+                hits["buffer"].append(j)
+        relation = next((k for k, v in hits.items() if v), "none")
+        want += [(i, j, relation, "ambiguous" if len(hits[relation]) > 1 else "matched") for j in hits[relation]] if relation != "none" else [(i, None, "none", "unmatched")]
+    assert got == sorted(want, key=str) and len(got) > 300
+    assert max(written) <= len(o)
+
+
 def test_traffic_precedence(spark):
     kind = "count_point string, road string, junction string, at double"
     o = spark.createDataFrame([(1, "c1", "A4", None, 0.0), (2, None, " a4 ", None, 0.0), (3, None, None, None, 52.0), (4, None, "B1", "j", 500.0), (5, None, "zz", None, 900.0)], "observation_id long, " + kind)
