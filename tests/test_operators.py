@@ -177,6 +177,15 @@ def test_selection_rules(spark):
     assert selection.detour_displacement(d, "s", 1.7).first().winner == "good"
 
 
+def test_observations_of_a_source_are_shuffled_once(spark):
+    seen = [("a", "1", 5.0, "x"), ("a", "2", 5.0, "x"), ("b", "1", 5.0, "x"), ("b", "1", 5.0, "x"), ("c", "1", 5.0, None), ("c", "2", 5.0, "x"), ("d", None, 5.0, "x"), ("e", "1", None, None), ("e", "2", None, None)]
+    seen = spark.createDataFrame(seen, "source_id string, observation_id string, value double, category string")
+    matches = spark.createDataFrame([(s, s.upper(), 10, 20, "accepted") for s in "abcdef"], "source_id string, target_id string, shared_mm long, target_mm long, state string")
+    out = line_evidence.aggregate(matches, seen, "extensive")
+    assert {r.target_id: (r.state, r.value, r.n_observations) for r in out.collect()} == {"A": ("available", 2.5, 2), "B": ("conflicting", None, 2), "C": ("conflicting", None, 2), "D": ("conflicting", None, 1), "E": ("available", None, 2), "F": ("no-data", None, 0)}
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_traffic_pairs_are_made_once(spark, monkeypatch):
     rng = random.Random(3)
     some = lambda *v: rng.choice(v)

@@ -32,10 +32,14 @@ def aggregate(matches: DataFrame, observations: DataFrame, law: str, category: s
     if law not in LAWS:
         raise ValueError(f"unknown law {law}")
     accepted = matches.where("state = 'accepted'")
-    # Agreeing observations of one source are one contribution.
-    per_source = observations.groupBy("source_id").agg(F.count("*").alias("n"), F.min_by("value", "observation_id").alias("value"), F.min_by("category", "observation_id").alias("category"))
-    bad = conflicts(observations).select("source_id", F.lit(True).alias("conflicting"))
-    rows = accepted.join(per_source.join(bad, "source_id", "left"), "source_id", "left")
+    # Agreeing observations of one source are one contribution.  Both groupings and the join go by source, so observations are shuffled once.
+    same = F.struct("value", "category")
+    each = observations.repartition("source_id").groupBy("source_id", "observation_id").agg(F.count("*").alias("n"), F.min(same).alias("low"), F.max(same).alias("high"))
+    twice = F.max((F.col("n") > 1) | F.col("observation_id").isNull())
+    per_source = each.groupBy("source_id").agg(
+        F.sum("n").alias("n"), F.min_by("low", "observation_id").alias("first"), (twice | ~F.min("low").eqNullSafe(F.max("high"))).alias("conflicting")
+    )
+    rows = accepted.join(per_source.select("source_id", "n", "first.value", "first.category", "conflicting"), "source_id", "left")
     bad_row, seen = F.coalesce("conflicting", F.lit(False)), F.col("n").isNotNull()
     value, shared = F.col("value").cast("decimal(18,4)"), F.col("shared_mm").cast("decimal(15,0)")
     grouped = rows.groupBy("target_id").agg(
