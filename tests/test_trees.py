@@ -49,6 +49,27 @@ def test_forest_is_the_same_however_it_is_found(spark, one_task):
     assert all((label[a] == label[b]) == (root(a) == root(b)) for a in label for b in label) and all(label[t] == t for t in label.values())
 
 
+def test_forest_shuffles_few_edges(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = [(i, a, b, rng.randrange(30)) for i, (a, b) in enumerate((a, b) for a in range(40) for b in range(a))]
+    written, plain = [], trees.checkpointed
+
+    def kept(df):
+        df = plain(df)
+        written.append(df.count())
+        return df
+
+    monkeypatch.setattr(trees, "checkpointed", kept)
+    chosen = {r.edge_id for r in trees.spanning_forest(spark.createDataFrame(edges, EDGES).coalesce(1)).collect()}
+    assert len(chosen) == 39 and written[0] == 39
+    import pyarrow as pa
+
+    table = pa.table({"edge_id": [str(e[0]) for e in edges], "cost": [e[3] for e in edges], "a": [str(e[1]) for e in edges], "b": [str(e[2]) for e in edges]})
+    monkeypatch.setattr(trees, "THIN_EDGES", 100)
+    parts = pa.Table.from_batches(trees._thinned(iter(table.to_batches(max_chunksize=30))))
+    assert len(parts) < 100 and set(trees._least(parts).column("edge_id").to_pylist()) == set(trees._least(table).column("edge_id").to_pylist())
+
+
 def test_rooted_totals(spark):
     rng = random.Random(7)
     edges = [(i, rng.randrange(i), i, 0) for i in range(1, 40)] + [(50, 60, 61, 0)]
