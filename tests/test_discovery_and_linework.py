@@ -85,6 +85,21 @@ def test_chains_and_rings(spark):
     assert len(ring) == 4 and ring[0] == ring[-1] and len(whole) == 5
 
 
+def test_pieces_between_junctions_are_not_written(spark, monkeypatch):
+    ends = [(10 * a + b, str(a), str(b)) for a in range(9) for b in range(a)] + [(100, "0", "x"), (101, "y", "x"), (102, "8", "8"), (103, "s", "t")]
+    written, plain = [], linework.checkpointed
+
+    def kept(df):
+        df = plain(df)
+        written.append(df.count())
+        return df
+
+    monkeypatch.setattr(linework, "checkpointed", kept)
+    got = sorted((tuple(r.line), r.place, r.edge_id, r.way) for r in linework.chains(spark.createDataFrame(ends, "edge_id long, a string, b string")).collect())
+    assert got == sorted([((e, 0), 0, e, 0) for e, _, _ in ends if e not in (100, 101)] + [((100, 1), 0, 101, 0), ((100, 1), 1, 100, 1)])
+    assert max(written) <= 4
+
+
 def test_samples_along_lines(spark):
     lines = spark.createDataFrame([(1, [(0.0, 0.0), (100.0, 0.0)]), (2, [(0.0, 500.0), (10.0, 500.0)])], "id long, points array<struct<x double, y double>>")
     rows = [(1, 10.0, 1.0, 5.0), (2, 10.0, -1.0, 6.0), (3, 60.0, 0.0, 4.0), (4, 90.0, 3.0, 9.0), (5, 50.0, 40.0, 1.0), (6, 70.0, 0.0, None), (7, 70.0, 0.0, float("nan"))]
