@@ -198,6 +198,21 @@ def test_parallel_relations_match_all_pairs(spark):
         assert {(r.a_id, r.b_id) for r in graph.parallel_relations(frame, threshold).collect()} == want
 
 
+def test_stretches_are_merged_where_they_are_measured(spark):
+    shape = "id long, points array<struct<x double, y double>>"
+    rng = random.Random(5)
+    route = lambda: [(rng.uniform(0, 200), rng.uniform(0, 200)) for _ in range(3)]
+    a = spark.createDataFrame([(i, route()) for i in range(8)] + [(8, [(0.0, 0.0), (100.0, 0.0)])], shape).coalesce(1)
+    b = spark.createDataFrame([(i, route()) for i in range(60)] + [(60, [(20.0, 5.0), (40.0, 5.0)]), (61, [(5.0, 5.0), (5.0, 5.0)])], shape).coalesce(1)
+    met = lines.near_segments(lines.segments(a), lines.segments(b), 12.0, 300.0).coalesce(1)
+    plain = lines.inside_stretches(met, 12.0).selectExpr("s_id as id", "s_from_m + low * s_size as start_m", "s_from_m + high * s_size as end_m")
+    union = lambda df: sorted(tuple(r)[:3] for r in lines.merge_intervals(df, ["id"], "start_m", "end_m").collect())
+    few = lines.merged_stretches(met, 12.0)
+    want, got = union(plain), union(few)
+    assert len(got) == len(want) and all(g == pytest.approx(w, abs=1e-9) for g, w in zip(got, want))
+    assert few.count() < plain.count() / 3
+
+
 def test_identity_escapes(spark):
     texts = ["plain", 'quo"te', "back\\slash", "tab\tnew\nline", "é日本🙂", "\x01\x7f", "", None]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", identity.quoted(F.col("t")).alias("q")).collect()
