@@ -60,8 +60,8 @@ def test_places_on_long_lines_and_without_a_shuffle_of_pairs(spark):
     lines = {1: wander(rng, 200), 2: wander(rng, 3, 400), 3: wander(rng, 1), 4: line((0, 0), (0, 0), (50, 0)), 5: line((0, 0), (0, 0), (50, 0), (50, 0), (0, 0.5)), 6: line((0, 0), (3000, 10), (0, 20))}
     points = {i: (rng.uniform(0, 300), rng.uniform(0, 300)) for i in range(60)} | {90: (10.0, -0.25), 91: (-5.0, 0.0)}
     df, shapes_ = spark.createDataFrame([(i, *p) for i, p in points.items()], POINT), spark.createDataFrame(list(lines.items()), LINE)
-    rows = attachment.places_on_lines(df, shapes_, 40.0, 60.0)
-    got = {(r.point_id, r.line_id): (r.distance, r.at_m) for r in rows.collect()}
+    rows = attachment.near_places(df, shapes_, 40.0, 60.0)
+    got = {(r.point_id, r.id): (r.distance, r.at_m) for r in rows.collect()}
     want = {(p, i): w for p, (x, y) in points.items() for i, pts in lines.items() if (w := nearest_on(pts, x, y))[0] <= 40}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want) and (91, 4) in want and (90, 6) in want
     assert "hashpartitioning(point_id" not in rows._jdf.queryExecution().executedPlan().toString()
