@@ -92,6 +92,60 @@ def test_line_match_dispositions(spark):
     assert [(r.source_id, r.target_id, r.reason) for r in none] == [(1, None, "no-target-lines")]
 
 
+def plain_match(line, targets, tolerance, bearing, least):
+    """Dispositions of one source by walking all targets: (target, state, reason, distance, shared)."""
+
+    def turn(a, b, c):
+        return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+    def gap(a, b, c, d):
+        cross = turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0
+        return 0.0 if cross else min(to_segment(a, c, d), to_segment(b, c, d), to_segment(c, a, b), to_segment(d, a, b))
+
+    def along(p, path):
+        gone, best = 0.0, (math.inf, 0.0)
+        for a, b in zip(path, path[1:]):
+            size, d = math.dist(a, b), to_segment(p, a, b)
+            if d < best[0]:
+                best = d, gone + (max(0.0, min(1.0, ((p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1])) / size**2)) * size if size else 0.0)
+            gone += size
+        return best[1]
+
+    legs = lambda path: [leg for leg in zip(path, path[1:]) if leg[0] != leg[1]]
+    size = lambda path: sum(math.dist(a, b) for a, b in zip(path, path[1:]))
+    rows = []
+    for i, path in targets:
+        d = round(min(gap(*a, *b) for a in legs(line) for b in legs(path)) * 1000)
+        (sx, sy), (tx, ty) = ((p[-1][0] - p[0][0], p[-1][1] - p[0][1]) for p in (line, path))
+        norm = math.hypot(sx, sy) * math.hypot(tx, ty)
+        turned = round((math.degrees(math.acos(min(1.0, abs(sx * tx + sy * ty) / norm))) if norm else 180.0) * 1000)
+        shared = round(min(size(line), abs(along(line[-1], path) - along(line[0], path)), size(path)) * 1000)
+        reason = "distance-outside-tolerance" if d > tolerance * 1000 else "bearing-outside-tolerance" if turned > bearing * 1000 else "shared-length-below-minimum" if shared < least * 1000 else "within-profile"
+        rows.append((d, turned, i, reason, shared))
+    good = [r for r in rows if r[3] == "within-profile"]
+    state, reason = ("accepted", None) if len(good) == 1 else ("ambiguous", "multiple-targets-within-profile") if good else ("unmatched", None)
+    return sorted((r[2], state, reason or r[3], r[0], r[4]) for r in good or [min(rows)])
+
+
+def test_lines_meet_in_blocks_without_a_shuffle_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(lines.meeting, "BLOCK", 4)
+    rng = random.Random(12)
+    sources = [(i, walk(rng, rng.randint(2, 6), 90)) for i in range(40)] + [(100 + i, [(10, 10), (60, 20), (60, 20), (90, 15)]) for i in range(9)]
+    sources += [(200, [(9000, 9000), (9050, 9000)]), (201, [(-40000, 0), (-40000, 90), (-40000, 0)])]
+    targets = [(i, walk(rng, rng.randint(2, 6), 90)) for i in range(30)] + [(100 + i, [(12, 14), (95, 18)]) for i in range(7)] + [(300, [(0, -5000), (3000, -5000), (3000, 9000)])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        found = lines.match_lines(line_frame(spark, sources), line_frame(spark, targets), 15.0, 40.0, 12.0, side=50.0)
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.source_id, []).append((r.target_id, r.state, r.reason, r.distance_mm, r.shared_mm))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {i: sorted(rows) for i, rows in got.items()} == {i: plain_match(path, targets, 15.0, 40.0, 12.0) for i, path in sources}
+    assert {state for rows in got.values() for _, state, *_ in rows} == {"accepted", "ambiguous", "unmatched"}
+    assert "hashpartitioning(source_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nearest_with_odd_and_far_rows(spark):
     rng = random.Random(4)
     right = [(i, rng.uniform(0, 1000), rng.uniform(0, 1000)) for i in range(300)] + [(900, None, 1.0), (901, float("nan"), 1.0), (902, 5e6, -4e6)]
