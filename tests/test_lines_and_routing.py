@@ -303,6 +303,14 @@ def test_costs_walked_in_tasks_are_those_of_rounds(spark):
     assert told() == told(block_edges=0) and told(max_cost=4) == told(max_cost=4, block_edges=0) and told()
 
 
+def test_walks_in_tasks_take_nodes_of_several_columns(spark):
+    rng = random.Random(13)
+    edges = spark.createDataFrame([(("a", rng.randrange(12)), ("ab"[rng.random() < 0.2], rng.randrange(12)), rng.randrange(4)) for _ in range(60)], "src struct<kind string, n long>, dst struct<kind string, n long>, weight long")
+    seeds = spark.createDataFrame([(r, ("a", rng.randrange(12)), 0) for r in range(3)], "root long, node struct<kind string, n long>, cost long")
+    told = lambda **more: {(r.root, tuple(r.node), r.cost, r.via) for r in graph.least_costs(seeds, edges, **more).select("root", "node", "cost", "via").collect()}
+    assert told() == told(block_edges=0) and any(r[3] for r in told())
+
+
 def test_ways_of_a_thousand_edges_settle(spark):
     # Rounds stop at 500, and each was a few joins.
     edges = spark.range(1200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1).cast("long").alias("weight"))
