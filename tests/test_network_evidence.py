@@ -67,6 +67,19 @@ def test_places_on_long_lines_and_without_a_shuffle_of_pairs(spark):
     assert "hashpartitioning(point_id" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("few", [0, 4096])
+def test_shares_of_bent_streets_are_measured_pair_by_pair(spark, monkeypatch, few):
+    monkeypatch.setattr(attachment, "FEW", few)
+    bent, other = line((0, 0), (100, 0), (100, 100)), line((0, 10), (110, 10), (110, 40))
+    # The second pair lies where the first does, but its own other line is far off.
+    pairs = spark.createDataFrame([(1, bent, other), (2, bent, line((0, 900), (100, 900), (100, 990))), (3, bent, line((5, 5)))], "id long, points array<struct<x double, y double>>, other array<struct<x double, y double>>")
+    got = {r.id: round(r.share, 6) for r in attachment.pair_shares(pairs, 20.0, 50.0).collect()}
+    whole = (100 + 40 + math.sqrt(20**2 - 10**2)) / 200
+    assert got == {1: round(whole, 6), 2: 0.0, 3: 0.0}
+    met = near_segments(segments(pairs.select("id", "points")), segments(pairs.select("id", pairs.other.alias("points"))), 20.0, 50.0, own=True)
+    assert {(r.s_id, r.t_id) for r in met.collect()} == {(1, 1)}
+
+
 def test_points_attach_to_nodes_and_inside_edges(spark):
     nodes = spark.createDataFrame([("a", 0.0, 0.0), ("b", 100.0, 0.0), ("c", 100.0, 100.0), ("d", 0.0, 100.0)], "node string, x double, y double")
     go, bend = line((0, 0), (100, 0)), line((100, 100), (900, 900), (0, 100))
