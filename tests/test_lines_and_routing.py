@@ -303,6 +303,15 @@ def test_costs_walked_in_tasks_are_those_of_rounds(spark):
     assert told() == told(block_edges=0) and told(max_cost=4) == told(max_cost=4, block_edges=0) and told()
 
 
+def test_costs_to_targets_alone(spark):
+    rng = random.Random(15)
+    edges = spark.createDataFrame([(rng.randrange(30), rng.randrange(30), rng.randrange(4)) for _ in range(90)], "src long, dst long, weight long")
+    seeds, targets = spark.createDataFrame([(r, r, 0) for r in range(4)], "root long, node long, cost long"), spark.createDataFrame([(n,) for n in (0, 2, 7, 8, 8, 99)], "node long")
+    told = lambda **more: {tuple(r) for r in graph.least_costs(seeds, edges, **more).select("root", "node", "cost", "via").collect()}
+    want = {r for r in told() if r[1] in (0, 2, 7, 8)}
+    assert want == told(targets=targets) == told(targets=targets, block_edges=0) and len(want) > 4
+
+
 def test_walks_in_tasks_take_nodes_of_several_columns(spark):
     rng = random.Random(13)
     edges = spark.createDataFrame([(("a", rng.randrange(12)), ("ab"[rng.random() < 0.2], rng.randrange(12)), rng.randrange(4)) for _ in range(60)], "src struct<kind string, n long>, dst struct<kind string, n long>, weight long")
