@@ -101,6 +101,17 @@ def test_ways_up_and_circles(spark):
         trees.last(ring)
 
 
+def test_circles_of_all_lengths_leave_when_they_have_ended(spark):
+    rng, at, want, rows = random.Random(21), list(range(400)), {}, []
+    rng.shuffle(at)
+    for size in (1, 2, 3, 4, 5, 7, 8, 9, 12, 15, 16, 17, 24, 31, 33, 64, 100):
+        ring, at = at[:size], at[size:]
+        rows += zip(ring, ring[1:] + ring[:1])
+        want |= dict.fromkeys(ring, min(ring))
+    got = trees.numbered_circles(spark.createDataFrame(rows, "at long, to long")).collect()
+    assert len(got) == len(want) and {r["at"]: r.circle for r in got} == want
+
+
 def test_bridges_severance_and_pruning_by_removal(spark):
     rng = random.Random(11)
     edges = tangle(rng, 50, 12)
